@@ -84,7 +84,8 @@ def trading_calendar(
     if isinstance(holidays, DataFrame):
         return weekdays.join(holidays.toDF("trading_date"), "trading_date", "left_anti")
     closed = list(holidays) if holidays is not None else exchange_holidays(start.year, end.year)
-    return weekdays.where(~F.col("trading_date").isin(closed)) if closed else weekdays
+    listed = ", ".join(f"DATE'{d}'" for d in closed)
+    return weekdays.where(f"trading_date NOT IN ({listed})") if closed else weekdays
 
 
 def calendar_for(df: DataFrame, ts: str = "date_utc", before: int = 5, after: int = 10) -> DataFrame:

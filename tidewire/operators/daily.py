@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.sessions import SESSION
@@ -48,23 +50,19 @@ def by_calendar_day(df: DataFrame, ts: str = "date_utc") -> DataFrame:
     return df.withColumn(ts, F.to_date(ts))
 
 
-def daily_embedding(
-    df: DataFrame, width: int, by: str = SESSION, vector: str = "finbert_embedding"
-) -> DataFrame:
-    """Element-wise mean of the vectors of a day, as ``daily_embedding`` of ``width`` floats.
+def _as_vector(column: str) -> Column:
+    return array_to_vector(F.transform(column, lambda x: x.cast("double")))
 
-    One partial aggregation: a task keeps one sum per day and element, and only
-    those sums are shuffled, never the vectors.
-    """
-    means = [F.avg(F.get(vector, i)) for i in range(width)]
-    packed = F.array(*[m.cast("float") for m in means])
-    return df.groupBy(by).agg(packed.alias("daily_embedding"))
 
+def daily_embedding(df: DataFrame, by: str = SESSION, vector: str = "finbert_embedding") -> DataFrame:
+    """Element-wise mean of the vectors of a day, as ``daily_embedding`` of floats.
 
-def vector_width(df: DataFrame, vector: str) -> int:
-    """Width of the first vector in the frame; the vectors are of one width."""
-    row = df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
-    return row[0] if row else 0
+    One partial aggregation: a task keeps one running mean per day, and only those are
+    shuffled, never the article vectors.
+    """
+    mean = Summarizer.mean(_as_vector(vector))
+    rows = df.where(F.col(vector).isNotNull())
+    return rows.groupBy(by).agg(vector_to_array(mean, "float32").alias("daily_embedding"))
 
 
 def article_counts(df: DataFrame, day: str, start=None, end=None) -> DataFrame:
@@ -95,26 +93,28 @@ def merge_sessions(parts: DataFrame, by: str = SESSION) -> DataFrame:
     return parts.groupBy(by).agg(*means, F.sum(n).alias("daily_article_count"))
 
 
-def merge_embeddings(parts: DataFrame, width: int, weight: str = "daily_article_count", by: str = SESSION) -> DataFrame:
+def merge_embeddings(parts: DataFrame, weight: str = "daily_article_count", by: str = SESSION) -> DataFrame:
     """The same for daily embeddings that carry their article count."""
-    n = F.col(weight)
-    means = [F.sum(F.get("daily_embedding", i).cast("double") * n) / F.sum(n) for i in range(width)]
-    packed = F.array(*[m.cast("float") for m in means]).alias("daily_embedding")
-    return parts.groupBy(by).agg(packed, F.sum(n).alias(weight))
+    mean = Summarizer.mean(_as_vector("daily_embedding"), F.col(weight).cast("double"))
+    packed = vector_to_array(mean, "float32").alias("daily_embedding")
+    return parts.groupBy(by).agg(packed, F.sum(weight).alias(weight))
 
 
-def pool_tokens(
-    df: DataFrame, key: str, pos: str, vector: str, mask: str, width: int, pooling: str = "mean"
-) -> DataFrame:
-    """One vector per text from its token vectors: masked mean, or the first token (``cls``)."""
+def pool_tokens(df: DataFrame, key: str, pos: str, vector: str, mask: str, pooling: str = "mean") -> DataFrame:
+    """One vector per text from its token vectors: masked mean, or the first token (``cls``).
+
+    A text without any counted token gets the zero vector.
+    """
     if pooling == "cls":
         return df.where(F.col(pos) == 0).select(key, F.col(vector).alias("embedding"))
     if pooling != "mean":
         raise ValueError(f"unknown pooling: {pooling}")
-    m = F.col(mask).cast("double")
-    count = F.greatest(F.sum(m), F.lit(1e-9))
-    means = [F.sum(F.get(vector, i).cast("double") * m) / count for i in range(width)]
-    return df.groupBy(key).agg(F.array(*means).alias("embedding"))
+    counted = F.transform(vector, lambda x: x.cast("double") * F.col(mask))
+    total = Summarizer.metrics("sum").summary(array_to_vector(counted))["sum"]
+    sums = df.groupBy(key).agg(
+        vector_to_array(total).alias("_sum"), F.greatest(F.sum(mask).cast("double"), F.lit(1e-9)).alias("_n")
+    )
+    return sums.select(key, F.transform("_sum", lambda x: x / F.col("_n")).alias("embedding"))
 
 
 def duplicate_sessions(df: DataFrame, by: str = SESSION) -> DataFrame:

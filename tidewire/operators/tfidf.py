@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.stopwords import ENGLISH
-from tidewire.functions.text import clean, stem_words, tokens
+from tidewire.functions.text import normalise, sql_list, stem_words, tokens, words
 from tidewire.operators.sessions import SESSION
 
 # The vocabulary is broadcast; this many terms stay in the tens of megabytes.
@@ -24,23 +24,31 @@ def daily_tokens(
     stop: Sequence[str] = ENGLISH,
     stemmed: bool = False,
     cleaned: bool = False,
+    second_stop: Sequence[str] = ENGLISH,
 ) -> DataFrame:
     """Term counts per session as ``(session, term, tf)``.
 
+    Texts are cleaned first unless they are ``cleaned`` already; terms have two
+    letters or more and are not in the ``second_stop`` list, which is applied last.
+
     Tokenising each article and adding up equals tokenising the joined session
     text, so that text is never built.  Counts are combined inside each task before
     the shuffle.  With ``stemmed`` the words are counted first and stemmed once per
     session and word, not once per occurrence.
     """
-    source = F.col(text) if cleaned else clean(text, stop)
+    found = tokens(text, ()) if cleaned else words(normalise(text), stop)
+    every_word = articles.select(session, F.explode(found).alias("term"))
     if not stemmed:
-        words = articles.select(session, F.explode(tokens(source, stop)).alias("term"))
-        return words.groupBy(session, "term").agg(F.count(F.lit(1)).alias("tf"))
-    every_word = articles.select(session, F.explode(F.split(source, " ")).alias("word")).where("word <> ''")
-    counted = every_word.groupBy(session, "word").agg(F.count(F.lit(1)).alias("tf"))
-    stems = counted.select(session, stem_words("word").alias("term"), "tf")
-    second_pass = (F.length("term") >= 2) & ~F.col("term").isin(*stop)
-    return stems.where(second_pass).groupBy(session, "term").agg(F.sum("tf").alias("tf"))
+        kept = _final_terms(every_word, second_stop if cleaned or second_stop != stop else ())
+        return kept.groupBy(session, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = every_word.groupBy(session, "term").agg(F.count(F.lit(1)).alias("tf"))
+    stems = counted.select(session, stem_words("term").alias("term"), "tf")
+    return _final_terms(stems, second_stop).groupBy(session, "term").agg(F.sum("tf").alias("tf"))
+
+
+def _final_terms(df: DataFrame, stop: Sequence[str]) -> DataFrame:
+    kept = df.where(F.length("term") >= 2)
+    return kept.where(f"term NOT IN ({sql_list(stop)})") if stop else kept
 
 
 def fit_vocabulary(train_tokens: DataFrame, n_docs: Column | int, max_features: int = 5000) -> DataFrame:

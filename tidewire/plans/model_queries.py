@@ -294,13 +294,13 @@ def replay_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("pca_embeddings")
 def pca_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = daily.daily_embedding(standins.session_scores(spark, sf_dir), standins.EMBEDDING_WIDTH)
+    days = daily.daily_embedding(standins.session_scores(spark, sf_dir))
     return reduction.reduce_days(days, "daily_embedding", 30, "emb_pca")
 
 
 @register("pca_train_only")
 def pca_train_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = daily.daily_embedding(standins.session_scores(spark, sf_dir), standins.EMBEDDING_WIDTH)
+    days = daily.daily_embedding(standins.session_scores(spark, sf_dir))
     split = splits.row_count_split(days, SESSION)
     return reduction.reduce_days(days, "daily_embedding", 10, "emb_pca", split.where("split = 'train'").drop("split"))
 
@@ -315,7 +315,7 @@ GROUP BY 1"""),
 )
 def pca_total_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All components keep the distance of each day from the mean day."""
-    days = daily.daily_embedding(standins.session_scores(spark, sf_dir), standins.EMBEDDING_WIDTH)
+    days = daily.daily_embedding(standins.session_scores(spark, sf_dir))
     reduced = reduction.reduce_days(days, "daily_embedding", standins.EMBEDDING_WIDTH, "pca")
     values = F.array(*[c for c in reduced.columns if c.startswith("pca_")])
     length = F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v)

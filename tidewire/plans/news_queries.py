@@ -435,7 +435,7 @@ SELECT trading_session_date_utc, unnest(embedding)::DOUBLE AS v, generate_subscr
 FROM session_scores) GROUP BY 1, 2"""),
 )
 def daily_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = daily.daily_embedding(standins.session_scores(spark, sf_dir), standins.EMBEDDING_WIDTH)
+    means = daily.daily_embedding(standins.session_scores(spark, sf_dir))
     long = means.select(SESSION, F.posexplode("daily_embedding").alias("pos", "value"))
     return long.select(SESSION, F.col("pos").cast("long").alias("pos"), rounded(F.col("value").cast("double")).alias("value"))
 
@@ -549,7 +549,7 @@ def _token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " FROM embeddings, generate_series(0, 15) t(p) GROUP BY vec_id",
 )
 def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pooled = daily.pool_tokens(_token_vectors(spark, sf_dir), "vec_id", "pos", "vector", "mask", 4)
+    pooled = daily.pool_tokens(_token_vectors(spark, sf_dir), "vec_id", "pos", "vector", "mask")
     return pooled.select("vec_id", *[rounded(F.get("embedding", i)).alias(f"e{i}") for i in range(4)])
 
 
@@ -558,7 +558,7 @@ def masked_mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT vec_id, " + ", ".join(r6(f"embedding[{i + 1}]", f"e{i}") for i in range(4)) + " FROM embeddings",
 )
 def cls_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pooled = daily.pool_tokens(_token_vectors(spark, sf_dir), "vec_id", "pos", "vector", "mask", 4, "cls")
+    pooled = daily.pool_tokens(_token_vectors(spark, sf_dir), "vec_id", "pos", "vector", "mask", "cls")
     return pooled.select(
         "vec_id", *[rounded(F.get("embedding", i).cast("double")).alias(f"e{i}") for i in range(4)]
     )
@@ -580,7 +580,7 @@ SELECT article_id, exp(10 * {_share('a')}) AS ea, exp(10 * {_share('e')}) AS eb,
 )
 def score_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scoring.score_articles(
-        standins.articles(spark, sf_dir), standins.letter_scorer, keep=["article_id", "Article_title"]
+        standins.articles(spark, sf_dir, heavy=True), standins.letter_scorer, keep=["article_id", "Article_title"]
     )
     probabilities = [rounded(f"sent_{c}").alias(f"sent_{c}") for c in CLASSES]
     last = rounded(F.get("finbert_embedding", 3).cast("double")).alias("e3")

@@ -17,7 +17,7 @@ from tidewire.session import materialise
 
 def term_counts(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> DataFrame:
     """Term counts of all sessions, written once and used by every later step."""
-    counts = tfidf.daily_tokens(standins.session_articles(spark, sf_dir), stemmed=stemmed)
+    counts = tfidf.daily_tokens(standins.session_articles(spark, sf_dir, heavy=True), stemmed=stemmed)
     return materialise(counts, "daily-tokens")
 
 
@@ -47,7 +47,7 @@ def session_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views("cleaned", body="SELECT article_id, clean_text FROM cleaned"),
 )
 def clean_text_nostem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = standins.articles(spark, sf_dir)
+    rows = standins.articles(spark, sf_dir, heavy=True)
     return rows.select("article_id", text.clean("Article_title").alias("clean_text"))
 
 
@@ -62,13 +62,13 @@ def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("clean_text_stemmed")
 def clean_text_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = standins.articles(spark, sf_dir)
+    rows = standins.articles(spark, sf_dir, heavy=True)
     return rows.select("article_id", text.clean_and_stem("Article_title").alias("preprocessed_for_tfidf"))
 
 
 @register("stem_vocabulary")
 def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = standins.articles(spark, sf_dir)
+    rows = standins.articles(spark, sf_dir, heavy=True)
     found = rows.select(F.explode(text.words(text.normalise("Article_title"))).alias("word"))
     return text.stem_vocabulary(found)
 
@@ -78,12 +78,12 @@ def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views("token_counts", body="SELECT trading_session_date_utc, term, tf FROM token_counts"),
 )
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.daily_tokens(standins.session_articles(spark, sf_dir))
+    return tfidf.daily_tokens(standins.session_articles(spark, sf_dir, heavy=True))
 
 
 @register("token_counts_stemmed")
 def token_counts_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.daily_tokens(standins.session_articles(spark, sf_dir), stemmed=True)
+    return tfidf.daily_tokens(standins.session_articles(spark, sf_dir, heavy=True), stemmed=True)
 
 
 @register("vocab_topk", with_views("vocab", body=f"SELECT term, cf, df, {r6('idf')} FROM vocab"))

@@ -20,6 +20,8 @@ def get_spark(app: str = "tidewire", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # vector means: keep the running means of all days of a task in memory
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     }
     if master and master.startswith("local"):
         settings.update(
@@ -55,8 +57,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; never reused between calls."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, grouped by application so it can be expired as one."""
+    return f"{shared_dir(spark)}/tidewire/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread a scan that has fewer splits than the cluster has cores; else as is.
+
+    For heavy work per row on few files.  A large table has splits enough and is not
+    shuffled.  Pass a plain scan: the number of its splits is known without a job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
