@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -57,12 +56,11 @@ class PopulationScaler(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadab
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         middle = f"_{self.uid}"
-        rows, width = dataset.select(
-            F.count(F.lit(1)), F.max(F.size(vector_to_array(self.getInputCol())))
-        ).first()
+        scaler = StandardScaler(withMean=True, withStd=True, inputCol=self.getInputCol(), outputCol=middle)
+        centred = scaler.fit(dataset)
+        rows = dataset.count()
         factor = (rows / (rows - 1)) ** 0.5 if rows > 1 else 1.0
-        centred = StandardScaler(withMean=True, withStd=True, inputCol=self.getInputCol(), outputCol=middle)
         stretch = ElementwiseProduct(
-            scalingVec=Vectors.dense([factor] * (width or 0)), inputCol=middle, outputCol=self.getOutputCol()
+            scalingVec=Vectors.dense([factor] * centred.mean.size), inputCol=middle, outputCol=self.getOutputCol()
         )
-        return PipelineModel([centred.fit(dataset), stretch])
+        return PipelineModel([centred, stretch])

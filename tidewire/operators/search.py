@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators import metrics, models
-from tidewire.operators.splits import expanding_folds
+from tidewire.operators.splits import fold_blocks
 
 
 def grid_points(grid: dict) -> list[dict]:
-    """All combinations, the last name varying fastest."""
-    return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    """All combinations in order of the names, the last one varying fastest."""
+    names = sorted(grid)
+    return [dict(zip(names, values)) for values in itertools.product(*(grid[n] for n in names))]
 
 
 def sample_points(grid: dict, n: int, seed: int = 42) -> list[dict]:
@@ -65,12 +66,12 @@ def time_series_search(
     separate fits, and folds of one class are left out of their mean.
     """
     spark = train.sparkSession
-    folds = expanding_folds(train, date, tie, k).persist()
+    blocks = fold_blocks(train, date, tie, k, "_block").persist()
     try:
-        by_fold = {}
-        for f in range(1, k + 1):
-            rows = folds.where(F.col("fold") == f)
-            by_fold[f] = tuple(rows.where(F.col("role") == r).drop("fold", "role") for r in ("train", "test"))
+        by_fold = {
+            f: (blocks.where(F.col("_block") < f).drop("_block"), blocks.where(F.col("_block") == f).drop("_block"))
+            for f in range(1, k + 1)
+        }
 
         def run(task):
             index, fold = task
@@ -92,7 +93,7 @@ def time_series_search(
 
         aucs = [a for a in _parallel(spark, fold_auc, list(by_fold), parallelism) if a is not None]
     finally:
-        folds.unpersist()
+        blocks.unpersist()
     rows = [
         (i, {n: str(v) for n, v in points[i].items()}, f, float(s)) for i, f, s in scores
     ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,14 @@ def flatten_windows(windows: DataFrame) -> DataFrame:
     return windows.withColumn("window", F.flatten("window"))
 
 
+def window_rows(windows: DataFrame) -> DataFrame:
+    """Windows as model input: keys, integer label, one flat vector."""
+    flat = flatten_windows(windows)
+    return flat.select(
+        "trading_date", "ticker", F.col("target").cast("int").alias("label"), array_to_vector("window").alias("features")
+    )
+
+
 def window_stats(windows: DataFrame) -> DataFrame:
     """Mean and sample deviation per feature over all cells of the given windows.
 

@@ -1,11 +1,18 @@
-"""Time splits without shuffling, by position in ``(date, ticker)`` order."""
+"""Time splits by position in ``(date, tie)`` order, without moving the rows.
+
+A split is a few boundary rows: the rows found at given positions.  They come from
+the row counts per date and a ranking inside the boundary dates alone; every other
+row is then compared with them where it lies.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.operators.order import date_positions, with_position
+from tidewire.operators.order import date_positions
 
 
 def cutoff_date(df: DataFrame, date: str, ratio: float = 0.7) -> Column:
@@ -30,57 +37,115 @@ def total_rows(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
+def boundary_rows(keys: DataFrame, date: str, tie: str, positions: Callable[[Column], list[Column]]) -> Column:
+    """The ``(date, tie)`` keys at the given positions, sorted, as one scalar subquery.
+
+    ``positions`` maps the number of rows to zero-based positions; those past the end
+    give no key.
+    """
+    spans = date_positions(keys, date).withColumn("at", F.explode(F.array(*positions(F.col("n")))))
+    hits = spans.where((F.col("first") <= F.col("at")) & (F.col("at") < F.col("first") + F.col("rows")))
+    hits = hits.select(date, "at", (F.col("at") - F.col("first")).alias("offset"))
+    # as many rows as positions asked for
+    near = keys.select(date, tie).join(F.broadcast(hits), date)
+    rank = F.row_number().over(Window.partitionBy(date, "at").orderBy(tie)) - 1
+    found = near.withColumn("rank", rank).where("rank = offset")
+    return found.agg(F.array_sort(F.collect_list(F.struct(date, tie))).alias("keys")).scalar()
+
+
+def with_block(
+    df: DataFrame,
+    date: str,
+    tie: str,
+    positions: Callable[[Column], list[Column]],
+    name: str = "block",
+    align_dates: bool = False,
+    keys: DataFrame | None = None,
+) -> DataFrame:
+    """Number of boundary positions at or before each row.
+
+    ``keys`` may name a cheaper frame with the same ``(date, tie)`` rows, if ``df`` is
+    costly to compute.  With ``align_dates`` a boundary takes its whole date along.
+    """
+    edges = boundary_rows(df if keys is None else keys, date, tie, positions)
+    marked = df.withColumn("_edges", edges)
+    key = F.struct(date, tie)
+
+    def passed(edge: Column) -> Column:
+        return edge[date] <= F.col(date) if align_dates else edge <= key
+
+    return marked.withColumn(name, F.size(F.filter("_edges", passed))).drop("_edges")
+
+
 def tail_split(
-    df: DataFrame, date: str, tie: str, test_size: float = 0.3, align_dates: bool = False, name: str = "split"
+    df: DataFrame,
+    date: str,
+    tie: str,
+    test_size: float = 0.3,
+    align_dates: bool = False,
+    name: str = "split",
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """The last ``ceil(n * test_size)`` rows are ``test``, the others ``train``.
 
     With ``align_dates`` no date is cut in two: the boundary date goes to ``test``.
     """
-    placed = with_position(df, date, tie, "_position")
-    edge = total_rows(df) - F.ceil(total_rows(df) * F.lit(test_size))
-    if align_dates:
-        spans = date_positions(df, date)
-        edge_date = spans.where((F.col("first") <= edge) & (edge < F.col("first") + F.col("rows")))
-        side = F.col(date) >= edge_date.select(date).scalar()
-    else:
-        side = F.col("_position") >= edge
-    return placed.withColumn(name, F.when(side, "test").otherwise("train")).drop("_position")
+    blocks = with_block(
+        df, date, tie, lambda n: [n - F.ceil(n * F.lit(test_size))], "_block", align_dates, keys
+    )
+    return blocks.withColumn(name, F.when(F.col("_block") > 0, "test").otherwise("train")).drop("_block")
 
 
 def three_way_split(
-    df: DataFrame, date: str, tie: str, train_ratio: float = 0.7, val_ratio: float = 0.15, name: str = "split"
+    df: DataFrame,
+    date: str,
+    tie: str,
+    train_ratio: float = 0.7,
+    val_ratio: float = 0.15,
+    name: str = "split",
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """``int(n * train)`` rows, ``int(n * val)`` rows, and the rest."""
-    placed = with_position(df, date, tie, "_position")
-    n = total_rows(df)
-    first = F.floor(n * F.lit(train_ratio))
-    second = first + F.floor(n * F.lit(val_ratio))
-    position = F.col("_position")
-    side = F.when(position < first, "train").when(position < second, "val").otherwise("test")
-    return placed.withColumn(name, side).drop("_position")
 
+    def positions(n: Column) -> list[Column]:
+        first = F.floor(n * F.lit(train_ratio))
+        return [first, first + F.floor(n * F.lit(val_ratio))]
+
+    blocks = with_block(df, date, tie, positions, "_block", keys=keys)
+    block = F.col("_block")
+    side = F.when(block == 0, "train").when(block == 1, "val").otherwise("test")
+    return blocks.withColumn(name, side).drop("_block")
 
-def expanding_folds(df: DataFrame, date: str, tie: str, k: int = 5) -> DataFrame:
-    """Every row once per fold it takes part in, as ``fold`` (1 to k) and ``role``.
 
-    The test blocks are the last k blocks of ``n // (k + 1)`` rows; a fold trains on
-    all rows before its block.
+def fold_blocks(
+    df: DataFrame, date: str, tie: str, k: int = 5, name: str = "block", keys: DataFrame | None = None
+) -> DataFrame:
+    """The fold each row is tested in, 1 to k; 0 for the rows only ever trained on.
+
+    The test blocks are the last k blocks of ``n // (k + 1)`` rows.  Fold f trains on all
+    blocks below f, so the rows need not be copied per fold.
     """
-    placed = with_position(df, date, tie, "_position")
-    n = total_rows(df)
-    size = F.floor(n / F.lit(k + 1))
-    start = n - size * F.lit(k)
-    position = F.col("_position")
-    # the block a row is tested in; 0 means it is only ever trained on
-    block = F.when(position < start, 0).otherwise(F.floor((position - start) / size) + 1).cast("int")
-    placed = placed.withColumn("_block", block)
+
+    def positions(n: Column) -> list[Column]:
+        size = F.floor(n / F.lit(k + 1))
+        return [n - size * F.lit(k - i) for i in range(k)]
+
+    return with_block(df, date, tie, positions, name, keys=keys)
+
+
+def expanding_folds(
+    df: DataFrame, date: str, tie: str, k: int = 5, keys: DataFrame | None = None
+) -> DataFrame:
+    """Every row once per fold it takes part in, as ``fold`` (1 to k) and ``role``."""
+    placed = fold_blocks(df, date, tie, k, "_block", keys)
     first_fold = F.greatest(F.col("_block"), F.lit(1))
     rows = placed.withColumn("fold", F.explode(F.sequence(first_fold, F.lit(k))))
     role = F.when(F.col("fold") == F.col("_block"), "test").otherwise("train")
-    return rows.withColumn("role", role).drop("_position", "_block")
+    return rows.withColumn("role", role).drop("_block")
 
 
-def last_fold(df: DataFrame, date: str, tie: str, k: int = 5) -> DataFrame:
+def last_fold(df: DataFrame, date: str, tie: str, k: int = 5, keys: DataFrame | None = None) -> DataFrame:
     """The newest fold only."""
-    return expanding_folds(df, date, tie, k).where(F.col("fold") == k)
+    placed = fold_blocks(df, date, tie, k, "_block", keys)
+    rows = placed.withColumn("fold", F.lit(k))
+    return rows.withColumn("role", F.when(F.col("_block") == k, "test").otherwise("train")).drop("_block")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +10,10 @@ from tidewire.operators import daily, master, metrics, models, reduction, search
 from tidewire.operators.prices import PRICE_FEATURES, up_down_days
 from tidewire.operators.sessions import SESSION
 from tidewire.plans import standins
-from tidewire.plans.price_queries import KEYS, SENTIMENT, bars, master_table, timeline
+from tidewire.plans.price_queries import SENTIMENT, bars, master_table, timeline
 from tidewire.plans.registry import register
 from tidewire.plans.sqlviews import r6, with_views
+from tidewire.plans.study import SignalStudy, news_terms, news_tfidf
 from tidewire.session import materialise, scratch_path
 from tidewire.sources import experiments
 
@@ -175,11 +175,43 @@ def weight_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _train_test(spark: SparkSession, sf_dir: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    rows = master.assemble(master_table(spark, sf_dir), columns)
-    rows = materialise(splits.tail_split(rows, "trading_date", "ticker"), "train-test")
+    rows = materialise(master.assemble(master_table(spark, sf_dir), columns), "train-test")
+    rows = splits.tail_split(rows, "trading_date", "ticker")
     return tuple(rows.where(F.col("split") == s).drop("split") for s in ("train", "test"))
 
 
+def study(spark: SparkSession, sf_dir: str, max_features: int) -> SignalStudy:
+    """All feature groups of the stand-in tables on one timeline."""
+    scores = standins.session_scores(spark, sf_dir)
+    made = SignalStudy(standins.prices(spark, sf_dir))
+    made.add_sentiment(daily.daily_sentiment(scores))
+    made.add_embedding_components(daily.daily_embedding(scores), 10)
+    terms = news_terms(standins.articles(spark, sf_dir, heavy=True), standins.calendar(spark))
+    model, _ = news_tfidf(terms, max_features=max_features)
+    made.add_tfidf(model, terms)
+    return made
+
+
+@register("study_hybrid_tfidf")
+def study_hybrid_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News to terms to vectors to a searched model, evaluated on the untouched tail."""
+    made = study(spark, sf_dir, 500)
+    found, test = made.train("LR", "hybrid_tfidf", {"C": [0.01], "max_iter": [20]}, k=2)
+    frames = made.evaluate("hybrid_tfidf", found.model, test)
+    return frames["metrics"]
+
+
+@register("study_embedding_sequences")
+def study_embedding_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = standins.session_scores(spark, sf_dir)
+    made = SignalStudy(standins.prices(spark, sf_dir))
+    made.add_embedding_components(daily.daily_embedding(scores), 4)
+    rows = materialise(made.sequence_rows("finbert_emb_hybrid", 3), "sequences")
+    rows = splits.tail_split(rows, "trading_date", "ticker")
+    model = models.fit("LR", {"C": 0.1, "max_iter": 20}, rows.where("split = 'train'").drop("split"))
+    return metrics.evaluate(models.predict(model, rows.where("split = 'test'").drop("split")))
+
+
 def _price_train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _train_test(spark, sf_dir, PRICE_FEATURES)
 
@@ -212,9 +244,8 @@ def rf_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The price-bar forest: last fold, importances by name."""
     names = ["open", "high", "low", "volume", "close"]
     days = up_down_days(bars(spark, sf_dir))
-    rows = master.assemble(days, names, label="up_down")
+    rows = materialise(master.assemble(days, names, label="up_down"), "bars")
     fold = splits.last_fold(rows, "trading_date", "ticker")
-    fold = materialise(fold, "last-fold")
     train = fold.where("role = 'train'").drop("fold", "role")
     params = {"n_estimators": 20, "max_depth": 10, "min_samples_split": 20, "min_samples_leaf": 10, "max_features": 1.0}
     model = models.fit("RF", params, train)
@@ -233,14 +264,13 @@ def mlp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequence_rows(spark: SparkSession, sf_dir: str, length: int = 5) -> DataFrame:
-    windows = sequences.flatten_windows(sequences.sequence_windows(timeline(spark, sf_dir), ["return_lag0"], length))
-    return windows.select(*KEYS, F.col("target").cast("int").alias("label"), array_to_vector("window").alias("features"))
+    return sequences.window_rows(sequences.sequence_windows(timeline(spark, sf_dir), ["return_lag0"], length))
 
 
 @register("sequence_fit")
 def sequence_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = splits.three_way_split(sequence_rows(spark, sf_dir), "trading_date", "ticker", 0.6, 0.15)
-    rows = materialise(rows, "sequences")
+    rows = materialise(sequence_rows(spark, sf_dir), "sequences")
+    rows = splits.three_way_split(rows, "trading_date", "ticker", 0.6, 0.15)
     model = models.fit("MLP", {"hidden_size": 16, "max_iter": 20}, rows.where("split = 'train'").drop("split"))
     return metrics.evaluate(models.predict(model, rows.where("split = 'test'").drop("split")))
 
@@ -262,8 +292,8 @@ def randomized_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("random_sweep")
 def random_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = splits.three_way_split(master_rows(spark, sf_dir), "trading_date", "ticker", 0.6, 0.15)
-    rows = materialise(rows, "sweep")
+    rows = materialise(master_rows(spark, sf_dir), "sweep")
+    rows = splits.three_way_split(rows, "trading_date", "ticker", 0.6, 0.15)
     train, val = (rows.where(F.col("split") == s).drop("split") for s in ("train", "val"))
 
     def objective(params: dict) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -73,18 +74,24 @@ def only_symbol(df: DataFrame, symbol: str | None, column: str = "Stock_symbol")
     return df if symbol is None else df.where(F.col(column) == symbol)
 
 
-def in_range(
-    df: DataFrame, column: str, start=None, end=None, closed: str = "both"
-) -> DataFrame:
+def _bound(value, kind: T.DataType):
+    """A literal in UTC, whatever the session time zone; zoned datetimes are converted."""
+    if isinstance(value, datetime):
+        value = value.astimezone(timezone.utc) if value.tzinfo else value
+        value = value.replace(tzinfo=None).isoformat(sep=" ")
+    return F.lit(value).cast(kind)
+
+
+def in_range(df: DataFrame, column: str, start=None, end=None, closed: str = "both") -> DataFrame:
     """Keep ``start <= column <= end`` (or ``< end`` for ``closed='left'``); open ends allowed.
 
     Bounds are literals of the column's own type, so they reach the Parquet scan.
     """
     kind = df.schema[column].dataType
     if start is not None:
-        df = df.where(F.col(column) >= F.lit(start).cast(kind))
+        df = df.where(F.col(column) >= _bound(start, kind))
     if end is not None:
-        bound = F.lit(end).cast(kind)
+        bound = _bound(end, kind)
         df = df.where(F.col(column) <= bound if closed == "both" else F.col(column) < bound)
     return df
 
