@@ -43,12 +43,13 @@ def boundary_rows(keys: DataFrame, date: str, tie: str, positions: Callable[[Col
     ``positions`` maps the number of rows to zero-based positions; those past the end
     give no key.
     """
-    spans = date_positions(keys, date).withColumn("at", F.explode(F.array(*positions(F.col("n")))))
+    asked = F.posexplode(F.array(*positions(F.col("n")))).alias("slot", "at")
+    spans = date_positions(keys, date).select("*", asked)
     hits = spans.where((F.col("first") <= F.col("at")) & (F.col("at") < F.col("first") + F.col("rows")))
-    hits = hits.select(date, "at", (F.col("at") - F.col("first")).alias("offset"))
+    hits = hits.select(date, "slot", (F.col("at") - F.col("first")).alias("offset"))
     # as many rows as positions asked for
     near = keys.select(date, tie).join(F.broadcast(hits), date)
-    rank = F.row_number().over(Window.partitionBy(date, "at").orderBy(tie)) - 1
+    rank = F.row_number().over(Window.partitionBy(date, "slot").orderBy(tie)) - 1
     found = near.withColumn("rank", rank).where("rank = offset")
     return found.agg(F.array_sort(F.collect_list(F.struct(date, tie))).alias("keys")).scalar()
 
