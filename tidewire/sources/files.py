@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def readable_parquet(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).limit(1).count()
         return True
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):  # missing, or a file that is not Parquet
         return False
 
 
