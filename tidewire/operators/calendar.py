@@ -19,9 +19,6 @@ SPECIAL_CLOSURES = [
     date(2025, 1, 9),
 ]
 
-# A session lookup has one row per calendar day; beyond this many it is not broadcast.
-MAX_BROADCAST_DAYS = 400_000
-
 
 def _easter(year: int) -> date:
     """Gregorian Easter Sunday (Gauss's rule in its anonymous form)."""

@@ -5,6 +5,8 @@ A predictions frame has ``label`` (0/1), ``prediction`` (0/1) and ``probability`
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,22 +72,23 @@ def accuracy(predictions: DataFrame) -> DataFrame:
     return predictions.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
 
 
-def _by_score(predictions: DataFrame, score: str) -> DataFrame:
+def _by_score(predictions: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives per distinct score, with those of all lower scores."""
     positives = F.count_if(F.col("label") == 1).alias("pos")
     negatives = F.count_if(F.col("label") == 0).alias("neg")
-    counted = predictions.where(F.col(score).isNotNull()).groupBy(score).agg(positives, negatives)
-    return running_totals(counted, score, ["pos", "neg"], score_cells(score))
+    counted = predictions.where(F.col(score).isNotNull()).groupBy(*by, score).agg(positives, negatives)
+    return running_totals(counted, score, ["pos", "neg"], score_cells(score), by)
 
 
-def auc(predictions: DataFrame, score: str = "probability") -> DataFrame:
+def auc(predictions: DataFrame, score: str = "probability", by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve, ties at half; null if there is one class only.
 
-    Rows are counted per distinct score before anything is ordered.
+    Rows are counted per distinct score before anything is ordered.  ``by`` gives one
+    value per group, such as a fold.
     """
-    ranked = _by_score(predictions, score)
+    ranked = _by_score(predictions, score, by)
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
-    return ranked.agg(F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+    return ranked.groupBy(*by).agg(F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
 def auc_or_half(predictions: DataFrame, score: str = "probability") -> float:

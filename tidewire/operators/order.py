@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.session import materialise
 
@@ -31,9 +32,11 @@ def with_row_id(df: DataFrame, key: Sequence[str], name: str = "id") -> DataFram
 def date_positions(df: DataFrame, date: str) -> DataFrame:
     """Rows per date with the number of rows on earlier dates (``first``) and in all (``n``).
 
-    Holds one row per date, so the ordered window stays small however many rows
-    the dates have.
+    Holds one row per calendar date (timestamps are refused), so the ordered window
+    stays small however many rows the dates have.
     """
+    if not isinstance(df.schema[date].dataType, T.DateType):
+        raise ValueError(f"{date} is not a date column")
     per_date = df.where(F.col(date).isNotNull()).groupBy(date).agg(F.count(F.lit(1)).alias("rows"))
     upto = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -53,31 +56,32 @@ def with_position(df: DataFrame, date: str, tie: str, name: str = "position") ->
     """
     starts = date_positions(df, date).select(date, F.col("first").alias("_first"))
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(date).orderBy(tie)))
-    # one row per calendar date: at most 3.7 million over all dates Spark can hold
-    joined = ranked.join(F.broadcast(starts), date)
+    joined = ranked.join(starts, date)
     return joined.select(*df.columns, (F.col("_first") + F.col("_rank") - 1).alias(name))
 
 
-def running_totals(df: DataFrame, key: str, values: Sequence[str], cells: tuple[Column, Column]) -> DataFrame:
-    """Add ``<value>_before``: the sum over all rows with a smaller ``key``.
+def running_totals(
+    df: DataFrame, key: str, values: Sequence[str], cells: tuple[Column, Column], by: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``<value>_before``: the sum over all rows of the same ``by`` with a smaller ``key``.
 
-    ``key`` is unique.  ``cells`` are a coarse and a fine column that grow with the
+    ``(by, key)`` is unique.  ``cells`` are a coarse and a fine column that grow with the
     key; the totals run over coarse cells, then over the fine cells of a coarse
     one, then over the keys of a fine one, so no window spans the whole table.
     """
     c1, c2 = "_coarse", "_fine"
     rows = df.withColumn(c1, cells[0]).withColumn(c2, cells[1])
-    fine = rows.groupBy(c1, c2).agg(*[F.sum(v).alias(v) for v in values])
-    coarse = fine.groupBy(c1).agg(*[F.sum(v).alias(v) for v in values])
+    fine = rows.groupBy(*by, c1, c2).agg(*[F.sum(v).alias(v) for v in values])
+    coarse = fine.groupBy(*by, c1).agg(*[F.sum(v).alias(v) for v in values])
 
-    def before(window: Window, v: str) -> Column:
-        return F.coalesce(F.sum(v).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    def before(group: Sequence[str], order: str, level: int) -> list[Column]:
+        window = Window.partitionBy(*by, *group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(v).over(window), F.lit(0)).alias(f"_{level}{v}") for v in values]
 
-    coarse = coarse.select(c1, *[before(Window.orderBy(c1), v).alias(f"_1{v}") for v in values])
-    fine = fine.select(c1, c2, *[before(Window.partitionBy(c1).orderBy(c2), v).alias(f"_2{v}") for v in values])
-    inside = Window.partitionBy(c1, c2).orderBy(key)
-    rows = rows.select("*", *[before(inside, v).alias(f"_3{v}") for v in values])
-    joined = rows.join(fine, [c1, c2]).join(coarse, c1)
+    coarse = coarse.select(*by, c1, *before([], c1, 1))
+    fine = fine.select(*by, c1, c2, *before([c1], c2, 2))
+    rows = rows.select("*", *before([c1, c2], key, 3))
+    joined = rows.join(fine, [*by, c1, c2]).join(coarse, [*by, c1])
     sums = [(F.col(f"_1{v}") + F.col(f"_2{v}") + F.col(f"_3{v}")).alias(f"{v}_before") for v in values]
     return joined.select(*df.columns, *sums)
 

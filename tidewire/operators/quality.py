@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.daily import daily_sentiment
@@ -69,8 +69,15 @@ def common_titles(a: DataFrame, b: DataFrame, title: str = "Article_title") -> D
     return a.select(title).where(F.col(title).isNotNull()).intersect(b.select(title))
 
 
+def _digest(title: str) -> Column:
+    """Titles may be long: only their SHA-256 is shuffled and compared."""
+    return F.sha2(title, 256).alias("_digest")
+
+
 def title_overlap(a: DataFrame, b: DataFrame, title: str = "Article_title") -> DataFrame:
-    return common_titles(a, b, title).agg(F.count(F.lit(1)).alias("same_titles"))
+    """Number of distinct non-null titles present in both."""
+    left = a.where(F.col(title).isNotNull()).select(_digest(title))
+    return left.intersect(b.select(_digest(title))).agg(F.count(F.lit(1)).alias("same_titles"))
 
 
 def title_difference(
@@ -90,8 +97,9 @@ def title_difference(
     a, b = in_range(a, ts, start, end), in_range(b, ts, start, end)
 
     def only(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
-        titled = x.where(F.col(title).isNotNull()).select(ts, title, *keep)
-        return titled.join(y.select(title).distinct(), title, "left_anti").withColumn("source", F.lit(name))
+        titled = x.where(F.col(title).isNotNull()).select(ts, title, *keep, _digest(title))
+        kept = titled.join(y.select(_digest(title)).distinct(), "_digest", "left_anti")
+        return kept.drop("_digest").withColumn("source", F.lit(name))
 
     return only(a, b, names[0]).unionByName(only(b, a, names[1]))
 

@@ -112,18 +112,8 @@ def fold_auc_mean(scored_folds: DataFrame) -> DataFrame:
 
     Folds of one class are left out; 0.5 if that leaves none.
     """
-    counted = scored_folds.groupBy("fold", "probability").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
-    )
-    # distinct folds are few (k); each is ranked on its own with the exact AUC
-    folds = [r["fold"] for r in scored_folds.select("fold").distinct().orderBy("fold").collect()]
-    aucs = None
-    for fold in folds:
-        one = metrics.auc(scored_folds.where(F.col("fold") == fold)).withColumn("fold", F.lit(fold))
-        aucs = one if aucs is None else aucs.unionByName(one)
-    if aucs is None:
-        return counted.agg(F.lit(0.5).alias("mean_auc"))
-    return aucs.agg(F.coalesce(F.avg("auc"), F.lit(0.5)).alias("mean_auc"))
+    per_fold = metrics.auc(scored_folds, by=["fold"])
+    return per_fold.agg(F.coalesce(F.avg("auc"), F.lit(0.5)).alias("mean_auc"))
 
 
 def replay(train: DataFrame, test: DataFrame, kind: str, runs: Iterable[dict]) -> DataFrame:

@@ -8,23 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.timefn import candidate_session
-from tidewire.operators.calendar import MAX_BROADCAST_DAYS, calendar_for, session_lookup
+from tidewire.operators.calendar import calendar_for, session_lookup
 
 SESSION = "trading_session_date_utc"
 
 
-def next_trading_date(
-    df: DataFrame, day: str, calendar: DataFrame, name: str = SESSION, broadcast_lookup: bool = True
-) -> DataFrame:
+def next_trading_date(df: DataFrame, day: str, calendar: DataFrame, name: str = SESSION) -> DataFrame:
     """Forward as-of join on dates: the first trading date on or after ``day``.
 
     Dates are discrete, so the join is an equality join with a lookup of one row
     per calendar day.  Every left row stays; null, or no later trading date, gives null.
+    The lookup is broadcast: a century has 36,525 days, all dates Spark can hold are
+    3.7 million, whatever the number of articles.
     """
     lookup = session_lookup(calendar).select(F.col("day").alias("_day"), F.col("trading_date").alias(name))
-    if broadcast_lookup:
-        lookup = F.broadcast(lookup)
-    return df.join(lookup, F.col(day) == F.col("_day"), "left").drop("_day")
+    return df.join(F.broadcast(lookup), F.col(day) == F.col("_day"), "left").drop("_day")
 
 
 def assign_sessions(
@@ -34,19 +32,17 @@ def assign_sessions(
     cutoff_hour: int = 20,
     zone: str | None = None,
     name: str = SESSION,
-    calendar_days: int | None = None,
 ) -> DataFrame:
     """Add the trading session of each article; frames that have one pass through.
 
-    Without a calendar one is built around the data.  ``calendar_days`` is the size
-    of a calendar known to be longer than a thousand years; it is then not broadcast.
+    Without a calendar one is built around the data, which takes a job to find the
+    bounds; pass one if they are known.
     """
     if name in df.columns:
         return df
     calendar = calendar_for(df, ts) if calendar is None else calendar
     dated = df.withColumn("_candidate", candidate_session(ts, cutoff_hour, zone))
-    small = calendar_days is None or calendar_days <= MAX_BROADCAST_DAYS
-    return next_trading_date(dated, "_candidate", calendar, name, small).drop("_candidate")
+    return next_trading_date(dated, "_candidate", calendar, name).drop("_candidate")
 
 
 def asof_join(

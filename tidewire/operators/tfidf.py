@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.stopwords import ENGLISH
 from tidewire.functions.text import normalise, sql_list, stem_words, tokens, words
 from tidewire.operators.sessions import SESSION
+from tidewire.session import materialise
 
 # The vocabulary is broadcast; this many terms stay in the tens of megabytes.
 MAX_VOCABULARY = 1_000_000
@@ -127,10 +128,7 @@ class TfidfVectorizer:
     def fit(self, train_tokens: DataFrame, train_sessions: DataFrame) -> TfidfModel:
         n_docs = train_sessions.select(self.session).distinct().count()
         vocabulary = fit_vocabulary(train_tokens, n_docs, self.max_features)
-        # at most max_features rows: kept as a local table, so it is fitted once
-        rows = vocabulary.collect()
-        local = train_tokens.sparkSession.createDataFrame(rows, vocabulary.schema)
-        return TfidfModel(local, self.session)
+        return TfidfModel(materialise(vocabulary, "vocabulary"), self.session)
 
 
 def top_words(weights: DataFrame, n_sessions: Column, k: int | None = 20) -> DataFrame:
