@@ -343,7 +343,9 @@ def test_position_splits(spark):
 def test_splits_equal_slicing(spark, n, per_day):
     rows = day_rows(spark, n, per_day)
     cut = n - math.ceil(0.3 * n)
-    assert sides(splits.tail_split(rows, "d", "k")) == ["train"] * cut + ["test"] * (n - cut)
+    for eager in (False, True):
+        assert sides(splits.tail_split(rows, "d", "k", eager=eager)) == ["train"] * cut + ["test"] * (n - cut)
+    assert sides(splits.tail_split(rows, "d", "k", 0.0, eager=True)) == ["train"] * n
     a, b = int(n * 0.6), int(n * 0.15)
     assert sides(splits.three_way_split(rows, "d", "k", 0.6, 0.15)) == ["train"] * a + ["val"] * b + ["test"] * (n - a - b)
     size = n // 6

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import backtest, metrics, models, search
 from tidewire.plans.standins import letter_scorer
-from tidewire.plans.study import SignalStudy, news_scores, news_terms, news_tfidf
+from tidewire.plans.study import SignalStudy, nested_sweep, news_scores, news_terms, news_tfidf
 from tidewire.session import scratch_path
 from tidewire.sources import experiments
 
@@ -175,8 +175,6 @@ def test_grid_and_sample():
     drawn = search.sample_points(models.BAR_FOREST_GRID, 20)
     assert len(drawn) == 20 and drawn == search.sample_points(models.BAR_FOREST_GRID, 20)
     assert len({str(p) for p in drawn}) == 20
-    crossed = search.config_cross([60, 128], ["finbert_emb"], [{"name": "a"}, {"name": "b"}])
-    assert len(crossed) == 4 and crossed[0] == {"pca": 60, "mode": "finbert_emb", "name": "a"}
 
 
 def test_draws_stay_in_range():
@@ -271,6 +269,27 @@ def test_study(spark):
     assert study.sequence_rows("finbert_sent", 4).count() == n - 2 * 3
     with pytest.raises(ValueError):
         study.columns("hybrid")
+    again = study.replay(experiments.read_log(spark, path)).collect()
+    assert [r["mode"] for r in again] == ["hybrid_tfidf"] and again[0]["cv_accuracy"] == pytest.approx(found.best_score)
+
+
+def test_nested_sweep(spark):
+    rng = random.Random(13)
+    days = [date(2020, 1, 1) + timedelta(days=i) for i in range(80)]
+    prices = spark.createDataFrame([(d, 50 + rng.random()) for d in days], "date date, close double")
+    vectors = spark.createDataFrame(
+        [(d, [rng.random() for _ in range(5)]) for d in days], "trading_session_date_utc date, daily_embedding array<double>"
+    )
+
+    def make(size):
+        study = SignalStudy(prices)
+        study.add_embedding_components(vectors, size)
+        return study
+
+    configs = [{"name": "narrow", "hidden_size": 4, "max_iter": 5}, {"name": "wide", "hidden_size": 8, "max_iter": 5}]
+    board = nested_sweep(make, [2, 3], ["finbert_emb"], configs, length=3).collect()
+    assert {r["run"] for r in board} == {f"{n} | finbert_emb | {c}" for n in (2, 3) for c in ("narrow", "wide")}
+    assert [r["test_accuracy"] for r in board] == sorted((r["test_accuracy"] for r in board), reverse=True)
 
 
 def test_tfidf_components_in_the_study(spark):

@@ -66,7 +66,7 @@ def time_series_search(
     separate fits, and folds of one class are left out of their mean.
     """
     spark = train.sparkSession
-    blocks = fold_blocks(train, date, tie, k, "_block").persist()
+    blocks = fold_blocks(train, date, tie, k, "_block", eager=True).persist()
     try:
         by_fold = {
             f: (blocks.where(F.col("_block") < f).drop("_block"), blocks.where(F.col("_block") == f).drop("_block"))
@@ -227,8 +227,3 @@ def random_sweep(
         done = (number, "COMPLETE", row[0], metrics.auc_or_half(predictions), row[1], {k: str(v) for k, v in params.items()})
         spark.createDataFrame([done], TRIAL_SCHEMA).coalesce(1).write.mode("append").parquet(path)
     return read_trials(spark, path)
-
-
-def config_cross(reductions: Sequence[int], modes: Sequence[str], configs: Sequence[dict]) -> list[dict]:
-    """All combinations of reduction size, mode and named configuration."""
-    return [{"pca": r, "mode": m, **c} for r in reductions for m in modes for c in configs]

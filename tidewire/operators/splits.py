@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.operators.order import date_positions
 
@@ -54,6 +55,15 @@ def boundary_rows(keys: DataFrame, date: str, tie: str, positions: Callable[[Col
     return found.agg(F.array_sort(F.collect_list(F.struct(date, tie))).alias("keys")).scalar()
 
 
+def _as_literal(edges: Column, df: DataFrame, date: str, tie: str) -> Column:
+    """Run the subquery now and give its few keys as a literal."""
+    found = df.sparkSession.range(1).select(edges.alias("keys")).first()["keys"] or []
+    kinds = {c: df.schema[c].dataType for c in (date, tie)}
+    key_type = T.StructType([T.StructField(c, kind) for c, kind in kinds.items()])
+    cells = [F.struct(*[F.lit(k[c]).cast(kind).alias(c) for c, kind in kinds.items()]) for k in found]
+    return F.array(*cells).cast(T.ArrayType(key_type))
+
+
 def with_block(
     df: DataFrame,
     date: str,
@@ -61,14 +71,16 @@ def with_block(
     positions: Callable[[Column], list[Column]],
     name: str = "block",
     align_dates: bool = False,
-    keys: DataFrame | None = None,
+    eager: bool = False,
 ) -> DataFrame:
     """Number of boundary positions at or before each row.
 
-    ``keys`` may name a cheaper frame with the same ``(date, tie)`` rows, if ``df`` is
-    costly to compute.  With ``align_dates`` a boundary takes its whole date along.
+    With ``align_dates`` a boundary takes its whole date along.  With ``eager`` the
+    boundaries are found at once; use it if many jobs will read the result.
     """
-    edges = boundary_rows(df if keys is None else keys, date, tie, positions)
+    edges = boundary_rows(df, date, tie, positions)
+    if eager:
+        edges = _as_literal(edges, df, date, tie)
     marked = df.withColumn("_edges", edges)
     key = F.struct(date, tie)
 
@@ -85,14 +97,14 @@ def tail_split(
     test_size: float = 0.3,
     align_dates: bool = False,
     name: str = "split",
-    keys: DataFrame | None = None,
+    eager: bool = False,
 ) -> DataFrame:
     """The last ``ceil(n * test_size)`` rows are ``test``, the others ``train``.
 
     With ``align_dates`` no date is cut in two: the boundary date goes to ``test``.
     """
     blocks = with_block(
-        df, date, tie, lambda n: [n - F.ceil(n * F.lit(test_size))], "_block", align_dates, keys
+        df, date, tie, lambda n: [n - F.ceil(n * F.lit(test_size))], "_block", align_dates, eager
     )
     return blocks.withColumn(name, F.when(F.col("_block") > 0, "test").otherwise("train")).drop("_block")
 
@@ -104,7 +116,7 @@ def three_way_split(
     train_ratio: float = 0.7,
     val_ratio: float = 0.15,
     name: str = "split",
-    keys: DataFrame | None = None,
+    eager: bool = False,
 ) -> DataFrame:
     """``int(n * train)`` rows, ``int(n * val)`` rows, and the rest."""
 
@@ -112,14 +124,14 @@ def three_way_split(
         first = F.floor(n * F.lit(train_ratio))
         return [first, first + F.floor(n * F.lit(val_ratio))]
 
-    blocks = with_block(df, date, tie, positions, "_block", keys=keys)
+    blocks = with_block(df, date, tie, positions, "_block", eager=eager)
     block = F.col("_block")
     side = F.when(block == 0, "train").when(block == 1, "val").otherwise("test")
     return blocks.withColumn(name, side).drop("_block")
 
 
 def fold_blocks(
-    df: DataFrame, date: str, tie: str, k: int = 5, name: str = "block", keys: DataFrame | None = None
+    df: DataFrame, date: str, tie: str, k: int = 5, name: str = "block", eager: bool = False
 ) -> DataFrame:
     """The fold each row is tested in, 1 to k; 0 for the rows only ever trained on.
 
@@ -131,22 +143,22 @@ def fold_blocks(
         size = F.floor(n / F.lit(k + 1))
         return [n - size * F.lit(k - i) for i in range(k)]
 
-    return with_block(df, date, tie, positions, name, keys=keys)
+    return with_block(df, date, tie, positions, name, eager=eager)
 
 
 def expanding_folds(
-    df: DataFrame, date: str, tie: str, k: int = 5, keys: DataFrame | None = None
+    df: DataFrame, date: str, tie: str, k: int = 5, eager: bool = False
 ) -> DataFrame:
     """Every row once per fold it takes part in, as ``fold`` (1 to k) and ``role``."""
-    placed = fold_blocks(df, date, tie, k, "_block", keys)
+    placed = fold_blocks(df, date, tie, k, "_block", eager)
     first_fold = F.greatest(F.col("_block"), F.lit(1))
     rows = placed.withColumn("fold", F.explode(F.sequence(first_fold, F.lit(k))))
     role = F.when(F.col("fold") == F.col("_block"), "test").otherwise("train")
     return rows.withColumn("role", role).drop("_block")
 
 
-def last_fold(df: DataFrame, date: str, tie: str, k: int = 5, keys: DataFrame | None = None) -> DataFrame:
+def last_fold(df: DataFrame, date: str, tie: str, k: int = 5, eager: bool = False) -> DataFrame:
     """The newest fold only."""
-    placed = fold_blocks(df, date, tie, k, "_block", keys)
+    placed = fold_blocks(df, date, tie, k, "_block", eager)
     rows = placed.withColumn("fold", F.lit(k))
     return rows.withColumn("role", F.when(F.col("_block") == k, "test").otherwise("train")).drop("_block")

@@ -13,7 +13,7 @@ from tidewire.plans import standins
 from tidewire.plans.price_queries import SENTIMENT, bars, master_table, timeline
 from tidewire.plans.registry import register
 from tidewire.plans.sqlviews import r6, with_views
-from tidewire.plans.study import SignalStudy, news_terms, news_tfidf
+from tidewire.plans.study import SignalStudy, nested_sweep, news_terms, news_tfidf
 from tidewire.session import materialise, scratch_path
 from tidewire.sources import experiments
 
@@ -176,7 +176,7 @@ def weight_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _train_test(spark: SparkSession, sf_dir: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     rows = materialise(master.assemble(master_table(spark, sf_dir), columns), "train-test")
-    rows = splits.tail_split(rows, "trading_date", "ticker")
+    rows = splits.tail_split(rows, "trading_date", "ticker", eager=True)
     return tuple(rows.where(F.col("split") == s).drop("split") for s in ("train", "test"))
 
 
@@ -207,11 +207,25 @@ def study_embedding_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = SignalStudy(standins.prices(spark, sf_dir))
     made.add_embedding_components(daily.daily_embedding(scores), 4)
     rows = materialise(made.sequence_rows("finbert_emb_hybrid", 3), "sequences")
-    rows = splits.tail_split(rows, "trading_date", "ticker")
+    rows = splits.tail_split(rows, "trading_date", "ticker", eager=True)
     model = models.fit("LR", {"C": 0.1, "max_iter": 20}, rows.where("split = 'train'").drop("split"))
     return metrics.evaluate(models.predict(model, rows.where("split = 'test'").drop("split")))
 
 
+@register("nested_sweep")
+def nested_sweep_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = standins.session_scores(spark, sf_dir)
+    embedding = materialise(daily.daily_embedding(scores), "daily-embedding")
+
+    def make(size: int) -> SignalStudy:
+        made = SignalStudy(standins.prices(spark, sf_dir))
+        made.add_embedding_components(embedding, size)
+        return made
+
+    configs = [{"name": "narrow", "hidden_size": 4, "max_iter": 10}, {"name": "wide", "hidden_size": 8, "max_iter": 10}]
+    return nested_sweep(make, [4], ["finbert_emb", "finbert_emb_hybrid"], configs)
+
+
 def _price_train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _train_test(spark, sf_dir, PRICE_FEATURES)
 
@@ -245,7 +259,7 @@ def rf_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["open", "high", "low", "volume", "close"]
     days = up_down_days(bars(spark, sf_dir))
     rows = materialise(master.assemble(days, names, label="up_down"), "bars")
-    fold = splits.last_fold(rows, "trading_date", "ticker")
+    fold = splits.last_fold(rows, "trading_date", "ticker", eager=True)
     train = fold.where("role = 'train'").drop("fold", "role")
     params = {"n_estimators": 20, "max_depth": 10, "min_samples_split": 20, "min_samples_leaf": 10, "max_features": 1.0}
     model = models.fit("RF", params, train)
@@ -270,7 +284,7 @@ def sequence_rows(spark: SparkSession, sf_dir: str, length: int = 5) -> DataFram
 @register("sequence_fit")
 def sequence_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(sequence_rows(spark, sf_dir), "sequences")
-    rows = splits.three_way_split(rows, "trading_date", "ticker", 0.6, 0.15)
+    rows = splits.three_way_split(rows, "trading_date", "ticker", 0.6, 0.15, eager=True)
     model = models.fit("MLP", {"hidden_size": 16, "max_iter": 20}, rows.where("split = 'train'").drop("split"))
     return metrics.evaluate(models.predict(model, rows.where("split = 'test'").drop("split")))
 
@@ -293,7 +307,7 @@ def randomized_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("random_sweep")
 def random_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(master_rows(spark, sf_dir), "sweep")
-    rows = splits.three_way_split(rows, "trading_date", "ticker", 0.6, 0.15)
+    rows = splits.three_way_split(rows, "trading_date", "ticker", 0.6, 0.15, eager=True)
     train, val = (rows.where(F.col("split") == s).drop("split") for s in ("train", "val"))
 
     def objective(params: dict) -> DataFrame:

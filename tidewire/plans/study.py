@@ -113,7 +113,7 @@ class SignalStudy:
     ) -> tuple[search.SearchResult, DataFrame]:
         """Search on the early part; gives the result and the untouched test rows."""
         rows = materialise(self.flat_rows(mode), f"study-{mode}")
-        rows = splits.tail_split(rows, "trading_date", "ticker", self.test_size)
+        rows = splits.tail_split(rows, "trading_date", "ticker", self.test_size, eager=True)
         train, test = (rows.where(F.col("split") == s).drop("split") for s in ("train", "test"))
         points = search.grid_points(grid) if isinstance(grid, dict) else list(grid)
         found = search.time_series_search(train, kind, points, k)
@@ -130,6 +130,23 @@ class SignalStudy:
             )
         return found, test
 
+    def replay(self, runs: DataFrame) -> DataFrame:
+        """Refit and test the selected entries of the experiment log, each in its own mode.
+
+        The entries are a handful of rows; the best test accuracy comes first.
+        """
+        rows = []
+        for number, run in enumerate(runs.orderBy("timestamp", "mode").collect(), start=1):
+            params = search.typed(run["hyperparameters"])
+            found, test = self.train(run["model_type"], run["mode"], [params])
+            scores = _scores(models.predict(found.model, test))
+            rows.append((number, run["mode"], found.best_score, found.best_auc, *scores))
+        schema = (
+            "number int, mode string, cv_accuracy double, cv_auc double, test_accuracy double, test_auc double"
+        )
+        results = self.master.sparkSession.createDataFrame(rows, schema)
+        return experiments.leaderboard(results, "test_accuracy", "number")
+
     def feature_names(self, mode: str) -> list[str]:
         """Names in vector order; a TF-IDF vector counts one name per term."""
         return [n for group in self._modes(mode)[mode] for n in self.names[group]]
@@ -155,3 +172,39 @@ class SignalStudy:
         returns = backtest.with_future_return(self.master).select(*KEYS, "return_lag0", "future_return")
         predictions = models.predict(model, test).join(returns, list(KEYS))
         return backtest.backtest(predictions, alignment)
+
+
+def _scores(predictions: DataFrame) -> tuple[float, float]:
+    values = {r["metric"]: r["value"] for r in metrics.evaluate(predictions).collect()}
+    return values["accuracy"], values["auc"]
+
+
+def nested_sweep(
+    make_study: Callable[[int], SignalStudy],
+    sizes: Sequence[int],
+    modes: Sequence[str],
+    configs: Sequence[dict],
+    kind: str = "MLP",
+    length: int = 5,
+) -> DataFrame:
+    """Every component count, mode and named configuration, ranked by test accuracy.
+
+    ``make_study`` builds the study for a component count.  Training uses the first
+    60 %, validation the next 15 %, the rest is tested once.
+    """
+    rows = []
+    for size in sizes:
+        study = make_study(size)
+        spark = study.master.sparkSession
+        for mode in modes:
+            windows = materialise(study.sequence_rows(mode, length), "sequences")
+            windows = splits.three_way_split(windows, "trading_date", "ticker", 0.6, 0.15, eager=True)
+            part = {s: windows.where(F.col("split") == s).drop("split") for s in ("train", "val", "test")}
+            for config in configs:
+                params = {k: v for k, v in config.items() if k != "name"}
+                model = models.fit(kind, params, part["train"])
+                val_accuracy, _ = _scores(models.predict(model, part["val"]))
+                scores = _scores(models.predict(model, part["test"]))
+                rows.append((f"{size} | {mode} | {config['name']}", *scores, val_accuracy))
+    results = spark.createDataFrame(rows, "run string, test_accuracy double, test_auc double, val_accuracy double")
+    return experiments.leaderboard(results, "test_accuracy", "run")
