@@ -44,12 +44,6 @@ class SearchResult:
     trials: DataFrame
 
 
-def _parallel(spark: SparkSession, work: Callable, items: Sequence, parallelism: int) -> list:
-    """Submit independent jobs from driver threads; each job runs on the cluster."""
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(work), items))
-
-
 def time_series_search(
     train: DataFrame,
     kind: str,
@@ -62,8 +56,8 @@ def time_series_search(
 ) -> SearchResult:
     """Best mean metric over expanding folds wins, ties go to the earlier point.
 
-    The winner is refitted on the whole training part; the fold AUCs come from
-    separate fits, and folds of one class are left out of their mean.
+    The winner is refitted on the whole training part.  Its AUC is the mean over the
+    folds, those of one class left out.
     """
     spark = train.sparkSession
     blocks = fold_blocks(train, date, tie, k, "_block", eager=True).persist()
@@ -75,23 +69,27 @@ def time_series_search(
 
         def run(task):
             index, fold = task
-            fit_rows, test_rows = by_fold[fold]
-            predictions = models.predict(models.fit(kind, points[index], fit_rows), test_rows)
-            return index, fold, metric(predictions)
-
-        tasks = [(i, f) for i in range(len(points)) for f in by_fold]
-        scores = _parallel(spark, run, tasks, parallelism)
-        means = [
-            sum(s for i, _, s in scores if i == index) / k for index in range(len(points))
-        ]
-        best = max(range(len(points)), key=lambda i: (means[i], -i))
-
-        def fold_auc(fold):
-            fit_rows, test_rows = by_fold[fold]
-            predictions = models.predict(models.fit(kind, points[best], fit_rows), test_rows)
-            return metrics.auc(predictions).first()["auc"]
-
-        aucs = [a for a in _parallel(spark, fold_auc, list(by_fold), parallelism) if a is not None]
+            model = models.fit(kind, points[index], by_fold[fold][0])
+            return index, fold, metric(models.predict(model, by_fold[fold][1])), model
+
+        def fold_auc(fold_and_model):
+            fold, model = fold_and_model
+            return metrics.auc(models.predict(model, by_fold[fold][1])).first()["auc"]
+
+        # independent jobs from driver threads; each job runs on the cluster
+        shared = inheritable_thread_target(spark)
+        best, best_mean, best_models, open_models, scores = -1, -math.inf, {}, {}, []
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            tasks = [(i, f) for i in range(len(points)) for f in by_fold]
+            for index, fold, score, model in pool.map(shared(run), tasks):
+                scores.append((index, fold, score))
+                open_models[fold] = model
+                if fold == k:  # all folds of this point are in; only the leader's models are kept
+                    mean = sum(s for i, _, s in scores if i == index) / k
+                    if mean > best_mean:
+                        best, best_mean, best_models = index, mean, open_models
+                    open_models = {}
+            aucs = [a for a in pool.map(shared(fold_auc), best_models.items()) if a is not None]
     finally:
         blocks.unpersist()
     rows = [
@@ -100,7 +98,7 @@ def time_series_search(
     trials = spark.createDataFrame(rows, "point int, params map<string,string>, fold int, score double")
     return SearchResult(
         best_params=points[best],
-        best_score=means[best],
+        best_score=best_mean,
         best_auc=sum(aucs) / len(aucs) if aucs else 0.5,
         model=models.fit(kind, points[best], train),
         trials=trials,

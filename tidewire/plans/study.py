@@ -52,7 +52,9 @@ class SignalStudy:
     """
 
     def __init__(self, prices: DataFrame, start=None, end=None, test_size: float = 0.3):
-        self.master = price_timeline(prices, start, end)
+        # read by every later step, so computed once
+        self.timeline = materialise(price_timeline(prices, start, end), "timeline")
+        self.master = self.timeline
         self.test_size = test_size
         self.groups: dict[str, list[str]] = {"price": list(PRICE_FEATURES)}
         self.names: dict[str, list[str]] = {"price": list(PRICE_FEATURES)}
@@ -73,12 +75,12 @@ class SignalStudy:
 
     def add_tfidf(self, model: tfidf.TfidfModel, terms: DataFrame) -> DataFrame:
         """One sparse vector per trading day, the zero vector without news."""
-        days = self.master.select(F.col("trading_date").alias(SESSION)).distinct()
+        days = self.timeline.select(F.col("trading_date").alias(SESSION)).distinct()
         return self._add("tfidf", model.to_vectors(terms, days), model.terms())
 
     def _train_days(self) -> DataFrame:
-        cut = splits.cutoff_date(self.master, "trading_date", 1.0 - self.test_size)
-        early = self.master.where(F.col("trading_date") < cut)
+        cut = splits.cutoff_date(self.timeline, "trading_date", 1.0 - self.test_size)
+        early = self.timeline.where(F.col("trading_date") < cut)
         return early.select(F.col("trading_date").alias(SESSION)).distinct()
 
     def _add_components(self, group: str, vectors: DataFrame, column: str, n: int, prefix: str, fit_on: str):
@@ -118,7 +120,7 @@ class SignalStudy:
         points = search.grid_points(grid) if isinstance(grid, dict) else list(grid)
         found = search.time_series_search(train, kind, points, k)
         if log_path:
-            tickers = [r[0] for r in self.master.select("ticker").distinct().orderBy("ticker").collect()]
+            tickers = [r[0] for r in self.timeline.select("ticker").distinct().orderBy("ticker").collect()]
             experiments.log_run(
                 self.master.sparkSession,
                 log_path,
@@ -169,7 +171,7 @@ class SignalStudy:
 
     def backtest(self, model, test: DataFrame, alignment: str = "next_day") -> DataFrame:
         """Growth of strategy and market over the test rows."""
-        returns = backtest.with_future_return(self.master).select(*KEYS, "return_lag0", "future_return")
+        returns = backtest.with_future_return(self.timeline).select(*KEYS, "return_lag0", "future_return")
         predictions = models.predict(model, test).join(returns, list(KEYS))
         return backtest.backtest(predictions, alignment)
 
