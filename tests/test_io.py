@@ -14,7 +14,7 @@ from tidewire.functions.timefn import format_utc, is_not_midnight, parse_date, p
 from tidewire.operators import daily, quality
 from tidewire.operators.calendar import trading_calendar
 from tidewire.operators.sessions import SESSION, assign_sessions
-from tidewire.session import cut_lineage, materialise, scratch_path, shared_dir, spread
+from tidewire.session import materialise, scratch_path, shared_dir, spread
 from tidewire.sources import files, news
 from tidewire.sources.prices import first_days, read_prices
 from tidewire.streaming import incremental, ingest
@@ -85,6 +85,13 @@ def test_bad_fields_become_null(spark, tmp_path):
     assert [(r["close"], r["_corrupt_record"]) for r in rows] == [(1.5, None), (None, "2020-01-02,oops")]
 
 
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,open,high,low,close,volume\n2020-01-01,1,2,3,4,5\n")
+    (tmp_path / "b.csv").write_text("date,close,high,low,open,volume\n2020-01-01,1,2,3,4,5\n")
+    with pytest.raises(Exception, match="header"):
+        read_prices(spark, f"{tmp_path}/*.csv").collect()
+
+
 def test_price_files(spark, tmp_path):
     for ticker, close in (("AAPL", 1.0), ("BRK B+", 2.0)):
         (tmp_path / f"{ticker}.csv").write_text(
@@ -168,7 +175,7 @@ def test_shared_folder(spark, tmp_path):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     df = spark.range(10)
-    assert materialise(df, "ten").count() == 10 and cut_lineage(df).count() == 10
+    assert materialise(df, "ten").count() == 10
     assert spread(df.coalesce(1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = df.repartition(64)
     assert spread(wide, "id") is wide

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.functions.numeric import rounded
 from tidewire.functions.timefn import format_utc, parse_utc
 from tidewire.operators import daily
+from tidewire.operators.scoring import score_articles
 from tidewire.operators.sessions import SESSION
 from tidewire.plans import standins
 from tidewire.plans.news_queries import _means_sql, _round_means
@@ -106,6 +108,30 @@ def chunk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "score_in_chunks",
+    """SELECT doc_id // 500 AS chunk, count(*) AS n,
+round(avg((length(text) - length(replace(text, 'o', '')))::DOUBLE / (length(text) + 1)), 6) + 0.0::DOUBLE AS mean_share
+FROM documents GROUP BY 1""",
+)
+def score_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring that can be resumed: the first run stops after the older texts, the second does the rest."""
+    rows = standins.articles(spark, sf_dir).select("article_id", "date_utc", "Article_title")
+    rows = ingest.chunked(rows, "article_id", 500)
+    target, ledger = scratch_path(spark, "scored"), scratch_path(spark, "ledger")
+    ingest.refuse_leftovers(spark, ledger)
+
+    def score(df: DataFrame) -> DataFrame:
+        return score_articles(df, standins.letter_scorer).drop("Article_title")
+
+    for part in (rows.where("article_id < 500"), rows):
+        done = ingest.process_chunks(part, "chunk", score, target, ledger)
+    last = F.get("finbert_embedding", 3).cast("double")
+    return done.groupBy(F.col("chunk").cast("long").alias("chunk")).agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.avg(last)).alias("mean_share")
+    )
+
+
 @register(
     "batch_map",
     "SELECT doc_id, length(text) AS chars FROM documents",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.numeric import rounded
 from tidewire.operators import backtest, daily, master, prices, scaling, sequences, splits
+from tidewire.operators.order import with_position
 from tidewire.operators.prices import PRICE_FEATURES
 from tidewire.operators.sessions import SESSION
 from tidewire.plans import standins
@@ -240,6 +241,11 @@ def row_count_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.row_count_split(days, SESSION)
 
 
+@register("row_positions", with_views("placed", body="SELECT trading_date, ticker, pos AS position FROM placed"))
+def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_position(timeline(spark, sf_dir).select(*KEYS), "trading_date", "ticker")
+
+
 @register(
     "tail_split",
     with_views("placed", body="""SELECT trading_date, ticker,

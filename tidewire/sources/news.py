@@ -32,13 +32,14 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header; bad fields become null instead of failing the job.
 
-    Columns are matched to the header by name, so files with more or reordered
-    columns work.  ``multi_line`` allows line breaks inside quoted text and
+    Columns are matched to the header by name, so more or reordered columns work; all
+    files of one call must share a header, others are refused.  ``multi_line`` allows line breaks inside quoted text and
     makes each file one task; switch it off for large files without them.
     With ``keep_bad_rows`` the raw text of a malformed row is kept in
     ``_corrupt_record``.
     """
-    options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"'}
+    options.update({"mode": "PERMISSIVE", "enforceSchema": False})
     header = spark.read.options(**options).csv(path).columns
     by_name = {f.name: f.dataType for f in schema}
     full = T.StructType([T.StructField(n, by_name.get(n, T.StringType())) for n in header])
