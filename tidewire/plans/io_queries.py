@@ -111,7 +111,8 @@ def chunk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "score_in_chunks",
     """SELECT doc_id // 500 AS chunk, count(*) AS n,
-round(avg((length(text) - length(replace(text, 'o', '')))::DOUBLE / (length(text) + 1)), 6) + 0.0::DOUBLE AS mean_share
+round(avg(((length(text) - length(replace(text, 'o', '')))::DOUBLE / (length(text) + 1))::FLOAT::DOUBLE), 6)
++ 0.0::DOUBLE AS mean_share
 FROM documents GROUP BY 1""",
 )
 def score_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

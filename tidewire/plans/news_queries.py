@@ -218,7 +218,7 @@ def cyrillic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT table_name, count(*) AS n FROM (SELECT 'events' AS table_name, ts FROM events
 UNION ALL SELECT 'orders', o_orderdate FROM orders
 UNION ALL SELECT 'articles', TIMESTAMP '1995-01-02' + to_hours(CAST((doc_id * 7) % 24 AS BIGINT)) FROM documents)
-WHERE strftime(ts, '%H:%M:%S') <> '00:00:00' GROUP BY 1""",
+WHERE ts <> date_trunc('day', ts) GROUP BY 1""",
 )
 def non_midnight(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = {
@@ -576,7 +576,7 @@ def _share(letter: str) -> str:
     with_views("articles", body=f"""SELECT article_id, {r6('ea / (ea + eb + ec)', 'sent_pos')},
 {r6('eb / (ea + eb + ec)', 'sent_neg')}, {r6('ec / (ea + eb + ec)', 'sent_neu')}, e3 FROM (
 SELECT article_id, exp(10 * {_share('a')}) AS ea, exp(10 * {_share('e')}) AS eb, exp(10 * {_share('i')}) AS ec,
-{r6(_share('o'), 'e3')} FROM articles)"""),
+{r6(f"({_share('o')})::FLOAT", 'e3')} FROM articles)"""),
 )
 def score_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scoring.score_articles(

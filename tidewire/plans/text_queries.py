@@ -15,19 +15,21 @@ from tidewire.plans.sqlviews import normalised, r6, with_views
 from tidewire.session import materialise
 
 
-def term_counts(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> DataFrame:
-    """Term counts of all sessions, written once and used by every later step."""
+def term_counts(spark: SparkSession, sf_dir: str, stemmed: bool = False, written: bool = True) -> DataFrame:
+    """Term counts of all sessions, written once if several later steps read them."""
     counts = tfidf.daily_tokens(standins.session_articles(spark, sf_dir, heavy=True), stemmed=stemmed)
-    return materialise(counts, "daily-tokens")
+    return materialise(counts, "daily-tokens") if written else counts
 
 
 def session_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standins.session_articles(spark, sf_dir).select(SESSION).distinct()
 
 
-def fitted(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
+def fitted(
+    spark: SparkSession, sf_dir: str, stemmed: bool = False, written: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """Counts of all sessions, and the vocabulary of the first 70 % of the sessions."""
-    counts, days = term_counts(spark, sf_dir, stemmed), session_days(spark, sf_dir)
+    counts, days = term_counts(spark, sf_dir, stemmed, written), session_days(spark, sf_dir)
     cut = splits.cutoff_date(days, SESSION)
     n_train = splits.total_rows(days.where(F.col(SESSION) < cut))
     return counts, tfidf.fit_vocabulary(counts.where(F.col(SESSION) < cut), n_train)
@@ -88,7 +90,7 @@ def token_counts_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("vocab_topk", with_views("vocab", body=f"SELECT term, cf, df, {r6('idf')} FROM vocab"))
 def vocab_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fitted(spark, sf_dir)[1].withColumn("idf", rounded("idf"))
+    return fitted(spark, sf_dir, written=False)[1].withColumn("idf", rounded("idf"))
 
 
 @register("tfidf_weights", with_views("tfidf", body=f"SELECT trading_session_date_utc, term, {r6('weight')} FROM tfidf"))
@@ -137,7 +139,7 @@ def tfidf_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 count(*) FILTER (term = 'the') = 0 AS removed FROM vocab"""),
 )
 def vocabulary_stop_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.vocabulary_contains(fitted(spark, sf_dir)[1])
+    return tfidf.vocabulary_contains(fitted(spark, sf_dir, written=False)[1])
 
 
 @register("tfidf_vectors")

@@ -20,6 +20,8 @@ def get_spark(app: str = "tidewire", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # long texts: bound the bytes, not only the rows, handed to a Python worker at once
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
         # vector means: keep the running means of all days of a task in memory
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     }
