@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.functions import naming
-from tidewire.functions.timefn import format_utc, is_not_midnight, parse_date, parse_utc, to_zone
+from tidewire.functions.timefn import format_utc, is_not_midnight, parse_date, parse_utc, time_bucket, to_zone
 from tidewire.operators import daily, quality
 from tidewire.operators.calendar import trading_calendar
 from tidewire.operators.sessions import SESSION, assign_sessions
@@ -68,6 +68,23 @@ def test_results_do_not_depend_on_the_session_zone(spark, news_csv):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
+def test_skipped_hours_of_the_session_zone_stay(spark):
+    """02:30 on this day does not exist in New York, midnight not on the other in Sao Paulo."""
+    times = [datetime(2020, 3, 8, 2, 30), datetime(2020, 3, 8, 3, 10), datetime(2018, 11, 4)]
+    df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("America/New_York", "America/Sao_Paulo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = df.select(format_utc("t"), parse_utc(format_utc("t")), is_not_midnight("t"), time_bucket("t", "minute")).collect()
+            assert [r[0] for r in got] == [f"{t} UTC" for t in times]
+            assert [r[1] for r in got] == times
+            assert [r[2] for r in got] == [True, True, False]
+            assert [tuple(r[3]) for r in got] == [(t.date(), t.hour, t.minute) for t in times]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_sources_go_on_after_a_bad_path(spark, news_csv, tmp_path):
     merged, report = news.load_sources(spark, {"a": news_csv, "gone": str(tmp_path / "gone.csv"), "b": news_csv})
     assert {r[0]: r[1] for r in merged.groupBy("source_name").count().collect()} == {"a": 5, "b": 5}

@@ -111,7 +111,7 @@ def test_no_later_trading_day_gives_null(spark):
 
 
 @pytest.mark.parametrize("direction", ["backward", "forward"])
-@pytest.mark.parametrize("bucket", ["hour", "day", "year"])
+@pytest.mark.parametrize("bucket", ["minute", "hour", "day", "year"])
 def test_asof_with_a_hot_key_equals_brute_force(spark, direction, bucket):
     rng = random.Random(7)
     start = datetime(2024, 1, 1)

@@ -1,7 +1,8 @@
 """Time columns.
 
 Instants are kept as ``TIMESTAMP_NTZ`` holding the UTC wall clock, so no result
-depends on the session time zone.
+depends on the session time zone.  ``date_trunc`` and ``date_format`` are avoided: they
+pass through that zone, and would shift times its daylight saving skips.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ def parse_utc(c: Column | str) -> Column:
 
 
 def format_utc(c: Column | str) -> Column:
-    """Inverse of :func:`parse_utc`."""
-    return F.date_format(as_column(c), "yyyy-MM-dd HH:mm:ss 'UTC'")
+    """Inverse of :func:`parse_utc`; fractions of a second are cut off."""
+    return F.concat(as_column(c).cast("timestamp_ntz").cast("string").substr(1, 19), F.lit(" UTC"))
 
 
 def parse_date(c: Column | str, strict: bool = True) -> Column:
@@ -48,7 +49,23 @@ def to_zone(c: Column | str, zone: str = NEW_YORK) -> Column:
 
 def is_not_midnight(c: Column | str) -> Column:
     c = as_column(c)
-    return c != F.date_trunc("day", c).cast("timestamp_ntz")
+    return c != F.to_date(c).cast("timestamp_ntz")
+
+
+def time_bucket(c: Column | str, unit: str) -> Column:
+    """The calendar unit a time falls into, as a value that sorts like the time."""
+    c = as_column(c)
+    day = F.to_date(c)
+    parts = {
+        "year": [F.year(c)],
+        "month": [F.year(c), F.month(c)],
+        "day": [day],
+        "hour": [day, F.hour(c)],
+        "minute": [day, F.hour(c), F.minute(c)],
+    }
+    if unit not in parts:
+        raise ValueError(f"unknown unit: {unit}")
+    return F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts[unit])])
 
 
 def candidate_session(c: Column | str, cutoff_hour: int = 20, zone: str | None = None) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.timefn import candidate_session
+from tidewire.functions.timefn import candidate_session, time_bucket
 from tidewire.operators.calendar import calendar_for, session_lookup
 
 SESSION = "trading_session_date_utc"
@@ -77,7 +77,7 @@ def asof_join(
     line = hits.select(by, on, "_hit", F.lit(0).alias("_asked")).unionByName(
         times.select(by, on, F.lit(None).cast(kind).alias("_hit"), F.lit(1).alias("_asked"))
     )
-    line = line.withColumn("_bucket", F.date_trunc(bucket, on))
+    line = line.withColumn("_bucket", time_bucket(on, bucket))
     inside = Window.partitionBy(by, "_bucket").orderBy(order(on), "_asked").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

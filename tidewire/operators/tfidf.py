@@ -14,8 +14,8 @@ from tidewire.functions.text import normalise, sql_list, stem_words, tokens, wor
 from tidewire.operators.sessions import SESSION
 from tidewire.session import materialise
 
-# The vocabulary is broadcast; this many terms stay in the tens of megabytes.
-MAX_VOCABULARY = 1_000_000
+# The vocabulary is broadcast; this many terms are a few megabytes.
+MAX_VOCABULARY = 100_000
 
 
 def daily_tokens(

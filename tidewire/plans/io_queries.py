@@ -72,7 +72,7 @@ def save_by_ending(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def price_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "prices")
-    bars = standins.prices(spark, sf_dir).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    bars = standins.prices(spark, sf_dir).withColumn("date", F.col("date").cast("string"))
     bars = bars.withColumn("ticker", F.concat(F.col("ticker"), F.lit(".csv")))
     bars.write.partitionBy("ticker").option("header", True).csv(path)
     rows = read_prices(spark, f"{path}/*", ["date", "open", "close", "volume"])

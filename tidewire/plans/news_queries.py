@@ -392,7 +392,7 @@ def compare_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = rows.select(
         "article_id",
         F.round("value", 1).alias("value"),
-        F.date_trunc("second", "date_utc").cast("timestamp_ntz").alias("stamp"),
+        timefn.parse_utc(timefn.format_utc("date_utc")).alias("stamp"),
     )
     return quality.compare_copies(a, b, "article_id", ["value", "stamp"])
 

@@ -125,7 +125,7 @@ def first_price_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM orders GROUP BY 1",
 )
 def standardise_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = standins.table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    text = standins.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").cast("string").alias("date"))
     parsed = prices.standardise_date(text, "date")
     return parsed.groupBy("trading_date").agg(F.count(F.lit(1)).alias("n"))
 
