@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import backtest, metrics, models, search
 from tidewire.plans.standins import letter_scorer
-from tidewire.plans.study import SignalStudy, nested_sweep, news_scores, news_terms, news_tfidf
+from tidewire.plans.study import SignalStudy, nested_sweep, news_scores, news_terms, news_tfidf, tuned_bar_forest
 from tidewire.session import scratch_path
 from tidewire.sources import experiments
 
@@ -273,6 +273,20 @@ def test_study(spark):
     assert [r["mode"] for r in again] == ["hybrid_tfidf"] and 0 <= again[0]["test_accuracy"] <= 1
 
 
+def test_tuned_bar_forest(spark):
+    rng = random.Random(14)
+    rows, close = [], 100.0
+    for i in range(90):
+        close *= 1.02 if rng.random() < 0.5 else 0.98
+        rows.append((date(2020, 1, 1) + timedelta(days=i), "A", close, close + 1, close - 1, 5.0, close))
+    schema = "trading_date date, ticker string, open double, high double, low double, volume double, close double"
+    grid = {"n_estimators": [3], "max_depth": [2, 3], "min_samples_leaf": [2]}
+    found, frames = tuned_bar_forest(spark.createDataFrame(rows, schema), 61, grid, draws=2, k=2)
+    assert found.trials.count() == 4
+    assert frames["confusion"].agg(F.sum("n")).first()[0] == 20  # 60 labelled days, the newest of three blocks
+    assert frames["importances"].agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
+
+
 def test_nested_sweep(spark):
     rng = random.Random(13)
     days = [date(2020, 1, 1) + timedelta(days=i) for i in range(80)]

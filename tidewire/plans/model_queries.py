@@ -13,7 +13,7 @@ from tidewire.plans import standins
 from tidewire.plans.price_queries import SENTIMENT, bars, master_table, timeline
 from tidewire.plans.registry import register
 from tidewire.plans.sqlviews import r6, with_views
-from tidewire.plans.study import SignalStudy, nested_sweep, news_terms, news_tfidf
+from tidewire.plans.study import SignalStudy, nested_sweep, news_terms, news_tfidf, tuned_bar_forest
 from tidewire.session import materialise, scratch_path
 from tidewire.sources import experiments
 
@@ -298,10 +298,12 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("randomized_search")
 def randomized_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = up_down_days(bars(spark, sf_dir))
-    rows = master.assemble(days, ["open", "high", "low", "volume", "close"], label="up_down")
     grid = {"n_estimators": [5, 10], "max_depth": [4, 6], "min_samples_leaf": [10, 20], "max_features": ["sqrt", 1.0]}
-    return search.time_series_search(rows, "RF", search.sample_points(grid, 2), k=3).trials
+    found, frames = tuned_bar_forest(bars(spark, sf_dir), grid=grid, draws=2, k=3)
+    importances = frames["importances"].select(
+        F.concat(F.lit("importance_"), "feature").alias("metric"), F.col("importance").alias("value")
+    )
+    return frames["metrics"].unionByName(importances)
 
 
 @register("random_sweep")

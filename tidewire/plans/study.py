@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators import backtest, daily, master, metrics, models, reduction, search, sequences, splits, tfidf
-from tidewire.operators.prices import PRICE_FEATURES, price_timeline
+from tidewire.operators.prices import PRICE_FEATURES, price_timeline, up_down_days
 from tidewire.operators.scoring import Scorer, score_articles
 from tidewire.operators.sessions import SESSION, assign_sessions
 from tidewire.session import materialise
 from tidewire.sources import experiments
+from tidewire.sources.prices import first_days
 
 KEYS = ("trading_date", "ticker")
 
@@ -181,6 +182,34 @@ def _scores(predictions: DataFrame) -> tuple[float, float]:
     return values["accuracy"], values["auc"]
 
 
+BAR_FEATURES = ["open", "high", "low", "volume", "close"]
+
+
+def tuned_bar_forest(
+    bars: DataFrame, n_rows: int | None = None, grid: dict | None = None, draws: int = 20, k: int = 5
+) -> tuple[search.SearchResult, dict[str, DataFrame]]:
+    """Random forest on daily bars: seeded draws from the grid, searched on expanding folds.
+
+    The best setting is refitted on the rows before the newest fold and tested on that fold.
+    ``n_rows`` keeps the first rows in time order.
+    """
+    rows = bars if n_rows is None else first_days(bars, n_rows, "trading_date")
+    labelled = master.assemble(up_down_days(rows), BAR_FEATURES, KEYS, "up_down")
+    labelled = materialise(labelled, "bars")
+    points = search.sample_points(models.BAR_FOREST_GRID if grid is None else grid, draws)
+    found = search.time_series_search(labelled, "RF", points, k)
+    fold = splits.last_fold(labelled, "trading_date", "ticker", k, eager=True)
+    train, test = (fold.where(F.col("role") == r).drop("fold", "role") for r in ("train", "test"))
+    model = models.fit("RF", found.best_params, train)
+    predictions = models.predict(model, test)
+    weights = models.feature_weights(model, BAR_FEATURES, len(BAR_FEATURES))
+    return found, {
+        "metrics": metrics.evaluate(predictions),
+        "confusion": metrics.confusion(predictions),
+        "importances": weights.select("feature", F.col("weight").alias("importance")),
+    }
+
+
 def nested_sweep(
     make_study: Callable[[int], SignalStudy],
     sizes: Sequence[int],
