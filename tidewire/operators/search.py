@@ -222,6 +222,7 @@ def random_sweep(
         row = predictions.withColumn("z", F.log(p / (1 - p))).agg(
             F.avg((F.col("label") == F.col("prediction")).cast("double")), F.avg(metrics.logit_loss("label", "z"))
         ).first()
-        done = (number, "COMPLETE", row[0], metrics.auc_or_half(predictions), row[1], {k: str(v) for k, v in params.items()})
+        texts = {k: str(v) for k, v in params.items()}
+        done = (number, "COMPLETE", row[0], metrics.auc_or_half(predictions), row[1], texts)
         spark.createDataFrame([done], TRIAL_SCHEMA).coalesce(1).write.mode("append").parquet(path)
     return read_trials(spark, path)

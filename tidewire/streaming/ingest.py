@@ -60,8 +60,9 @@ def process_chunks(
     """Apply ``work`` to the chunks not in the ledger and add them to ``target``.
 
     All open chunks run as one distributed job and each chunk, of bounded size, goes
-    into one file.  A chunk is a partition of the target and is overwritten as a whole, so a job lost half way leaves nothing
-    behind that a second run would double; the ledger is written last.
+    into one file.  A chunk is a partition of the target and is overwritten as a whole, so
+    a job lost half way leaves nothing behind that a second run would double; the ledger
+    is written last.
     """
     spark = df.sparkSession
     finished = finished_chunks(spark, ledger).withColumnRenamed("chunk", chunk)
