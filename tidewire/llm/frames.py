@@ -13,6 +13,8 @@ from tidewire.session import materialise
 
 #: Rows up to which a table of a few short columns is broadcast; about 64 MB.
 BROADCAST_ROWS = 1_000_000
+#: Rows that are worked on at once, so that what a task holds besides its Arrow batch stays small.
+SLICE = 1000
 #: Text handed to one numpy pass.
 CHUNK_BYTES = 2 << 20
 
@@ -32,13 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function built once per task by ``make``."""
+    """``mapInArrow`` with a function built once per task by ``make``; it gets and gives up to ``SLICE`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            for at in range(0, batch.num_rows, SLICE):
+                yield step(batch.slice(at, SLICE))
 
     return df.mapInArrow(run, schema)
 

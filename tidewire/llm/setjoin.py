@@ -5,8 +5,8 @@ their prefixes. Index lists hold, per shingle, the sets with their sizes and the
 
 * Within a list, sets are skipped by position: what two sets can still share behind the position bounds their
   overlap, and a list is read in order of size, where the bound on sizes ends a block.
-* Equal sets are one class, answered once. In a list the first set leads. Every set is first compared with the leader
-  that shares most of its prefix, and takes over the leader's answer - its component - if it links to it. Only pairs of
+* Equal sets are one class, answered once. In a list one set leads. Every set is first compared with the leader that
+  shares most of its prefix, and takes over the leader's answer - its component - if it links to it. Only pairs of
   sets whose components still differ are compared after that, so a group of very similar sets costs one comparison
   each and never all pairs.
 """
@@ -18,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.llm import words
 from tidewire.llm.components import components
-from tidewire.llm.frames import arrow_map, small, text_chunks, written
+from tidewire.llm.frames import SLICE, arrow_map, small, text_chunks, written
 
 TABLE = words.byte_table(words.SPACES, lower=True)
 SHINGLE = 5
@@ -34,8 +34,12 @@ OF, TO = 3, 4
 #: Every how many documents are looked at for frequent shingles, from how many of them a shingle counts as frequent,
 #: and how many frequent ones are kept. They only order shingles: any choice gives the same links.
 LOOK, OFTEN, MOST_FREQUENT = 8, 6, 1 << 18
+#: Mask of a position in the long that holds size and position.
+LOW = (1 << 32) - 1
 #: Parts that the list of a frequent shingle is cut into.
 CUTS = 32
+#: Rounds of leaders, at most. What is open then is compared in full, so this only steers the work.
+MOST_ROUNDS = 3
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -60,9 +64,8 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0)))
-            if sets:
-                found, n = np.unique(np.concatenate(sets), return_counts=True)
+            for at in range(0, batch.num_rows, SLICE):
+                found, n = np.unique(np.concatenate(list(shingle_sets(batch.column(0).slice(at, SLICE)))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
 
     counts = looked.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
@@ -109,18 +112,34 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return arrow_map(docs, make, "doc_id bigint, n bigint, digest binary, prefix array<bigint>, rare int")
 
 
+def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
+    """One bit per shingle, by the low bits of its hash; as 64-bit integers."""
+    marks = np.zeros(bits, np.uint8)
+    marks[(own & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(marks, bitorder="little").view(np.int64)
+
+
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``node`` and its shingles for the documents named in ``ids`` (``node``)."""
+    """``node``, ``n``, its shingles, and bitmaps of them (at least two bits a shingle in ``wide``, half as many in
+    ``narrow``) for the documents named in ``ids`` (``node``)."""
     rows = docs.join(small(ids).select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1))]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            sets = list(shingle_sets(batch.column(1)))
+            bits = [max(128, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 128 for s in sets]
+            longs = pa.list_(pa.int64())
+            columns = [
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([s.view(np.int64) for s in sets], longs),
+                pa.array([bitmap(s, b) for s, b in zip(sets, bits)], longs),
+                pa.array([bitmap(s, b // 2) for s, b in zip(sets, bits)], longs),
+            ]
+            return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "n", "shingles", "wide", "narrow"])
 
         return run
 
-    return arrow_map(rows, make, "node bigint, shingles array<bigint>")
+    return arrow_map(rows, make, "node bigint, n bigint, shingles array<bigint>, wide array<bigint>, narrow array<bigint>")
 
 
 def _can_link(n1: str, p1: str, n2: str, p2: str) -> str:
@@ -130,13 +149,27 @@ def _can_link(n1: str, p1: str, n2: str, p2: str) -> str:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``pairs`` (``a``, ``b``) whose sets reach the threshold; the sets are made again from the texts they need."""
+    """``pairs`` (``a``, ``b``) whose sets reach the threshold; the sets are made again from the texts they need.
+
+    Bits in which two bitmaps of one width differ are no more than the shingles in which the sets differ, so pairs that
+    differ in too many are dropped before whole sets are joined.
+    """
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "verify-ids")
     sets = written(sets_of(docs, ids), "verify-sets")
-    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(first, "a").join(second, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-    return both.where((OF + TO) * F.col("common") >= OF * (F.size("set_a") + F.size("set_b"))).select("a", "b").distinct()
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    marked = pairs.join(side("a", "n", "wide", "narrow"), "a").join(side("b", "n", "wide", "narrow"), "b")
+    own = "if(size(wide_a) > size(wide_b), narrow_a, wide_a)"
+    other = "if(size(wide_b) > size(wide_a), narrow_b, wide_b)"
+    differ = F.expr(f"aggregate(zip_with({own}, {other}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
+    # sizes of sets that can link are so close that their widths differ by a factor of two at most
+    close = f"{TO} * least(n_a, n_b) >= {OF} * greatest(n_a, n_b)"
+    kept = written(marked.where(close).where((TO - OF) * (F.col("n_a") + F.col("n_b")) >= (OF + TO) * differ).select("a", "b").distinct(), "verify-pairs")
+    both = kept.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return both.where((OF + TO) * common >= OF * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b").distinct()
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -148,74 +181,124 @@ def link_components(docs: DataFrame) -> DataFrame:
     ``doc_id`` stay rows, each in its own text's component. Other columns are not read. An empty table gives no rows.
     """
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    signs = written(signatures(rows, frequent_shingles(rows)), "signatures")
-    named = signs.where("doc_id is not null and n > 0")
+    signs = signatures(rows, frequent_shingles(rows))
+    members = written(signs.select("doc_id", "n", "digest"), "members")
     # classes of equal sets; only those with several members need a table
-    copies = written(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")).where("members > 1").select("digest", "rep"), "set-classes")
-    heads = named.join(small(copies), "digest", "left").where("rep is null or doc_id = rep").select(F.col("doc_id").alias("node"), "n", "prefix", "rare")
+    classes = members.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = written(classes.where("copies > 1").select("digest", "rep"), "set-classes")
+    # prefixes are made again from the texts rather than kept: they are as large as the texts
+    named = signs.where("doc_id is not null and n > 0")
+    heads = named.join(small(classes), "digest", "left").where("rep is null or doc_id = rep").select(F.col("doc_id").alias("node"), "n", "prefix", "rare")
     index = written(index_lists(heads), "index-lists")
-    tried, links = leader_links(index, rows)
-    found = components(links)
-    # what the leaders leave open: every pair whose components still differ is compared
-    pairs = written(open_pairs(index, found, tried), "open-pairs")
-    more = written(verified(pairs, rows), "links-found") if pairs.limit(1).count() else pairs
-    if more.limit(1).count():
-        found = components(links.unionByName(more))
-    member = signs.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(small(copies), "digest", "left")
+    found = components_of(index, rows)
+    member = members.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(small(classes), "digest", "left")
     node = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("rep", "doc_id"))
     member = member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), node).alias("node"))
     return member.join(small(found), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
 def index_lists(heads: DataFrame) -> DataFrame:
-    """Index lists of two and more sets: ``token``, ``node``, ``n``, ``pos``, and the list's leader ``lead``, ``lead_n``, ``lead_pos``.
+    """Index lists that may hold a pair: ``token``, ``cut``, ``node``, ``n``, ``pos``.
 
-    A list's leader is its first set by size. The list of a frequent shingle is cut into parts by the sets' hash, each
-    with a leader of its own that follows the first of all parts, so no task reads a whole frequent list.
+    The list of a frequent shingle is cut into parts by the sets' hash (``cut`` 1 and up), so no task reads a whole
+    one. Of other lists, sets are dropped that no set beside them in order of size is near enough to, and whole lists
+    of one set, or of two that cannot link by size and position. List key, set and (size, position) are one long each
+    while they are shuffled.
     """
     places = heads.select("node", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
-    cut = F.when(F.col("pos") >= F.col("rare"), F.pmod(F.xxhash64("node"), F.lit(CUTS))).otherwise(0).cast("int")
-    lists = places.select("token", cut.alias("cut"), "node", "n", F.col("pos").cast("int").alias("pos"), (F.col("pos") >= F.col("rare")).alias("often"))
-    whole = W.partitionBy("token", "cut").orderBy("n", "node", "pos")
-    lead = F.first(F.struct("node", "n", "pos")).over(whole)
-    led = lists.withColumn("lead", lead).withColumn("next", F.lead("node").over(whole))
-    # a list of one set holds no pair, unless it is a part of a frequent list
-    led = led.where("often or lead.node <> node or next is not null")
-    return led.select("token", "often", "node", "n", "pos", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
-
-
-def leader_links(index: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs compared and links found when every set meets the one leader that shares most of its prefix."""
-    followers = index.where("lead <> node").select("node", "n", "pos", "lead", "lead_n", "lead_pos")
-    # leaders of the parts of a frequent list follow the first of them
-    heads = index.where("often and lead = node").select("token", "node", "n", "pos")
-    first = heads.groupBy("token").agg(F.min(F.struct("n", "node", "pos")).alias("top"))
-    tops = heads.join(first, "token").where("top.node <> node").select("node", "n", "pos", F.col("top.node").alias("lead"), F.col("top.n").alias("lead_n"), F.col("top.pos").alias("lead_pos"))
-    asked = followers.unionByName(tops).where(_can_link("n", "pos", "lead_n", "lead_pos"))
-    shared = asked.groupBy("node", "lead").agg(F.count("*").alias("common"))
-    # one leader per set and kind of list, so that parts of frequent lists are tied together as well
-    best = shared.groupBy("node").agg(F.max(F.struct("common", (-F.col("lead")).alias("less"))).alias("top")).select("node", (-F.col("top.less")).alias("lead"))
-    tied = tops.where(_can_link("n", "pos", "lead_n", "lead_pos")).groupBy("node", "lead").agg(F.count("*").alias("common"))
-    tied = tied.groupBy("node").agg(F.max(F.struct("common", (-F.col("lead")).alias("less"))).alias("top")).select("node", (-F.col("top.less")).alias("lead"))
-    pairs = best.unionByName(tied).distinct().select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-    tried = written(pairs, "leader-pairs")
-    return tried, written(verified(tried, rows), "leader-links")
-
-
-def open_pairs(index: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of sets that share a list, may reach the threshold, lie in different components and were not compared.
-
-    Lists whose sets are all in one component are dropped before the join, so the lists of a large group of similar
-    sets are not paired.
+    often = F.col("pos") >= F.col("rare")
+    cut = F.when(often, F.pmod(F.xxhash64("node"), F.lit(CUTS)) + 1).otherwise(0)
+    packed = places.select(
+        F.when(often, F.xxhash64("token", cut)).otherwise(F.col("token")).alias("list"),
+        F.when(often, F.col("token")).alias("token"),
+        "node",
+        (F.col("n") * F.lit(1 << 32) + F.col("pos")).alias("place"),
+    )
+    # in order of size, the sets beside a set are those nearest to it in size
+    beside = W.partitionBy("list").orderBy("place", "node")
+    for name, at in (("before", F.lag("place").over(beside)), ("before2", F.lag("place", 2).over(beside)), ("after", F.lead("place").over(beside)), ("after2", F.lead("place", 2).over(beside))):
+        packed = packed.withColumn(name, at)
+
+    def fits(other: str, alone: str) -> Column:
+        """Whether the set beside is near enough in size; where the two are the whole list, by position too."""
+        n, m = F.shiftright("place", 32), F.shiftright(other, 32)
+        left = F.least(n - F.col("place").bitwiseAND(LOW), m - F.col(other).bitwiseAND(LOW))
+        near = TO * F.least(n, m) >= OF * F.greatest(n, m)
+        return F.col(other).isNotNull() & near & (~F.expr(alone) | ((OF + TO) * left >= OF * (n + m)))
+
+    shared = fits("before", "after is null and before2 is null") | fits("after", "before is null and after2 is null")
+    kept = packed.where(F.col("token").isNotNull() | F.coalesce(shared, F.lit(False)))
+    return kept.select(
+        F.coalesce("token", "list").alias("token"),
+        F.when(F.col("token").isNotNull(), F.pmod(F.xxhash64("node"), F.lit(CUTS)) + 1).otherwise(0).cast("int").alias("cut"),
+        "node",
+        F.shiftright("place", 32).alias("n"),
+        F.col("place").bitwiseAND(LOW).alias("pos"),
+    )
+
+
+def components_of(index: DataFrame, rows: DataFrame) -> DataFrame:
+    """Components of the sets in the index (``node``, ``component``; sets without a link may be left out).
+
+    In a round every set whose list holds other components is compared with one leader, chosen anew by hash, and takes
+    over its answer. Rounds end when one finds less than a tenth of the first one's links; every pair that is then left
+    between components is compared.
     """
-    placed = index.select("token", "node", "n", "pos").join(small(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = written(placed, "placed")
+    links: DataFrame | None = None
+    tried: DataFrame | None = None
+    found = index.sparkSession.createDataFrame([], "node bigint, component bigint")
+    live, first = index, 0
+    for turn in range(MOST_ROUNDS):
+        live = written(mixed_lists(live, found), "live-lists") if links is not None else live.withColumn("component", F.col("node"))
+        asked = leader_pairs(live, turn)
+        asked = written(asked if tried is None else asked.join(tried, ["a", "b"], "left_anti"), "leader-pairs")
+        new = written(verified(asked, rows), "leader-links")
+        tried = asked if tried is None else tried.unionByName(asked)
+        count = new.count()
+        first = first or count
+        if count:
+            links = new if links is None else links.unionByName(new)
+            found = components(links)
+        if 10 * count < first or not count:
+            break
+    # what the leaders leave open
+    live = written(mixed_lists(live, found), "live-lists")
+    pairs = written(all_pairs_between(live).join(tried, ["a", "b"], "left_anti"), "open-pairs")
+    new = written(verified(pairs, rows), "open-links")
+    return components(new if links is None else links.unionByName(new))
+
+
+def mixed_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Lists (all parts together) that hold sets of several components, with each set's ``component``."""
+    placed = lists.select("token", "cut", "node", "n", "pos").join(small(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    live = written(placed.join(mixed, "token", "left_semi"), "live-lists")
+    return placed.join(mixed, "token", "left_semi")
+
+
+def leader_pairs(live: DataFrame, turn: int) -> DataFrame:
+    """One pair per set: with the leader, of another component, that leads most of its lists.
+
+    Leaders are first by hash, the same order in all lists, so similar sets have the same one. The leaders of a
+    frequent shingle's parts follow the first of them.
+    """
+    order = F.xxhash64("node", F.lit(turn))
+    who = F.struct(order.alias("order"), "node", "n", "pos", "component")
+    led = live.withColumn("lead", F.first(who).over(W.partitionBy("token", "cut").orderBy(order, "node", "pos")))
+    heads = led.where("cut > 0 and lead.node = node").select("token", "node", "n", "pos", "component")
+    first = heads.groupBy("token").agg(F.min(who).alias("lead"))
+    columns = ["node", "n", "pos", "component", "lead"]
+    parts = heads.join(first, "token").select(*columns, F.lit(1).alias("kind"))
+    asked = led.select(*columns, F.lit(0).alias("kind")).unionByName(parts).where("lead.component <> component and " + _can_link("n", "pos", "lead.n", "lead.pos"))
+    shared = asked.groupBy("node", "kind", F.col("lead.node").alias("to")).agg(F.count("*").alias("common"))
+    best = shared.groupBy("node", "kind").agg(F.max(F.struct("common", (-F.col("to")).alias("less"))).alias("top")).select("node", (-F.col("top.less")).alias("to"))
+    return best.select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct()
+
+
+def all_pairs_between(live: DataFrame) -> DataFrame:
+    """Pairs of sets of different components that share a list and may reach the threshold."""
     x = live.select("token", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "component")])
     y = live.select("token", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "component")])
     # the first of a pair is the smaller set: the order in which a list is read
     smaller = "(n_x < n_y or n_x = n_y and node_x < node_y)"
     met = x.join(y, "token").where(f"component_x <> component_y and {smaller} and " + _can_link("n_x", "pos_x", "n_y", "pos_y"))
-    pairs = met.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    return met.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
