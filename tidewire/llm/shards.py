@@ -2,7 +2,7 @@
 
 Documents with the same text are linked. Every linked document begins in a shard chosen by hash; in each round the
 links' shards are counted per text, each document wants the shard where most of its text's copies are, and moves as
-far as the shard's free quota goes. Documents without links fill the shards at the end, so that row counts differ
+far as the shard's quota goes, free places and those that leavers make. Documents without links fill the shards at the end, so that row counts differ
 by at most one. All steps are DataFrame joins and aggregations; the driver only sees one number per shard.
 """
 
@@ -45,14 +45,17 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int) -> DataFr
     """Labels of the linked documents (``rid``, ``link``, ``shard``) after at most ``rounds`` rounds.
 
     A round ends the loop when nobody moves. Of shards with equally many copies the text's hash picks one, so ties
-    spread over all shards; a full shard is passed over for the next best. A text with more copies than a shard
+    spread over all shards; a full shard that nobody leaves is passed over for the next best. A text with more copies than a shard
     holds fills one shard after another.
     """
     # the shard and the hash of a text are combined so that both sides of a move are compared by one struct
     rank = F.struct(F.col("n"), F.xxhash64("link", "shard").alias("tie"), F.col("shard").alias("at"))
+    leaving = None
     for turn in range(rounds):
         load = _per_shard(linked, "shard", shards)
-        open_to = [int(n < FULL * quota) for n in load]
+        leaving = leaving or load
+        # of those that wanted to leave in the last round, about half will have gone
+        open_to = [int(n - out / 2 < FULL * quota) for n, out in zip(load, leaving)]
         counts = linked.groupBy("link", "shard").agg(F.count("*").alias("n")).withColumn("rank", rank)
         counts = written(counts.select("link", "shard", "rank"), "shard-counts")
         best = counts.where(F.element_at(_array(open_to), F.col("shard") + 1) == 1).groupBy("link").agg(F.max("rank").alias("best"))
@@ -60,7 +63,9 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int) -> DataFr
         asked = {r[0]: r[1] for r in moves.groupBy("target").agg(F.sum("n")).collect()}
         if not asked:
             break
-        room = [max(0.0, quota - load[s]) for s in range(shards)]
+        gone = {r[0]: r[1] for r in moves.groupBy("shard").agg(F.sum("n")).collect()}
+        leaving = [gone.get(s, 0) for s in range(shards)]
+        room = [max(0.0, quota - load[s] + leaving[s] / 2) for s in range(shards)]
         share = [min(1.0, FILL * room[s] / asked[s]) if asked.get(s) else 0.0 for s in range(shards)]
         dice = F.pmod(F.xxhash64("rid", F.lit(turn)), F.lit(1_000_000)) / 1_000_000.0
         goes = F.col("target").isNotNull() & (dice < F.element_at(_array(share), F.col("target") + 1))
