@@ -1,8 +1,8 @@
 """Quality rules on lines that many documents of a host share.
 
 A line counts for a host once per *distinct document* it stands in. Copies and near copies of one document must not
-turn its own sentences into boilerplate, so a document is known to a line by what else it holds: the smallest
-five-word window outside the line. Copies agree on it, unrelated documents that share a menu or a notice do not.
+turn its own sentences into boilerplate, so a document is known to a line by what else it holds: the five-word window
+outside the line whose MD5 is smallest. Copies agree on it, unrelated documents that share a menu or a notice do not.
 Lines over the host's limit are removed, and documents of which too little is left are rejected.
 """
 
@@ -63,7 +63,7 @@ def line_key(text: str) -> int:
 
 
 def contexts(text: str, window: int = 5) -> list[tuple[int, int, int]]:
-    """For each distinct line: key, words, and the 64-bit key of the smallest window of words of the other lines."""
+    """For each distinct line: key, words, and a 64-bit key of the smallest window of the other lines."""
     found: dict[str, tuple[int, str]] = {}
     for row in line_words(text):
         shown = normal(row)
@@ -78,12 +78,10 @@ def contexts(text: str, window: int = 5) -> list[tuple[int, int, int]]:
 
 
 def smallest_window(row: list[str], window: int) -> str:
-    """The window of words that sorts first by code points; with fewer words, all of them."""
+    """The smallest MD5 of a line's windows of words; with fewer words, of all of them."""
     if len(row) <= window:
-        return " ".join(row)
-    return min(" ".join(row[i : i + window]) for i, w in enumerate(row[: len(row) - window + 1]) if w == low) if (
-        low := min(row[: len(row) - window + 1])
-    ) else ""
+        return hashlib.md5(" ".join(row).encode()).hexdigest()
+    return min(hashlib.md5(" ".join(row[i : i + window]).encode()).hexdigest() for i in range(len(row) - window + 1))
 
 
 def frequent_lines(docs: DataFrame, rules: LineRules, host: str = "source") -> DataFrame:

@@ -42,7 +42,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.component_id, d.d
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.node = d.doc_id
 """
 
-# The verdict on lines in SQL: a line's other context is the smallest five-word window outside it.
+# The verdict on lines in SQL: a line's other context is the five-word window outside it whose MD5 is smallest.
 OP7 = f"""
 WITH base AS (
   SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS ws,
@@ -63,8 +63,8 @@ WITH base AS (
   SELECT doc_id, source, {_LOWER.format("array_to_string(lw, ' ')")} AS shown, len(lw) AS n FROM line WHERE len(lw) > 0
 ), one AS (
   SELECT doc_id, source, shown, any_value(n) AS n, sum(n) AS all_n,
-         list_min(CASE WHEN any_value(n) <= 5 THEN [shown] ELSE list_transform(range(1, any_value(n) - 3),
-             lambda i: array_to_string(string_split(shown, ' ')[i:i + 4], ' ')) END) AS low
+         list_min(CASE WHEN any_value(n) <= 5 THEN [md5(shown)] ELSE list_transform(range(1, any_value(n) - 3),
+             lambda i: md5(array_to_string(string_split(shown, ' ')[i:i + 4], ' '))) END) AS low
   FROM norm GROUP BY doc_id, source, shown
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY low, shown) AS place FROM one
