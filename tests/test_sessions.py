@@ -182,3 +182,11 @@ def test_running_totals_with_crowded_scores(spark):
     for s, v in sorted(rows):
         assert got[s] == total
         total += v
+
+
+def test_days_long_before_the_calendar_have_its_first_date(spark):
+    calendar = trading_calendar(spark, date(2024, 2, 1), date(2024, 2, 29))
+    rows = [(1, "2001-05-05 10:00:00"), (2, "2024-01-02 10:00:00"), (3, "2024-02-03 10:00:00"), (4, None)]
+    df = spark.createDataFrame(rows, "id int, date_utc string").selectExpr("id", "cast(date_utc as timestamp_ntz) date_utc")
+    got = {r.id: r[2] for r in assign_sessions(df, calendar=calendar).collect()}
+    assert got == {1: date(2024, 2, 1), 2: date(2024, 2, 1), 3: date(2024, 2, 5), 4: None}

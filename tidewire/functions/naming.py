@@ -14,7 +14,7 @@ def file_name(path: Column | str) -> Column:
 
 def ticker_of(path: Column | str) -> Column:
     """``AAPL`` of ``prices/AAPL.csv`` or ``prices/ticker=AAPL.csv/part-0.csv``, URL escapes undone."""
-    name = F.regexp_extract(as_column(path), r"([^/=]+)\.csv", 1)
+    name = F.regexp_extract(as_column(path), r"([^/=]+)\.csv(?:/part-[^/]*)?$", 1)
     return F.url_decode(F.regexp_replace(name, r"\+", "%2B"))
 
 

@@ -36,7 +36,8 @@ def score_articles(
     """Add embedding and class probabilities (positive, negative, neutral) to each article.
 
     ``scorer_factory`` is called once per task, where it loads the model; texts go
-    to it whole, ``batch_size`` at a time.  A row stays with its result, so nothing
+    to it whole, ``batch_size`` at a time.  A row without a text is not scored and has
+    null results.  A row stays with its result, so nothing
     depends on row offsets.  Prune columns before, or name those to ``keep``.
     """
     rows = articles if keep is None else articles.select(*keep)
@@ -47,9 +48,15 @@ def score_articles(
         for batch in batches:
             for start in range(0, len(batch), batch_size):
                 part = batch.iloc[start : start + batch_size]
-                vectors, logits = scorer([str(t) for t in part[text]])
-                probabilities = class_probabilities(np.asarray(logits, dtype=float))
-                part = part.assign(finbert_embedding=list(np.asarray(vectors, dtype=np.float32)))
+                known = part[text].notna().to_numpy()
+                found = [None] * len(part)
+                probabilities = np.full((len(part), 3), None, dtype=object)
+                if known.any():
+                    vectors, logits = scorer([str(t) for t in part[text][known]])
+                    probabilities[known] = class_probabilities(np.asarray(logits, dtype=float))
+                    for at, vector in zip(np.flatnonzero(known), np.asarray(vectors, dtype=np.float32)):
+                        found[at] = vector
+                part = part.assign(finbert_embedding=pd.Series(found, index=part.index, dtype=object))
                 for i, name in enumerate(("sent_pos", "sent_neg", "sent_neu")):
                     part[name] = probabilities[:, i]
                 yield part

@@ -17,12 +17,15 @@ def next_trading_date(df: DataFrame, day: str, calendar: DataFrame, name: str =
     """Forward as-of join on dates: the first trading date on or after ``day``.
 
     Dates are discrete, so the join is an equality join with a lookup of one row
-    per calendar day.  Every left row stays; null, or no later trading date, gives null.
+    per calendar day; any day before the first trading date has that date.  Every left
+    row stays; null, or no later trading date, gives null.
     The lookup is broadcast: a century has 36,525 days, all dates Spark can hold are
     3.7 million, whatever the number of articles.
     """
     lookup = session_lookup(calendar).select(F.col("day").alias("_day"), F.col("trading_date").alias(name))
-    return df.join(F.broadcast(lookup), F.col(day) == F.col("_day"), "left").drop("_day")
+    first = calendar.agg(F.min("trading_date")).first()[0]
+    found = df.join(F.broadcast(lookup), F.col(day) == F.col("_day"), "left").drop("_day")
+    return found if first is None else found.withColumn(name, F.when(F.col(day) < F.lit(first), F.lit(first)).otherwise(F.col(name)))
 
 
 def assign_sessions(
