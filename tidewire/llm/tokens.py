@@ -33,7 +33,7 @@ HAS_CHECKSUM = 0x80
 #: Ids after which a frame is closed at the end of a document.
 FRAME_TOKENS = 1 << 16
 #: Pieces of text whose ids one worker remembers.
-MEMORY = 400_000
+MEMORY = 1_200_000
 
 #: One document in a file's index: its id, whether it has one, its frame, its tokens.
 ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "<u1"), ("frame", "<u4"), ("n_tokens", "<u8")])
