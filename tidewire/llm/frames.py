@@ -13,7 +13,7 @@ from tidewire.session import materialise
 
 #: Rows up to which a table of a few short columns is broadcast; about 64 MB.
 BROADCAST_ROWS = 1_000_000
-#: Rows that are worked on at once, so that what a task holds besides its Arrow batch stays small.
+#: Rows that are worked on at once, and rows of an Arrow batch: what a task holds of whole texts stays small.
 SLICE = 1000
 #: Text handed to one numpy pass.
 CHUNK_BYTES = 2 << 20
@@ -34,13 +34,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function built once per task by ``make``; it gets and gives up to ``SLICE`` rows."""
+    """``mapInArrow`` with a function built once per task by ``make``; it gets up to ``SLICE`` rows.
+
+    Sets the session's Arrow batches to ``SLICE`` rows at most: they lie in the memory of the executor and of the Python
+    worker at once. Workers live on after a task, so they give back what it no longer needs.
+    """
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(most, "10000")) <= SLICE:
+        df.sparkSession.conf.set(most, str(SLICE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 yield step(batch.slice(at, SLICE))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -9,7 +9,6 @@ Lines over the host's limit are removed, and documents of which too little is le
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,12 +92,12 @@ def frequent_lines(docs: DataFrame, rules: LineRules, host: str = "source") -> D
     """
     rows = docs.select(F.col(host).alias("host"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             hosts, keys, others, flags = [], [], [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = contexts(text or "", rules.window)
-                for at, (key, _, other) in enumerate(found):
+                for key, _, other in found:
                     hosts.append(name)
                     keys.append(key)
                     others.append(other)
@@ -108,9 +107,11 @@ def frequent_lines(docs: DataFrame, rules: LineRules, host: str = "source") -> D
                 keys.append(0)
                 others.append(line_key(text or ""))
                 flags.append(True)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(others, pa.int64()), pa.array(flags)], ["host", "key", "other", "is_doc"])
+            return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(others, pa.int64()), pa.array(flags)], ["host", "key", "other", "is_doc"])
+
+        return run
 
-    seen = rows.mapInArrow(run, "host string, key bigint, other bigint, is_doc boolean")
+    seen = arrow_map(rows, make, "host string, key bigint, other bigint, is_doc boolean")
     # distinct first, so that counts are plain sums; the rows of one hot line spread over all tasks
     counts = seen.groupBy("host", "key", "is_doc", "other").agg(F.lit(1).alias("one")).groupBy("host", "key", "is_doc").agg(F.sum("one").alias("n"))
     counts = written(counts.where((F.col("n") > rules.least) | F.col("is_doc")), "line-counts")

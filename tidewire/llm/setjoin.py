@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import words
 from tidewire.llm.components import components
-from tidewire.llm.frames import SLICE, arrow_map, small, text_chunks, written
+from tidewire.llm.frames import arrow_map, small, text_chunks, written
 
 TABLE = words.byte_table(words.SPACES, lower=True)
 SHINGLE = 5
@@ -62,13 +62,14 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """
     looked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(LOOK)) == 0).select("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                found, n = np.unique(np.concatenate(list(shingle_sets(batch.column(0).slice(at, SLICE)))), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(list(shingle_sets(batch.column(0)))), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
+
+        return run
 
-    counts = looked.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    counts = arrow_map(looked, make, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     top = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
     return top.column("token").to_numpy()[::-1].view(np.uint64)
 
