@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidewire.functions import numeric, porter, text
-from tidewire.functions.stopwords import ENGLISH
+from tidewire.functions.stopwords import ENGLISH, FURTHER, VECTORISER
 from tidewire.operators import daily, master, prices, quality, reduction, scaling, sequences, splits, tfidf
 from tidewire.operators.calendar import trading_calendar
 from tidewire.operators.sessions import SESSION, assign_sessions
@@ -215,9 +215,18 @@ def test_daily_tokens_equal_joined_text(spark, sf_dir):
     assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0
 
 
-def test_vocabulary_is_bounded(spark):
-    with pytest.raises(ValueError):
-        tfidf.fit_vocabulary(counts_frame(spark, {"a": "x"}), 1, tfidf.MAX_VOCABULARY + 1)
+def test_large_vocabulary(spark):
+    counts = counts_frame(spark, {"a": "x y", "b": "x"})
+    vocabulary = tfidf.fit_vocabulary(counts, 2, 10_000_000)
+    assert {r["term"] for r in vocabulary.collect()} == {"x", "y"}
+    assert tfidf.weigh(counts, vocabulary).count() == 3
+
+
+def test_second_stop_list(spark):
+    assert len(VECTORISER) == 318 and len(FURTHER) == len(set(FURTHER)) < 200
+    rows = spark.createDataFrame([("s", "Profits would also amaze us")], f"{SESSION} string, Article_title string")
+    assert {r["term"] for r in tfidf.daily_tokens(rows).collect()} == {"profits", "amaze"}
+    assert {r["term"] for r in tfidf.daily_tokens(rows, stemmed=True).collect()} == {"profit", "amaz"}
 
 
 # Prices and master table

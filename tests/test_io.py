@@ -274,3 +274,14 @@ def test_lost_chunk_job_is_repeated_whole(spark, tmp_path):
     rows.where("chunk = 0").limit(5).write.partitionBy("chunk").parquet(target)
     done = ingest.process_chunks(rows, "chunk", lambda df: df, target, ledger)
     assert sorted(r["id"] for r in done.collect()) == list(range(20))
+
+
+def test_one_broken_part_among_forty(spark, tmp_path):
+    path = tmp_path / "parts.parquet"
+    spark.range(400).repartition(40).write.parquet(str(path))
+    assert files.readable_parquet(spark, str(path))
+    broken = sorted(path.glob("part-*.parquet"))[-1]
+    path.joinpath(f".{broken.name}.crc").unlink()
+    broken.write_bytes(b"no footer")
+    assert not files.readable_parquet(spark, str(path))
+    assert not files.readable_parquet(spark, str(tmp_path / "gone.parquet"))

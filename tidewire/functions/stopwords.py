@@ -1,4 +1,4 @@
-"""Default English stop list."""
+"""Default English stop lists: one for cleaning, one for the vocabulary."""
 
 # The common English stop list of 179 words.
 ENGLISH = (
@@ -14,3 +14,27 @@ ENGLISH = (
     "mightn't mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't "
     "won won't wouldn wouldn't"
 ).split()
+
+# Words that the usual list of vectorisers (318 words) has besides those it shares with ``ENGLISH``.
+FURTHER = (
+    "across afterwards almost alone along already also although always among amongst amoungst amount another anyhow "
+    "anyone anything anyway anywhere around back became become becomes becoming beforehand behind beside besides "
+    "beyond bill bottom call cannot cant co con could couldnt cry de describe detail done due eg eight either eleven "
+    "else elsewhere empty enough etc even ever every everyone everything everywhere except fifteen fifty fill find "
+    "fire first five former formerly forty found four front full get give go hasnt hence hereafter hereby herein "
+    "hereupon however hundred ie inc indeed interest keep last latter latterly least less ltd made many may meanwhile "
+    "might mill mine moreover mostly move much must name namely neither never nevertheless next nine nobody none noone "
+    "nothing nowhere often one onto others otherwise part per perhaps please put rather see seem seemed seeming seems "
+    "serious several show side since sincere six sixty somehow someone something sometime sometimes somewhere still "
+    "system take ten thence thereafter thereby therefore therein thereupon thick thin third though three throughout "
+    "thru thus together top toward towards twelve twenty two un upon us via well whatever whence whenever whereafter "
+    "whereas whereby wherein whereupon wherever whether whither whoever whole whose within without would yet"
+).split()
+
+# Words of ``ENGLISH`` without an apostrophe that the list of vectorisers lacks.
+_CLEANING_ONLY = (
+    "theirs having does did doing s t just don d ll m o ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn "
+    "mustn needn shan shouldn wasn weren won wouldn"
+).split()
+
+VECTORISER = sorted(set(FURTHER) | {w for w in ENGLISH if "'" not in w and w not in _CLEANING_ONLY})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.functions import porter
-from tidewire.functions.stopwords import ENGLISH
+from tidewire.functions.stopwords import ENGLISH, VECTORISER
 from tidewire.functions.timefn import as_column
 
 # Letters of the basic Russian alphabet; the two letters outside the range stay.
@@ -40,7 +40,7 @@ def words(c: Column | str, stop: Sequence[str] = ENGLISH) -> Column:
     return _without(F.regexp_extract_all(as_column(c), F.lit("[a-z]+"), F.lit(0)), stop)
 
 
-def tokens(c: Column | str, stop: Sequence[str] = ENGLISH) -> Column:
+def tokens(c: Column | str, stop: Sequence[str] = VECTORISER) -> Column:
     """Terms of two or more word characters, lower-cased, stop words removed."""
     found = F.regexp_extract_all(F.lower(as_column(c)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     return _without(found, stop)

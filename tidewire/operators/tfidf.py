@@ -9,14 +9,11 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.stopwords import ENGLISH
+from tidewire.functions.stopwords import ENGLISH, VECTORISER
 from tidewire.functions.text import normalise, sql_list, stem_words, tokens, words
 from tidewire.operators.sessions import SESSION
 from tidewire.session import materialise
 
-# The vocabulary is broadcast; this many terms are a few megabytes.
-MAX_VOCABULARY = 100_000
-
 
 def daily_tokens(
     articles: DataFrame,
@@ -25,7 +22,7 @@ def daily_tokens(
     stop: Sequence[str] = ENGLISH,
     stemmed: bool = False,
     cleaned: bool = False,
-    second_stop: Sequence[str] = ENGLISH,
+    second_stop: Sequence[str] = VECTORISER,
 ) -> DataFrame:
     """Term counts per session as ``(session, term, tf)``.
 
@@ -58,8 +55,6 @@ def fit_vocabulary(train_tokens: DataFrame, n_docs: Column | int, max_features:
     Frequency ties go to the alphabetically smaller term.  ``idf`` is the smooth
     form ln((1 + n) / (1 + df)) + 1, ``n_docs`` the number of training sessions.
     """
-    if max_features > MAX_VOCABULARY:
-        raise ValueError(f"max_features above {MAX_VOCABULARY} cannot be broadcast")
     counted = train_tokens.groupBy("term").agg(
         F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")
     )
@@ -71,10 +66,11 @@ def fit_vocabulary(train_tokens: DataFrame, n_docs: Column | int, max_features:
 def weigh(all_tokens: DataFrame, vocabulary: DataFrame, session: str = SESSION) -> DataFrame:
     """Weights with rows of length 1: ``(session, term, weight)``.
 
-    The vocabulary has a fixed greatest size and is broadcast; after it a session has
-    at most that many rows, which bounds the norm window.
+    The size of the vocabulary is known from its limit or its table, so Spark broadcasts
+    a small one and shuffles a large one.  After the join a session has at most that
+    many rows, which bounds the norm window.
     """
-    raw = all_tokens.join(F.broadcast(vocabulary.select("term", "idf")), "term")
+    raw = all_tokens.join(vocabulary.select("term", "idf"), "term")
     raw = raw.select(session, "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(session)))
     return raw.select(session, "term", (F.col("raw") / norm).alias("weight"))
@@ -105,7 +101,7 @@ class TfidfModel:
             cells = sorted((c["index"], c["weight"]) for c in cells or [])
             return Vectors.sparse(size, [i for i, _ in cells], [w for _, w in cells])
 
-        placed = self.transform(all_tokens).join(F.broadcast(index), "term")
+        placed = self.transform(all_tokens).join(index, "term")
         cells = placed.groupBy(self.session).agg(F.collect_list(F.struct("index", "weight")).alias("cells"))
         rows = sessions.select(self.session).distinct().join(cells, self.session, "left")
         return rows.select(self.session, sparse("cells").alias("tfidf"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewire.functions.stopwords import ENGLISH
+from tidewire.functions.stopwords import ENGLISH, VECTORISER
 from tidewire.operators.calendar import exchange_holidays
 from tidewire.plans.standins import FIRST_DAY, LAST_DAY
 
 _CLOSED = ", ".join(f"DATE '{d}'" for d in exchange_holidays(FIRST_DAY.year, LAST_DAY.year))
 STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
+SECOND_STOP = ", ".join(f"'{w}'" for w in VECTORISER)
 # White space as Unicode defines it, since RE2 knows only the ASCII part under \s.
 _SPACE = r"\t\n\x{0b}\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -124,7 +125,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("cleaned",),
         f"""SELECT trading_session_date_utc, term, count(*) AS tf FROM (
   SELECT trading_session_date_utc, unnest(regexp_extract_all(clean_text, '[a-z][a-z]+')) AS term FROM cleaned)
-  WHERE term NOT IN ({STOP}) GROUP BY 1, 2""",
+  WHERE term NOT IN ({SECOND_STOP}) GROUP BY 1, 2""",
     ),
     "session_days": (
         ("session_articles",),

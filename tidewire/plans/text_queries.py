@@ -116,8 +116,8 @@ def tfidf_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("average_tfidf", rounded("average_tfidf"))
 
 
-# Frequent function words of the other three languages, which the stop list leaves in.
-WIDE_TERMS = ["de", "der", "die", "el", "la", "les", "que", "und"]
+# Frequent function words of the other three languages, which the stop lists leave in.
+WIDE_TERMS = ["der", "die", "el", "la", "les", "que", "und"]
 
 
 @register(

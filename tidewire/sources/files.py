@@ -17,10 +17,9 @@ from tidewire.sources.news import RAW_NEWS, read_csv
 
 
 def readable_parquet(spark: SparkSession, path: str) -> bool:
-    """True if the target exists and its rows can be opened."""
+    """True if the target exists and all its files have a Parquet footer; the footers are read in one parallel job."""
     try:
-        spark.read.parquet(path).limit(1).count()
-        return True
+        return len(spark.read.option("mergeSchema", True).parquet(path).columns) > 0
     except (PySparkException, Py4JJavaError):  # missing, or a file that is not Parquet
         return False
 
