@@ -24,8 +24,8 @@ from tidewire.llm.frames import arrow_map
 # The published split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces of text whose ids one worker remembers.
-MEMORY = 400_000
+#: Pieces of text whose ids a task remembers, and pairs of tokens: together about 100 MB at most.
+MEMORY, PAIRS = 200_000, 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -95,6 +95,12 @@ class BacktrackingBpe:
         self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         self.blob = np.frombuffer(b"".join(texts), np.uint8)
 
+    def forget(self) -> None:
+        """Gives back what was remembered; the tables stay."""
+        self.memory.clear()
+        self.pieces.clear()
+        self.compatible_memo.clear()
+
     def _merged(self, piece: bytes) -> list[int]:
         """Plain merging, for single vocabulary entries when the tables are built."""
         ids = [self.single[b] for b in piece]
@@ -131,7 +137,7 @@ class BacktrackingBpe:
                 # the pair met left of this merge's place: equal rank would merge the left one first
             else:
                 limit, b = rank_b + 1, self.parts[b][0]
-        if len(self.compatible_memo) < 2_000_000:
+        if len(self.compatible_memo) < PAIRS:
             self.compatible_memo[key] = answer
         return answer
 
@@ -244,7 +250,12 @@ def load(path: str) -> BacktrackingBpe:
     return _loaded[path]
 
 
-def _over_texts(df: DataFrame, text: str, make: Callable[[], Callable[[str], dict]], schema: str, names: list[str]) -> DataFrame:
+def forget(path: str) -> Callable[[], None]:
+    """Ends a task: its worker lives on and may be needed for other work."""
+    return lambda: load(path).forget()
+
+
+def _over_texts(df: DataFrame, text: str, make: Callable[[], Callable[[str], dict]], schema: str, names: list[str], done: Callable[[], None]) -> DataFrame:
     others = [c for c in df.columns if c not in names]
     frame = df.select(*[f"`{c}`" for c in others])
     added = [(f.split()[0], pa.binary() if f.endswith("binary") else pa.int64() if f.endswith("bigint") else pa.string()) for f in schema.split(", ")]
@@ -260,7 +271,7 @@ def _over_texts(df: DataFrame, text: str, make: Callable[[], Callable[[str], dic
         return run
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-    return arrow_map(frame, build, f"{kept}, {schema}")
+    return arrow_map(frame, build, f"{kept}, {schema}", done)
 
 
 def encode_texts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -280,7 +291,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
         return step
 
-    return _over_texts(df, text, make, "ids binary, n_tokens bigint", ["ids", "n_tokens"])
+    return _over_texts(df, text, make, "ids binary, n_tokens bigint", ["ids", "n_tokens"], forget(path))
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -331,4 +342,5 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
         docs.selectExpr("cast(doc_id as bigint) doc_id", "text"),
         build,
         "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        forget(path),
     )
