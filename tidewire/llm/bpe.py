@@ -24,8 +24,9 @@ from tidewire.llm.frames import arrow_map
 # The published split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces of text whose ids a task remembers, and pairs of tokens: together about 100 MB at most.
-MEMORY, PAIRS = 200_000, 400_000
+#: Texts between spaces whose ids a task remembers, pieces of those that hold several, and pairs of tokens: together
+#: about 110 MB at most.
+MEMORY, PIECES, PAIRS = 400_000, 50_000, 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -177,12 +178,15 @@ class BacktrackingBpe:
 
     def _chunk(self, text: str) -> bytes:
         pieces, out = self.pieces, []
-        for piece in self.split.findall(text):
+        found = self.split.findall(text)
+        if len(found) == 1:  # the caller remembers it
+            return np.array(self.piece_ids(found[0].encode()), "<u4").tobytes()
+        for piece in found:
             ids = pieces.get(piece)
             if ids is None:
                 ids = np.array(self.piece_ids(piece.encode()), "<u4").tobytes()
                 if len(piece) <= 100:
-                    if len(pieces) >= MEMORY:
+                    if len(pieces) >= PIECES:
                         pieces.clear()
                     pieces[piece] = ids
             out.append(ids)
