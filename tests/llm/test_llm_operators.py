@@ -337,6 +337,34 @@ def test_shared_lines_reject_depleted_documents(spark):
     assert kept[40] == "id0 x0" and kept[50] == texts[50]
 
 
+def made_sentence(rng, n):
+    return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+
+
+def test_shared_lines_without_richer_documents(spark):
+    rng = random.Random(7)
+    shared = [made_sentence(rng, 20) for _ in range(5)]
+    texts = ["\n".join([*shared, f"id{i}"]) for i in range(30)]  # hardly anything of their own, and nothing richer beside them
+    texts += [made_sentence(rng, 60) for _ in range(300)]
+    got = {r.doc_id: r for r in lines.judge(frame(spark, texts)).collect()}
+    assert all(got[i].removed_words == 100 and not got[i].kept for i in range(30))
+    assert all(got[i].kept and got[i].removed_words == 0 for i in range(30, len(texts)))
+
+
+def test_edited_copies_change_no_other_verdict(spark):
+    rng = random.Random(8)
+    notice = made_sentence(rng, 20)
+    texts = [f"{notice}\n{made_sentence(rng, 3)}" for _ in range(15)]  # 15 of 515 documents
+    texts += [made_sentence(rng, 60) for _ in range(500)]
+    body = [made_sentence(rng, 60).split(" ") for _ in range(2)]
+    copies = ["\n".join(" ".join(w if k != i % 60 or half != i // 60 % 2 else f"q{i}" for k, w in enumerate(part)) for half, part in enumerate(body)) for i in range(400)]
+    alone = {r.doc_id: (r.removed_words, r.kept) for r in lines.judge(frame(spark, texts)).collect()}
+    beside = {r.doc_id: (r.removed_words, r.kept) for r in lines.judge(frame(spark, texts + copies)).collect()}
+    assert alone == {i: beside[i] for i in range(len(texts))}
+    assert all(alone[i] == (20, False) for i in range(15))
+    assert all(beside[i] == (0, True) for i in range(len(texts), len(texts + copies)))
+
+
 def test_line_counts(spark):
     texts = [None, "", "a b c d e x a b c d e", "É#é $|\n \n\t\nx y\nx y\nX y\nx y ", "one " * 30]
     got = {r.doc_id: r for r in lines.judge(frame(spark, texts)).collect()}

@@ -1,8 +1,9 @@
 """Quality rules on lines that many documents of a host share.
 
-A line counts for a host once per *distinct document* it stands in. Copies and near copies of one document must not
-turn its own sentences into boilerplate, so a document is known to a line by what else it holds: the five-word window
-outside the line whose MD5 is smallest. Copies agree on it, unrelated documents that share a menu or a notice do not.
+A line counts for a host once per *distinct document* it stands in, and the host's documents are counted the same way.
+Copies and near copies of one document must not turn its own sentences into boilerplate, so texts that link by the exact
+Jaccard join are one document. Texts that are little but shared lines link too; they are told apart by their own lines,
+those with words that mostly do not stand in the text that leads the component (an edited line keeps most of its words).
 Lines over the host's limit are removed, and documents of which too little is left are rejected.
 """
 
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm import words
+from tidewire.llm import setjoin, words
 from tidewire.llm.frames import arrow_map, small, text_chunks, written
 
 # Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+#: Words of all leading texts together up to which they are broadcast.
+LEAD_WORDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -61,26 +64,50 @@ def line_key(text: str) -> int:
     return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big", signed=True)
 
 
-def contexts(text: str, window: int = 5) -> list[tuple[int, int, int]]:
-    """For each distinct line: key, words, and a 64-bit key of the smallest window of the other lines."""
-    found: dict[str, tuple[int, str]] = {}
-    for row in line_words(text):
-        shown = normal(row)
-        if shown not in found:
-            found[shown] = (len(row), smallest_window(shown.split(" "), window))
-    ranked = sorted((low, shown) for shown, (_, low) in found.items())[:2]
-    out = []
-    for shown, (count, _) in found.items():
-        others = [low for low, other in ranked if other != shown]
-        out.append((line_key(shown), count, line_key(others[0]) if others else 0))
-    return out
+def own_lines(text: str, known: set[str]) -> list[int]:
+    """Sorted keys of the lines with more words outside ``known`` than in it."""
+    rows = (normal(row).split(" ") for row in line_words(text))
+    return sorted({line_key(" ".join(row)) for row in rows if 2 * sum(w not in known for w in row) > len(row)})
+
+
+def with_classes(rows: DataFrame) -> DataFrame:
+    """``rows`` (``host``, ``text``) with ``class``: equal for texts that count as one document. Null is the empty text.
+
+    The class of a text is its component's, which is the key of the component's leading text, or is made of that and the
+    text's own lines. A text is known by 64 bits of its hash, so ids need not be there or differ.
+    """
+    keyed = rows.select("host", F.coalesce("text", F.lit("")).alias("text")).withColumn("doc", F.xxhash64("text"))
+    repeated = written(keyed.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "repeated-texts")
+    copies = keyed.join(small(repeated), "doc", "left_semi").select("doc", "text").dropDuplicates(["doc"])
+    each = keyed.join(small(repeated), "doc", "left_anti").select("doc", "text").unionByName(written(copies, "one-of-each"))
+    found = setjoin.link_components(each.withColumnRenamed("doc", "doc_id"))
+    linked = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("doc"), F.col("component_id").alias("lead")), "linked-texts")
+    leads = written(linked.select("lead").distinct(), "leads")
+
+    def make_known():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            known = [list({w for row in line_words(text) for w in normal(row).split(" ")}) for text in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.list_(pa.string()))], ["lead", "known"])
 
+        return run
+
+    lead_texts = each.withColumnRenamed("doc", "lead").join(small(leads), "lead", "left_semi").select("lead", "text")
+    known = written(arrow_map(lead_texts, make_known, "lead bigint, known array<string>"), "lead-words")
+    held = known.agg(F.sum(F.size("known"))).first()[0] or 0
+    members = keyed.join(small(linked), "doc").join(F.broadcast(known) if held <= LEAD_WORDS else known, "lead").select("host", "text", "lead", "known")
+
+    def make_class():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for text, lead, known in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                own = own_lines(text, set(known))
+                out.append(line_key(f"{lead} {own}") if own else lead)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["host", "text", "class"])
+
+        return run
 
-def smallest_window(row: list[str], window: int) -> str:
-    """The smallest MD5 of a line's windows of words; with fewer words, of all of them."""
-    if len(row) <= window:
-        return hashlib.md5(" ".join(row).encode()).hexdigest()
-    return min(hashlib.md5(" ".join(row[i : i + window]).encode()).hexdigest() for i in range(len(row) - window + 1))
+    others = keyed.join(small(linked), "doc", "left_anti").select("host", "text", F.col("doc").alias("class"))
+    return others.unionByName(arrow_map(members, make_class, "host string, text string, class bigint"))
 
 
 def frequent_lines(docs: DataFrame, rules: LineRules, host: str = "source") -> DataFrame:
@@ -90,30 +117,25 @@ def frequent_lines(docs: DataFrame, rules: LineRules, host: str = "source") -> D
     host has at most 100 / ``percent`` times the lines of its average document in ``removed``. A null host is a host
     of its own.
     """
-    rows = docs.select(F.col(host).alias("host"), "text")
+    rows = with_classes(docs.select(F.col(host).alias("host"), "text"))
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            hosts, keys, others, flags = [], [], [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = contexts(text or "", rules.window)
-                for key, _, other in found:
-                    hosts.append(name)
-                    keys.append(key)
-                    others.append(other)
-                    flags.append(False)
-                # the host's distinct documents are counted by their texts
-                hosts.append(name)
-                keys.append(0)
-                others.append(line_key(text or ""))
-                flags.append(True)
-            return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(others, pa.int64()), pa.array(flags)], ["host", "key", "other", "is_doc"])
+            hosts, keys, classes, flags = [], [], [], []
+            for name, text, doc in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = {line_key(normal(row)) for row in line_words(text)}
+                hosts += [name] * (len(found) + 1)
+                keys += [*found, 0]
+                classes += [doc] * (len(found) + 1)
+                # the host's distinct documents
+                flags += [False] * len(found) + [True]
+            return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(classes, pa.int64()), pa.array(flags)], ["host", "key", "class", "is_doc"])
 
         return run
 
-    seen = arrow_map(rows, make, "host string, key bigint, other bigint, is_doc boolean")
+    seen = arrow_map(rows, make, "host string, key bigint, class bigint, is_doc boolean")
     # distinct first, so that counts are plain sums; the rows of one hot line spread over all tasks
-    counts = seen.groupBy("host", "key", "is_doc", "other").agg(F.lit(1).alias("one")).groupBy("host", "key", "is_doc").agg(F.sum("one").alias("n"))
+    counts = seen.groupBy("host", "key", "is_doc", "class").agg(F.lit(1).alias("one")).groupBy("host", "key", "is_doc").agg(F.sum("one").alias("n"))
     counts = written(counts.where((F.col("n") > rules.least) | F.col("is_doc")), "line-counts")
     totals = counts.where("is_doc").select(F.col("host").alias("of"), F.col("n").alias("total"))
     lines = counts.where("not is_doc")
