@@ -160,6 +160,17 @@ def test_session_text_in_parts_keeps_every_title(spark):
     assert whole[2] == " ".join(f"title{i}" for i in range(200))
 
 
+def test_session_text_parts_in_order_are_the_text(spark):
+    titles = [(date(2024, 1, 2 + i % 2), datetime(2024, 1, 2, i % 7), i, None if i % 50 == 9 else f"title{i}") for i in range(400)]
+    df = spark.createDataFrame(titles, f"{SESSION} date, date_utc timestamp_ntz, article_id int, Article_title string").repartition(5)
+    whole = {r[SESSION]: r["daily_text"] for r in session_text(df).collect()}
+    for most in (1, 100, 700):
+        parts = session_text(df, max_chars=most).orderBy(SESSION, "part").collect()
+        assert len(parts) > 4 - 2 * (most == 700)
+        for day, text in whole.items():
+            assert " ".join(r["daily_text"] for r in parts if r[SESSION] == day and r["daily_text"]) == text
+
+
 def test_positions_equal_brute_force(spark):
     rng = random.Random(3)
     days = [date(2024, 1, 1) + timedelta(days=d) for d in range(20)]

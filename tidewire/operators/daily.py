@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.operators.sessions import SESSION
+from tidewire.session import materialise
 
 # Longest text put into one row (characters), well below the 2 GB limit of a value.
 MAX_TEXT = 64 * 1024 * 1024
@@ -22,19 +23,28 @@ def session_text(
 ) -> DataFrame:
     """Titles of a session joined by blanks in time order, as ``(session, part, daily_text)``.
 
-    A session is one row (part 0) unless its text is longer than ``max_chars``; then
-    its articles are spread by their id over as many parts as that needs, each in time
-    order, so that no task holds a whole hot session.  Nothing is left out.
+    A session is cut in time order: part ``k`` has the titles before which the session has
+    ``k`` times ``max_chars`` characters or more, so its parts in order are its text at any
+    size, and no row holds more than ``max_chars`` and one title besides blanks.  Articles are
+    range-partitioned by session and order, so no task holds a whole hot session.  Nothing is
+    left out.
     """
-    sized = articles.groupBy(session).agg(F.sum(F.length(text)).alias("_chars"))
-    parts = F.greatest(F.ceil(F.col("_chars") / F.lit(max_chars)), F.lit(1))
-    # one row per trading session
-    sized = F.broadcast(sized.select(F.col(session).alias("_s"), parts.alias("_parts")))
-    placed = articles.join(sized, F.col(session).eqNullSafe(F.col("_s")))
-    part = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(order[1]), F.col("_parts"))).otherwise(0)
+    spark = articles.sparkSession
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = articles.select(session, *order, text, F.coalesce(F.length(text), F.lit(0)).cast("long").alias("_chars"))
+    # written once: sums and rows must come from the same slices
+    rows = materialise(rows.repartitionByRange(slices, session, *order).withColumn("_slice", F.spark_partition_id()), "session-text")
+    # one row per slice and session
+    sums = rows.groupBy(F.col(session).alias("_s"), F.col("_slice").alias("_of")).agg(F.sum("_chars").alias("_sum"))
+    earlier = Window.partitionBy("_s").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_s", "_of", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    before = Window.partitionBy("_slice", session).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_before", F.coalesce(F.sum("_chars").over(before), F.lit(0)))
+    placed = placed.join(F.broadcast(starts), (F.col("_slice") == F.col("_of")) & F.col(session).eqNullSafe(F.col("_s")))
+    part = F.floor((F.col("_start") + F.col("_before")) / F.lit(max_chars)).cast("int")
     entry = F.when(F.col(text).isNotNull(), F.struct(*order, text))
     listed = F.array_sort(F.collect_list(entry))
-    grouped = placed.groupBy(session, part.cast("int").alias("part")).agg(listed.alias("_titles"))
+    grouped = placed.groupBy(session, part.alias("part")).agg(listed.alias("_titles"))
     joined = F.array_join(F.col(f"_titles.{text}"), " ")
     return grouped.select(session, "part", joined.alias("daily_text"))
 
