@@ -247,6 +247,14 @@ def test_url_words_decide(spark):
     assert urls.best_split("gardennews", {"garden": 5, "news": 5, "den": 9, "new": 2}, 100) == ["garden", "news"]
 
 
+def test_url_words_decide_without_noise(spark):
+    text = "<p>" + "win free news of the garden club " * 30 + "</p>"
+    rows = [(i, f"http://m.casino-win{i % 2}.example.xyz/a/{i}", text, None) for i in range(6)]
+    rows += [(10 + i, f"http://gardennews{i % 3}.example.xyz/a/{i}", text + " $$$ ###" * (200 * (i % 4 == 0)), None) for i in range(60)]
+    got = {r.page_id: r.verdict for r in urls.judge(pages(spark, rows), {}).collect()}
+    assert {i for i, verdict in got.items() if verdict == "block"} == set(range(6))
+
+
 # -- 6: Jaccard join ---------------------------------------------------------------------------------------------
 def brute_sets(texts):
     out = {}

@@ -2,7 +2,7 @@
 
 Host names run words together. Each part of a host is split into words by the unigram path of highest probability,
 with word counts of the pages' own visible text. A multinomial naive Bayes model over the words of host and path then
-decides; it learns from the pages themselves, where a page whose text is mostly noise marks stands for a bad one.
+decides; it learns from the pages themselves, where a url with a word of ``BAD_WORDS`` stands for a bad one.
 Every count is a Spark aggregation over all rows, the vocabulary is joined and never broadcast.
 """
 
@@ -22,6 +22,13 @@ from tidewire.llm.frames import arrow_map, small, written
 #: Longest word a host part is split into, and longest part that is split at all (the limit of a DNS label).
 LONGEST_WORD, LONGEST_PART = 20, 63
 
+#: Weak labels: words of hosts and paths of gambling, medicine sales, adult, spam, advertising and malware sites.
+BAD_WORDS = (
+    "casino casinos poker gambling bet bets betting slots jackpot roulette lottery "
+    "pill pills pharmacy viagra cialis porn porno xxx sex adult nude escort escorts "
+    "spam ads adserver adserv tracker track clickbait malware phishing warez keygen crack"
+).split()
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -134,10 +141,13 @@ def rule_of(urls: DataFrame, rules: dict[str, str]) -> DataFrame:
     return urls.join(fitting, ["host", "path"], "left").select(*[urls[c] for c in urls.columns], F.col("top.rule").alias("rule"), F.col("top.rule_verdict").alias("rule_verdict"))
 
 
-def noisy(html: F.Column) -> F.Column:
-    """Whether more than a tenth of the blank-separated strings of a page end in a run of noise marks."""
-    marks = F.regexp_count(html, F.lit(r"(###|\*\*\*|\$\$\$|%%%|&amp;&amp;|!!)(?=[\s<]|$)"))
-    return F.coalesce(10 * marks > F.regexp_count(html, F.lit(r"\S+")), F.lit(False))
+def labelled(urls: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``urls`` with ``bad``: whether a word of ``BAD_WORDS`` is among the words of the host or path, or is a whole
+    string of letters of the host (where the split may have cut it)."""
+    seeds = F.array(*[F.lit(w) for w in BAD_WORDS])
+    named = tokens.where(F.regexp_replace("token", "^/", "").isin(BAD_WORDS)).select("host", "path").distinct().withColumn("seeded", F.lit(True))
+    whole = F.arrays_overlap(F.split("host", "[^a-z]+"), seeds)
+    return urls.join(small(written(named, "seeded-urls")), ["host", "path"], "left").withColumn("bad", F.coalesce("seeded", F.lit(False)) | whole).drop("seeded")
 
 
 def url_tokens(urls: DataFrame, words: DataFrame) -> DataFrame:
@@ -153,16 +163,17 @@ def judge(pages: DataFrame, rules: dict[str, str], url: str = "url", html: str =
     """``pages`` (without ``html``) with ``host``, ``path``, ``rule``, ``verdict`` and the method's ``log_odds`` of bad.
 
     Every row is kept. A null url, or one without ``://``, has empty host and path, no rule and no token, so the
-    share of bad pages decides, as it does when no page is noisy. Columns of ``pages`` with the names of results are
-    replaced. The pages' text is read for word counts and noise only; what is joined to the rows is one row per
-    distinct host and path.
+    share of bad pages decides, as it does when no url has a bad word. Columns of ``pages`` with the names of results
+    are replaced. The pages' text is read for word counts only; what is joined to the rows is one row per distinct
+    host and path.
     """
     named = pages.drop("host", "path", "rule", "verdict", "log_odds").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    urls = written(named.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(noisy(F.col(html)).cast("int")).alias("n_bad")), "urls")
+    urls = written(named.groupBy("host", "path").agg(F.count("*").alias("n")), "urls")
     counts = word_counts(pages, html)
     parts = urls.select(F.explode(F.expr("split(host, '[^a-z]+')")).alias("part")).where("part <> ''").distinct()
     words = written(segment(parts, written(counts, "word-counts")), "host-words")
     tokens = written(url_tokens(urls, small(words)), "url-tokens")
+    urls = written(labelled(urls, tokens).select("host", "path", "n", F.when(F.col("bad"), F.col("n")).otherwise(0).alias("n_bad")), "labelled-urls")
     with_n = tokens.join(urls, ["host", "path"])
     model = written(with_n.groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")), "token-counts")
     whole = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_bad"), F.lit(0)), F.count("*")).first()
