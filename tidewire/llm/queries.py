@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, decontam, lines, quality, setjoin, shards, sql, tokens, unigram, urls, warc
+from tidewire.llm import align, bpe, decontam, lines, quality, setjoin, shards, sql, tokens, unigram, urls, warc
 
 #: The blocking and allowing rules of the URL filter.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -80,6 +80,11 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document."""
+    return align.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline.py`` in turn."""
     import corpus_pipeline
@@ -100,6 +105,7 @@ QUERIES = {
         op8_label_propagation,
         op9_unigram_counts,
         op10_suffix_decontamination,
+        op11_token_alignment,
         pipeline,
     )
 }
