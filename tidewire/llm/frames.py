@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.session import materialise
@@ -33,15 +33,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, f"llm-{name}")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ``SLICE`` rows at most: they lie in the memory of the executor and of the Python
+    worker at once."""
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(most, "10000")) <= SLICE:
+        spark.conf.set(most, str(SLICE))
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
     """``mapInArrow`` with a function built once per task by ``make``; it gets up to ``SLICE`` rows. ``done`` ends a task.
 
-    Sets the session's Arrow batches to ``SLICE`` rows at most: they lie in the memory of the executor and of the Python
-    worker at once. Workers live on after a task, so they give back what it no longer needs.
+    Workers live on after a task, so they give back what it no longer needs.
     """
-    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(most, "10000")) <= SLICE:
-        df.sparkSession.conf.set(most, str(SLICE))
+    short_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import align, bpe, decontam, lines, quality, setjoin, shards, sql, tokens, unigram, urls, warc
+from tidewire.llm import align, bpe, chat, decontam, lines, quality, runs, setjoin, shards, sql, tokens, unigram, urls, warc
 
 #: The blocking and allowing rules of the URL filter.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -85,6 +87,65 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """One document in ten repeats some of its words to its end. A document without an id stays as it is."""
+    mark = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or mark % 10 or not words:
+        return words
+    rest = mark // 10
+    at = rest % len(words)
+    left = len(words) - at
+    period = 1 + left // (3 + rest % 8)
+    return words[:at] + (words[at : at + period] * -(-left // period))[:left]
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document's words, and the digest of what is left without the repeats."""
+    docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as bigint) doc_id", "text")
+    found = runs.repetitions(docs, change=planted_period)
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: Texts of the conversation that is added to the table's.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's turns as JSON records of several layouts, and one more conversation full of control strings."""
+    more = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as bigint) conv_id", "cast(turn as bigint) turn", "role", "text").unionByName(more)
+    text = F.coalesce("text", F.lit(""))
+    known, odd = F.col("role").isin("system", "user", "assistant"), F.col("turn") % 3
+    sender = F.expr("case role when 'user' then 'human' when 'assistant' then 'gpt' else role end")
+
+    def made(column: Column) -> Column:
+        return F.to_json(column, {"ignoreNullFields": "false"})
+
+    record = (
+        F.when((F.col("role") == "user") & (odd == 0), made(F.struct(text.alias("prompt"))))
+        .when((F.col("role") == "assistant") & (odd == 1), made(F.struct(text.alias("response"))))
+        .when(F.col("role") == "system", made(F.struct(text.alias("system"))))
+        .when(known & (odd == 2), made(F.struct(F.array(F.struct(sender.alias("from"), text.alias("value"))).alias("conversations"))))
+        .otherwise(made(F.struct(F.array(F.struct(F.col("role"), text.alias("content"))).alias("messages"))))
+    )
+    return turns.select("conv_id", "turn", record.alias("record"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and what is read back from the formatted table."""
+    return chat.conversation_digests(chat.formatted_table(conversation_records(spark, sf_dir)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline.py`` in turn."""
     import corpus_pipeline
@@ -106,6 +167,8 @@ QUERIES = {
         op9_unigram_counts,
         op10_suffix_decontamination,
         op11_token_alignment,
+        op12_word_runs,
+        op13_chat_format,
         pipeline,
     )
 }
