@@ -42,11 +42,11 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.component_id, d.d
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.node = d.doc_id
 """
 
-# The verdict on lines in SQL: a line's other context is the five-word window outside it whose MD5 is smallest.
+# Lines are known by their text, documents by 60 bits of the text's MD5 as hexadecimal digits.
 OP7 = f"""
-WITH base AS (
-  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS ws,
-         string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+WITH RECURSIVE base AS (
+  SELECT doc_id, coalesce('+' || source, '-') AS source, coalesce(text, '') AS text, substr(md5(coalesce(text, '')), 1, 15) AS h,
+         regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS ws, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), g AS (
   SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS gram
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM base WHERE len(ws) > 5)
@@ -55,31 +55,62 @@ WITH base AS (
 ), rep AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM t, range(0, 5) AS o(k) GROUP BY doc_id
 ), line AS (
-  SELECT doc_id, source, line, regexp_extract_all(line, '{_SPACE}') AS lw
-  FROM (SELECT doc_id, source, unnest(ls) AS line FROM base)
+  SELECT doc_id, source, h, line, regexp_extract_all(line, '{_SPACE}') AS lw
+  FROM (SELECT doc_id, source, h, unnest(ls) AS line FROM base)
 ), dup AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM line WHERE len(lw) > 0 GROUP BY doc_id
-), norm AS (
-  SELECT doc_id, source, {_LOWER.format("array_to_string(lw, ' ')")} AS shown, len(lw) AS n FROM line WHERE len(lw) > 0
 ), one AS (
-  SELECT doc_id, source, shown, any_value(n) AS n, sum(n) AS all_n,
-         list_min(CASE WHEN any_value(n) <= 5 THEN [md5(shown)] ELSE list_transform(range(1, any_value(n) - 3),
-             lambda i: md5(array_to_string(string_split(shown, ' ')[i:i + 4], ' '))) END) AS low
-  FROM norm GROUP BY doc_id, source, shown
-), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY low, shown) AS place FROM one
-), two AS (
-  SELECT doc_id, max(low) FILTER (WHERE place = 1) AS low1, max(low) FILTER (WHERE place = 2) AS low2 FROM ranked GROUP BY doc_id
-), context AS (
-  SELECT r.doc_id, source, shown, all_n, coalesce(CASE WHEN place = 1 THEN low2 ELSE low1 END, '(none)') AS other
-  FROM ranked r JOIN two USING (doc_id)
+  SELECT doc_id, source, h, {_LOWER.format("array_to_string(lw, ' ')")} AS shown, sum(len(lw)) AS n
+  FROM line WHERE len(lw) > 0 GROUP BY doc_id, source, h, shown
+), lines AS (
+  SELECT DISTINCT source, h, shown, n FROM one
+), counts AS (
+  SELECT source, shown, count(*) AS n FROM lines GROUP BY source, shown
 ), host AS (
-  SELECT source, count(DISTINCT text) AS total FROM base GROUP BY source
+  SELECT source, count(DISTINCT h) AS total FROM base GROUP BY source
 ), hot AS (
-  SELECT c.source, shown FROM context c JOIN host h ON c.source IS NOT DISTINCT FROM h.source
-  GROUP BY c.source, shown, total HAVING count(DISTINCT other) > 10 AND count(DISTINCT other) * 100 > total * 2
+  SELECT c.source, c.shown FROM counts c JOIN host USING (source) WHERE n > 10 AND n * 100 > total * 2
+), many AS (
+  SELECT l.source, l.h FROM lines l JOIN hot USING (source, shown) JOIN (SELECT DISTINCT h, len(ws) AS n_words FROM base) b ON b.h = l.h
+  GROUP BY l.source, l.h, n_words HAVING sum(l.n) * 100 >= n_words * 25
+), texts AS (
+  SELECT DISTINCT h, text, ws FROM base WHERE h IN (SELECT h FROM many)
+), s AS (
+  SELECT DISTINCT h, unnest(CASE WHEN len(ws) < 5 THEN [lw] ELSE list_transform(range(1, len(ws) - 3), lambda i:
+      array_to_string(string_split(lw, ' ')[i:i + 4], ' ')) END) AS g
+  FROM (SELECT h, ws, {_LOWER.format("array_to_string(ws, ' ')")} AS lw FROM texts)
+), n AS (
+  SELECT h, count(*) AS n FROM s GROUP BY h
+), near AS (
+  SELECT x.h AS a, y.h AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.h <> y.h GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM near JOIN n na ON na.h = a JOIN n nb ON nb.h = b WHERE 100 * common >= 75 * (na.n + nb.n - common)
+), r AS (
+  SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen
+), led AS (
+  SELECT node AS h, min(seen) AS lead FROM r GROUP BY node
+), vocabulary AS (
+  SELECT DISTINCT lead, unnest(string_split({_LOWER.format("array_to_string(ws, ' ')")}, ' ')) AS word
+  FROM (SELECT DISTINCT lead FROM led) JOIN texts ON h = lead
+), spoken AS (
+  SELECT h, lead, shown, unnest(string_split(shown, ' ')) AS word FROM led JOIN (SELECT DISTINCT h, shown FROM lines) USING (h)
+), own AS (
+  SELECT s.h, s.lead, shown FROM spoken s LEFT JOIN vocabulary v ON v.lead = s.lead AND v.word = s.word
+  GROUP BY s.h, s.lead, shown HAVING 2 * count(*) FILTER (v.word IS NULL) > count(*)
+), class AS (
+  SELECT led.h, lead || coalesce(string_agg(md5(shown), ',' ORDER BY shown), '') AS class FROM led LEFT JOIN own USING (h, lead) GROUP BY led.h, lead
+), classed AS (
+  SELECT source, h, class FROM many JOIN class USING (h)
+), fewer_lines AS (
+  SELECT source, shown, count(DISTINCT h) - count(DISTINCT class) AS fewer FROM lines JOIN classed USING (source, h) GROUP BY source, shown
+), fewer_docs AS (
+  SELECT source, count(DISTINCT h) - count(DISTINCT class) AS fewer FROM classed GROUP BY source
+), hotter AS (
+  SELECT c.source, c.shown FROM counts c JOIN host USING (source)
+  LEFT JOIN fewer_lines fl ON fl.source = c.source AND fl.shown = c.shown LEFT JOIN fewer_docs fd ON fd.source = c.source
+  WHERE n - coalesce(fl.fewer, 0) > 10 AND (n - coalesce(fl.fewer, 0)) * 100 > (total - coalesce(fd.fewer, 0)) * 2
 ), gone AS (
-  SELECT doc_id, sum(all_n) AS n FROM context c JOIN hot h ON c.source IS NOT DISTINCT FROM h.source AND c.shown = h.shown GROUP BY doc_id
+  SELECT doc_id, sum(n) AS n FROM one JOIN hotter USING (source, shown) GROUP BY doc_id
 ), f AS (
   SELECT b.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
