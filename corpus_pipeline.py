@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither fail the base rules nor consist of lines shared across their source."""
     ship_package(spark)
-    return lines.judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    return lines.kept_rows(docs.select(*COLUMNS))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
