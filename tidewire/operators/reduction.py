@@ -2,63 +2,73 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseMatrix
+from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators.sessions import SESSION
+from tidewire.operators.subspace import leading_components
 from tidewire.session import materialise
 
 
+#: Vectors up to this width have their covariance matrix summed up (1 MB); wider ones are projected, see ``subspace``.
+SQUARE_WIDTH = 384
+
+
 @dataclass
 class CentredPca:
-    """Fitted components; ``transform`` centres, which the built-in transform does not."""
+    """Fitted components, one column each; the largest loading by magnitude is positive."""
 
-    model: object
+    components: np.ndarray
     mean: np.ndarray
-    signs: np.ndarray
-
-    @property
-    def components(self) -> np.ndarray:
-        """Loadings, one column per component; the largest by magnitude is positive."""
-        return self.model.pc.toArray() * self.signs
-
-    @property
-    def explained_variance(self) -> np.ndarray:
-        return self.model.explainedVariance.toArray()
+    explained_variance: np.ndarray
 
     def transform(self, df: DataFrame, column: str, prefix: str) -> DataFrame:
-        """Add one column per component, ``<prefix>_0`` and on."""
-        k = len(self.signs)
+        """Add one column per component, ``<prefix>_0`` and on: the centred vector's coordinates."""
+        k = self.components.shape[1]
         offset = (self.mean @ self.components).tolist()
-        signs = self.signs.tolist()
-        projected = self.model.setInputCol(column).setOutputCol("_pc").transform(df)
+        model = _projection(self.components)
+        projected = model.setInputCol(column).setOutputCol("_pc").transform(df)
         projected = projected.withColumn("_pc", vector_to_array("_pc"))
-        named = {f"{prefix}_{i}": F.get("_pc", i) * signs[i] - F.lit(offset[i]) for i in range(k)}
+        named = {f"{prefix}_{i}": F.get("_pc", i) - F.lit(offset[i]) for i in range(k)}
         return projected.withColumns(named).drop("_pc")
 
 
+def _projection(components: np.ndarray) -> PCAModel:
+    """A JVM model that multiplies vectors, sparse ones too, by the components."""
+    jvm = SparkSession.active()._jvm
+    width, k = components.shape
+    matrix = _py2java(SparkSession.active().sparkContext, DenseMatrix(width, k, components.ravel(order="F").tolist()))
+    variances = _py2java(SparkSession.active().sparkContext, Vectors.dense([0.0] * k))
+    model = PCAModel(jvm.org.apache.spark.ml.feature.PCAModel(f"pca-{uuid.uuid4().hex}", matrix, variances))
+    return model._set(k=k)
+
+
 def fit_pca(train: DataFrame, column: str, components: int) -> CentredPca:
     """Fit on the rows given; components are capped by rows and width.
 
-    The covariance is summed up over the cluster; only the width-by-width result
-    and the loadings reach the driver.
+    Narrow vectors have their covariance summed up over the cluster; only that matrix and the loadings reach
+    the driver.  Wide ones are projected round by round, so no matrix of width times width exists anywhere.
     """
     row = train.select(Summarizer.metrics("mean", "count").summary(F.col(column)).alias("s")).first()["s"]
     mean = row["mean"].toArray()
     k = min(components, row["count"], len(mean))
-    model = PCA(k=k, inputCol=column, outputCol="_pc").fit(train)
-    pc: DenseMatrix = model.pc
-    loadings = pc.toArray()
+    if len(mean) > SQUARE_WIDTH:
+        mean, loadings, variance = leading_components(train, column, k)
+    else:
+        model = PCA(k=k, inputCol=column, outputCol="_pc").fit(train)
+        loadings, variance = model.pc.toArray(), model.explainedVariance.toArray()
     top = np.abs(loadings).argmax(axis=0)
     signs = np.where(loadings[top, range(k)] < 0, -1.0, 1.0)
-    return CentredPca(model, mean, signs)
+    return CentredPca(loadings * signs, mean, variance)
 
 
 def reduce_days(
@@ -85,4 +95,4 @@ def reduce_days(
     fit_rows = vectors if train is None else vectors.join(train.select(session), session, "left_semi")
     fitted = fit_pca(fit_rows, column, components)
     out = fitted.transform(vectors, column, prefix)
-    return out.select(session, *[f"{prefix}_{i}" for i in range(len(fitted.signs))])
+    return out.select(session, *[f"{prefix}_{i}" for i in range(fitted.components.shape[1])])

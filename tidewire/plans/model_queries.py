@@ -370,10 +370,11 @@ def pca_total_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("pca_tfidf")
 def pca_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the 200 most frequent terms per session."""
+    """100 components of the 5,000 most frequent terms, both fitted on the training sessions."""
     from tidewire.operators import tfidf
     from tidewire.plans.text_queries import session_days, term_counts
 
     counts, days = term_counts(spark, sf_dir), session_days(spark, sf_dir)
-    model = tfidf.TfidfVectorizer(max_features=200).fit(counts, days)
-    return reduction.reduce_days(model.to_vectors(counts, days), "tfidf", 20, "pca")
+    train = materialise(splits.row_count_split(days, SESSION).where("split = 'train'").select(SESSION), "train-days")
+    model = tfidf.TfidfVectorizer(max_features=5000).fit(counts.join(F.broadcast(train), SESSION, "left_semi"), train)
+    return reduction.reduce_days(model.to_vectors(counts, days), "tfidf", 100, "pca", train)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidewire.functions.naming import file_name
 from tidewire.functions.text import without_script
 from tidewire.functions.timefn import attach_utc, parse_utc, to_zone
+from tidewire.sources.records import parse_records, quote_ranges, records
 
 RAW_NEWS = T.StructType(
     [
@@ -33,8 +34,9 @@ def read_csv(
     """CSV with a header; bad fields become null instead of failing the job.
 
     Columns are matched to the header by name, so more or reordered columns work; all
-    files of one call must share a header, others are refused.  ``multi_line`` allows line breaks inside quoted text and
-    makes each file one task; switch it off for large files without them.
+    files of one call must share a header, others are refused.  ``multi_line`` allows line breaks inside quoted text;
+    such files are read by many tasks each (see ``records``), but for those whose quotes do not come in pairs, which
+    are one task each.  Without it no second pass over the bytes is needed.
     With ``keep_bad_rows`` the raw text of a malformed row is kept in
     ``_corrupt_record``.
     """
@@ -45,8 +47,25 @@ def read_csv(
     full = T.StructType([T.StructField(n, by_name.get(n, T.StringType())) for n in header])
     if keep_bad_rows:
         full.add("_corrupt_record", T.StringType())
-    rows = spark.read.options(**options).schema(full).csv(path)
-    return rows.select(*[F.col(f"`{n}`") for n in full.names if n in by_name or n == "_corrupt_record"])
+    kept = [F.col(f"`{n}`") for n in full.names if n in by_name or n == "_corrupt_record"]
+    if not multi_line:
+        return spark.read.options(**options).schema(full).csv(path).select(*kept)
+    ranges = quote_ranges(spark, path)
+    rows = _from_ranges(spark, path, ranges, header, full).select(*kept)
+    unpaired = [r["file"] for r in ranges.where("not paired").select("file").distinct().collect()]  # names of broken files
+    if unpaired:
+        rows = rows.unionByName(spark.read.options(**options).schema(full).csv(unpaired).select(*kept))
+    return rows
+
+
+def _from_ranges(spark: SparkSession, path: str | Sequence[str], ranges: DataFrame, header: list[str], schema: T.StructType) -> DataFrame:
+    found = records(spark, path, ranges)
+    names = T.StructType([T.StructField(n, T.StringType()) for n in header])
+    firsts = found.where("first").select(F.regexp_replace("record", "^\ufeff", "").alias("record")).distinct().limit(2)
+    headers = [list(r) for r in parse_records(firsts, names).collect()]
+    if any(h != header for h in headers):
+        raise ValueError(f"files of one call have different headers: {headers}")
+    return parse_records(found.where("not first"), schema)
 
 
 def _with_dates(df: DataFrame, date_col: str, from_text: bool) -> DataFrame:
@@ -111,9 +130,11 @@ def load_news(
     text_col: str = "Article_title",
     filter_russian: bool = False,
     date_col: str = "Date",
+    schema: T.StructType = RAW_NEWS,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Scan and filter in one lazy plan."""
-    df = only_symbol(read_news(spark, path, date_col), symbol)
+    """Scan and filter in one plan; ``schema`` and ``multi_line`` are those of ``read_csv``."""
+    df = only_symbol(read_news(spark, path, date_col, schema, multi_line), symbol)
     df = in_range(df, "date_utc", start, end)
     return without_script(df, text_col) if filter_russian else df
 
@@ -130,7 +151,7 @@ def load_sources(
         try:
             frames.append(load_news(spark, path, **options).withColumn("source_name", F.lit(name)))
             report.append((name, path, True, None))
-        except AnalysisException as error:
+        except (AnalysisException, ValueError) as error:
             report.append((name, path, False, str(error).splitlines()[0]))
     merged = None
     for frame in frames:
