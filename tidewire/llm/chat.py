@@ -58,12 +58,12 @@ LAYOUTS = (
 )
 
 
-def field_paths(record: Column) -> Column:
-    """The nested field names of a JSON record in alphabetical order, without types; null if it is no JSON.
+def field_paths(value: Column) -> Column:
+    """The nested field names of a parsed record in alphabetical order, without types; null if it is no JSON.
 
     Entries of a list count together, and a field that is null counts as there.
     """
-    return F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), r"(: |ARRAY<)[A-Z_]+(\([0-9,]+\))?(?=[,>])", "$1")
+    return F.regexp_replace(F.schema_of_variant(value), r"(: |ARRAY<)[A-Z_]+(\([0-9,]+\))?(?=[,>])", "$1")
 
 
 def fingerprint(paths: Column) -> Column:
@@ -71,9 +71,7 @@ def fingerprint(paths: Column) -> Column:
     return F.when(paths.isNotNull(), F.xxhash64(paths))
 
 
-def _turns(layout: Layout, record: Column) -> Column:
-    value = F.try_parse_json(record)
-
+def _turns(layout: Layout, value: Column) -> Column:
     def text_at(path: str) -> Column:
         return F.try_variant_get(value, path, "string")
 
@@ -93,16 +91,24 @@ def _turns(layout: Layout, record: Column) -> Column:
     return F.array(*made)
 
 
-def with_layout(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """``records`` with ``fingerprint`` and ``layout`` (a declared name, or null); columns so named are replaced."""
-    frame = records.drop("fingerprint", "layout").withColumn("__paths", field_paths(F.col(record)))
+def _parsed(records: DataFrame, record: str, layouts: tuple[Layout, ...]) -> DataFrame:
+    """``records`` with ``fingerprint``, ``layout`` and the parsed ``__value``; each step refers to the one before more than
+    once, so Spark keeps them apart and parses once."""
+    frame = records.drop("fingerprint", "layout").withColumn("__value", F.try_parse_json(record))
+    frame = frame.withColumn("__paths", field_paths(F.col("__value")))
     frame = frame.withColumn("fingerprint", fingerprint(F.col("__paths"))).drop("__paths")
     name = F.lit(None).cast("string")
     for layout in reversed(layouts):
-        name = F.when(F.col("fingerprint") == fingerprint(field_paths(F.lit(layout.example))), layout.name).otherwise(name)
+        known = fingerprint(field_paths(F.try_parse_json(F.lit(layout.example))))
+        name = F.when(F.col("fingerprint") == known, layout.name).otherwise(name)
     return frame.withColumn("layout", name)
 
 
+def with_layout(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """``records`` with ``fingerprint`` and ``layout`` (a declared name, or null); columns so named are replaced."""
+    return _parsed(records, record, layouts).drop("__value")
+
+
 def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """A row per turn: the columns of ``records`` without the record, ``layout``, ``position`` in the record, ``role``, ``text``.
 
@@ -110,11 +116,11 @@ def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[L
     have no turns here; ``unmapped`` has them. Repeated records stay repeated. All within the JVM, no shuffle; columns
     with the names of results are replaced.
     """
-    frame = with_layout(records, record, layouts).where("layout is not null")
+    frame = _parsed(records, record, layouts).where("layout is not null")
     turns = F.lit(None).cast("array<struct<role: string, text: string>>")
     for layout in reversed(layouts):
-        turns = F.when(F.col("layout") == layout.name, _turns(layout, F.col(record))).otherwise(turns)
-    others = [c for c in frame.columns if c not in (record, "fingerprint", "position", "role", "text")]
+        turns = F.when(F.col("layout") == layout.name, _turns(layout, F.col("__value"))).otherwise(turns)
+    others = [c for c in frame.columns if c not in (record, "__value", "fingerprint", "position", "role", "text")]
     opened = frame.select(*(f"`{c}`" for c in others), F.posexplode(turns).alias("position", "__turn"))
     return opened.select(*(f"`{c}`" for c in others), "position", F.col("__turn.role").alias("role"), F.col("__turn.text").alias("text"))
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tidewire.session import materialise
 
-#: Rows up to which a table of a few short columns is broadcast; about 64 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes by Spark's own estimate (for a written table its files), up to which a table is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Rows that are worked on at once, and rows of an Arrow batch: what a task holds of whole texts stays small.
 SLICE = 1000
 #: Text handed to one numpy pass, whose arrays take about fifty times as much.
@@ -20,10 +20,12 @@ CHUNK_BYTES = 1 << 19
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows, else as it is.
+    """``df`` with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes, else as it is.
 
-    Pass a written table with short columns: counting it reads footers only.
+    Pass a written table: counting it reads footers only, and its size is known from its files.
     """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > BROADCAST_BYTES:
+        return df
     rows = df.count() if rows is None else rows
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 

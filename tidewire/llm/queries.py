@@ -55,7 +55,7 @@ def op5_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
-    return setjoin.link_components(table(spark, sf_dir, "documents"))
+    return setjoin.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,12 @@ their prefixes. Index lists hold, per shingle, the sets with their sizes and the
   shares most of its prefix, and takes over the leader's answer - its component - if it links to it. Only pairs of
   sets whose components still differ are compared after that, so a group of very similar sets costs one comparison
   each and never all pairs.
+* What leaders leave open in long lists is divided by differences from a core, the shingles that most sets of a list
+  have: how much two sets share follows from what each lacks of the core and from the differences that both have. Sets
+  near the core link by that count alone; others link only if they have a difference in common, and those form the
+  next, shorter lists.
+
+Sets are known by a hash of their shingles, so rows may repeat a ``doc_id`` with other texts.
 """
 
 from __future__ import annotations
@@ -38,8 +44,11 @@ LOOK, OFTEN, MOST_FREQUENT = 8, 6, 1 << 18
 LOW = (1 << 32) - 1
 #: Parts that the list of a frequent shingle is cut into.
 CUTS = 32
-#: Rounds of leaders, at most. What is open then is compared in full, so this only steers the work.
+#: Rounds of leaders, at most. What is open then is compared by differences, so this only steers the work.
 MOST_ROUNDS = 3
+#: Sets of a list that are compared pair by pair, a longer list is divided first; how often lists are divided at most (what
+#: is then left is compared pair by pair); and about how many sets of a region are asked for its core. All three only steer the work.
+SHORT_LIST, DIVISIONS, VOTERS = 16, 6, 64
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -74,20 +83,25 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return top.column("token").to_numpy()[::-1].view(np.uint64)
 
 
+def set_hash(own: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Per row: ``doc_id``, ``n`` (set size), ``digest`` of the set, ``prefix`` (its first shingles in the order) and
-    ``rare`` (how many of them are not frequent)."""
+    """Per row: ``doc_id``, ``text_hash``, ``n`` (set size), ``node`` (hash of the set), ``prefix`` (its first shingles in the
+    order) and ``rare`` (how many of them are not frequent)."""
     held = docs.sparkSession.sparkContext.broadcast((np.sort(frequent), np.argsort(frequent, kind="stable")))
 
     def make():
         known, place = held.value
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, digests, prefixes, rare = [], [], [], []
-            for own in shingle_sets(batch.column(1)):
+            sizes, nodes, prefixes, rare = [], [], [], []
+            for own in shingle_sets(batch.column(2)):
                 n = len(own)
                 sizes.append(n)
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                nodes.append(set_hash(own))
                 cut = prefix_length(n) if n else 0
                 at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
                 often = known[at] == own if len(known) else np.zeros(n, bool)
@@ -97,20 +111,13 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     rest = own[often][np.argsort(place[at[often]], kind="stable")]
                     first = np.concatenate((first, rest[: cut - len(first)]))
                 prefixes.append(first.view(np.int64))
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.array(prefixes, pa.list_(pa.int64())),
-                    pa.array(rare, pa.int32()),
-                ],
-                ["doc_id", "n", "digest", "prefix", "rare"],
-            )
+            new = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(rare, pa.int32())]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], ["doc_id", "text_hash", "n", "node", "prefix", "rare"])
 
         return run
 
-    return arrow_map(docs, make, "doc_id bigint, n bigint, digest binary, prefix array<bigint>, rare int")
+    rows = docs.select("doc_id", "text_hash", "text")
+    return arrow_map(rows, make, "doc_id bigint, text_hash bigint, n bigint, node bigint, prefix array<bigint>, rare int")
 
 
 def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
@@ -120,10 +127,11 @@ def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(marks, bitorder="little").view(np.int64)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, handles: DataFrame) -> DataFrame:
     """``node``, ``n``, its shingles, and bitmaps of them (at least two bits a shingle in ``wide``, half as many in
-    ``narrow``) for the documents named in ``ids`` (``node``)."""
-    rows = docs.join(small(ids).select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    ``narrow``) for the sets named in ``ids`` (``node``); ``handles`` names a document of each set."""
+    wanted = written(ids.join(handles, "node").select("doc_id").distinct(), "set-documents")
+    rows = docs.join(small(wanted), "doc_id", "left_semi").select("doc_id", "text")
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -131,16 +139,18 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             bits = [max(128, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 128 for s in sets]
             longs = pa.list_(pa.int64())
             columns = [
+                pa.array([set_hash(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([s.view(np.int64) for s in sets], longs),
                 pa.array([bitmap(s, b) for s, b in zip(sets, bits)], longs),
                 pa.array([bitmap(s, b // 2) for s, b in zip(sets, bits)], longs),
             ]
-            return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "n", "shingles", "wide", "narrow"])
+            return pa.RecordBatch.from_arrays(columns, ["node", "n", "shingles", "wide", "narrow"])
 
         return run
 
-    return arrow_map(rows, make, "node bigint, n bigint, shingles array<bigint>, wide array<bigint>, narrow array<bigint>")
+    made = arrow_map(rows, make, "node bigint, n bigint, shingles array<bigint>, wide array<bigint>, narrow array<bigint>")
+    return made.join(small(ids), "node", "left_semi")  # a document's other texts are not asked for
 
 
 def _can_link(n1: str, p1: str, n2: str, p2: str) -> str:
@@ -149,14 +159,14 @@ def _can_link(n1: str, p1: str, n2: str, p2: str) -> str:
     return f"{TO} * least({n1}, {n2}) >= {OF} * greatest({n1}, {n2}) and {need}"
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, handles: DataFrame) -> DataFrame:
     """``pairs`` (``a``, ``b``) whose sets reach the threshold; the sets are made again from the texts they need.
 
     Bits in which two bitmaps of one width differ are no more than the shingles in which the sets differ, so pairs that
     differ in too many are dropped before whole sets are joined.
     """
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "verify-ids")
-    sets = written(sets_of(docs, ids), "verify-sets")
+    sets = written(sets_of(docs, ids, handles), "verify-sets")
 
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
@@ -174,28 +184,31 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (``doc_id``, ``text``): ``doc_id``, ``n_shingles``, ``component_id``.
+    """One row per row of ``docs`` (``doc_id``, ``text``): ``doc_id``, ``text_hash``, ``n_shingles``, ``component_id``.
 
     Documents link if their sets of distinct five-word shingles reach the threshold; the component is the smallest
     ``doc_id`` reachable. A text with fewer words is one shingle; null, empty and word-free texts have no shingle and
     are components of their own. A null ``doc_id`` links with nothing and has a null component. Rows that repeat a
     ``doc_id`` stay rows, each in its own text's component. Other columns are not read. An empty table gives no rows.
     """
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(coalesce(text, '')) text_hash", "text")
     signs = signatures(rows, frequent_shingles(rows))
-    members = written(signs.select("doc_id", "n", "digest"), "members")
+    members = written(signs.select("doc_id", "text_hash", "n", "node"), "members")
+    named = "doc_id is not null and n > 0"
     # classes of equal sets; only those with several members need a table
-    classes = members.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = written(classes.where("copies > 1").select("digest", "rep"), "set-classes")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    classes = members.where(named).groupBy("node").agg(first, F.count("*").alias("copies")).where("copies > 1").select("node", "first")
+    classes = written(classes, "set-classes")
+    leads = "first is null or doc_id = first.doc_id and text_hash = first.text_hash"
     # prefixes are made again from the texts rather than kept: they are as large as the texts
-    named = signs.where("doc_id is not null and n > 0")
-    heads = named.join(small(classes), "digest", "left").where("rep is null or doc_id = rep").select(F.col("doc_id").alias("node"), "n", "prefix", "rare")
+    heads = signs.where(named).join(small(classes), "node", "left").where(leads).select("node", "n", "prefix", "rare")
     index = written(index_lists(heads), "index-lists")
-    found = components_of(index, rows)
-    member = members.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(small(classes), "digest", "left")
-    node = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("rep", "doc_id"))
-    member = member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), node).alias("node"))
-    return member.join(small(found), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    handles = written(members.where(named).join(small(classes), "node", "left").where(leads).select("node", "doc_id").distinct(), "set-handles")
+    found = components_of(index, rows, handles)
+    rooted = members.join(small(found), "node", "left").withColumn("root", F.expr(f"if({named}, coalesce(component, node), null)"))
+    lows = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).where("rows > 1")
+    joined = rooted.join(small(written(lows.select("root", "low"), "lowest-ids")), "root", "left")
+    return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
 
 def index_lists(heads: DataFrame) -> DataFrame:
@@ -238,12 +251,12 @@ def index_lists(heads: DataFrame) -> DataFrame:
     )
 
 
-def components_of(index: DataFrame, rows: DataFrame) -> DataFrame:
+def components_of(index: DataFrame, rows: DataFrame, handles: DataFrame) -> DataFrame:
     """Components of the sets in the index (``node``, ``component``; sets without a link may be left out).
 
     In a round every set whose list holds other components is compared with one leader, chosen anew by hash, and takes
-    over its answer. Rounds end when one finds less than a tenth of the first one's links; every pair that is then left
-    between components is compared.
+    over its answer. Rounds end when one finds less than a tenth of the first one's links. Of what is then open, short
+    lists are compared pair by pair between components, long ones are divided by differences, until no list is left.
     """
     links: DataFrame | None = None
     tried: DataFrame | None = None
@@ -253,7 +266,7 @@ def components_of(index: DataFrame, rows: DataFrame) -> DataFrame:
         live = written(mixed_lists(live, found), "live-lists") if links is not None else live.withColumn("component", F.col("node"))
         asked = leader_pairs(live, turn)
         asked = written(asked if tried is None else asked.join(tried, ["a", "b"], "left_anti"), "leader-pairs")
-        new = written(verified(asked, rows), "leader-links")
+        new = written(verified(asked, rows, handles), "leader-links")
         tried = asked if tried is None else tried.unionByName(asked)
         count = new.count()
         first = first or count
@@ -264,9 +277,59 @@ def components_of(index: DataFrame, rows: DataFrame) -> DataFrame:
             break
     # what the leaders leave open
     live = written(mixed_lists(live, found), "live-lists")
-    pairs = written(all_pairs_between(live).join(tried, ["a", "b"], "left_anti"), "open-pairs")
-    new = written(verified(pairs, rows), "open-links")
-    return components(new if links is None else links.unionByName(new))
+    for turn in range(DIVISIONS + 1):
+        if not live.limit(1).count():
+            break
+        counts = live.groupBy("token").agg(F.count("*").alias("members"))
+        long = counts.where((F.col("members") > SHORT_LIST) & F.lit(turn < DIVISIONS)).select("token")
+        pairs = written(all_pairs_between(live.join(long, "token", "left_anti")).join(tried, ["a", "b"], "left_anti"), "open-pairs")
+        tried = tried.unionByName(pairs)
+        new = verified(pairs, rows, handles)
+        divided, more = divided_lists(written(live.join(long, "token", "left_semi"), "long-lists"), rows, handles)
+        new = written(new.unionByName(more).distinct(), "open-links")
+        if new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            found = components(links)
+        live = written(mixed_lists(divided, found), "live-lists")
+    return found
+
+
+def divided_lists(lists: DataFrame, rows: DataFrame, handles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shorter lists that hold every open pair of the long ``lists``, and links that connect all other pairs that link.
+
+    Lists led by the same set are one region; C is its core. Let set x have n shingles, lack r of C, and let D be its
+    differences, the shingles it lacks of C or has beyond it. Two sets share |C| - r(x) - r(y) + |D(x) & D(y)|, and link
+    if that reaches 3/7 of n(x) + n(y). With f = 3 n + 7 r they have to share (f(x) + f(y)) / 7 - |C| differences. If that
+    is none, they link, and so do both with the region's set of the smallest f: these links are given. Else both have
+    one in common among the first of their differences, all but as many as they have to share less one, in one order
+    (shingles beyond the core first, as they are rare).
+    """
+    order = F.struct(F.xxhash64("node").alias("order"), "node")
+    leads = written(lists.groupBy("token").agg(F.min(order).alias("lead")).select("token", F.col("lead.node").alias("to")), "list-leads")
+    asked = written(lists.join(small(leads), "token").select("to", "node", "n").distinct(), "regions")
+    ids = written(asked.select("node").distinct(), "divide-ids")
+    sets = written(sets_of(rows, ids, handles).select("node", F.col("shingles").alias("own")).dropDuplicates(["node"]), "divide-sets")
+    # the core of each region, from some of its sets: any core gives the same links
+    sizes = small(written(asked.groupBy("to").agg(F.count("*").alias("members")), "region-sizes"))
+    voters = written(asked.join(sizes, "to").where(f"pmod(xxhash64(node, 7), greatest(1, members div {VOTERS})) = 0").select("to", "node"), "voters")
+    votes = voters.join(sets, "node").select("to", F.explode("own").alias("shingle")).groupBy("to", "shingle").agg(F.count("*").alias("votes"))
+    most = votes.join(small(written(voters.groupBy("to").agg(F.count("*").alias("voters")), "voter-counts")), "to").where("2 * votes > voters")
+    cores = written(most.groupBy("to").agg(F.collect_list("shingle").alias("core")), "cores")
+    both = asked.join(sets, "node").join(small(cores), "to", "left").withColumn("core", F.expr("coalesce(core, array())"))
+    known = both.select(
+        "to", "node", "n", F.size("core").alias("c"),
+        F.sort_array(F.array_except("own", "core")).alias("beyond"), F.sort_array(F.array_except("core", "own")).alias("lacking"),
+    )
+    known = written(known.withColumn("f", F.expr(f"{OF} * n + {OF + TO} * size(lacking)")), "differences")
+    least = written(known.groupBy("to").agg(F.min(F.struct("f", "node")).alias("least")), "nearest-to-core")
+    known = known.join(small(least), "to")
+    links = known.where(f"node <> least.node and f + least.f <= {OF + TO} * c").select(F.greatest("node", "least.node").alias("a"), F.least("node", "least.node").alias("b"))
+    # no set that links has fewer than OF / TO of the shingles
+    lowest = f"greatest(least.f, cast(ceil({OF} * ({OF} * n / {TO})) as bigint))"
+    need = f"greatest(1, cast(ceil((f + {lowest}) / {OF + TO}) as bigint) - c)"
+    first = F.expr(f"slice(concat(beyond, lacking), 1, cast(greatest(0, size(beyond) + size(lacking) - {need} + 1) as int))")
+    places = known.select("to", "node", "n", F.explode(first).alias("shingle"))
+    return places.select(F.xxhash64("to", "shingle").alias("token"), F.lit(0).alias("cut"), "node", "n", F.lit(0).cast("bigint").alias("pos")), links
 
 
 def mixed_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
