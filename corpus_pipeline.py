@@ -32,18 +32,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component. Documents without words are all kept; of rows that repeat the id of a
-    kept document one stays, and so does every row without an id."""
+    """The first document of each component: the smallest ``doc_id``, of several texts under it that of the smallest hash.
+    Documents without words are all kept; of rows that repeat id and text one stays, and so does every row without an id."""
     ship_package(spark)
     docs = docs.select(*COLUMNS)
-    found = setjoin.link_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    gone = written(found, "near-duplicates")
-    kept = docs.join(small(gone), "doc_id", "left_anti")
-    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
-    many = kept.join(small(repeated), "doc_id", "left_semi")
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*COLUMNS), "text"))
-    one = many.withColumn("place", place).where("place = 1").select(*COLUMNS)
-    return kept.join(small(repeated), "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
+    found = setjoin.link_components(docs).where("doc_id is not null")
+    place = F.struct("doc_id", "text_hash")
+    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    first = small(written(first.select("component_id", "first"), "first-of-component"))
+    gone = found.join(first, "component_id").where(place != F.col("first")).select("doc_id", "text_hash").distinct()
+    keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(small(written(gone, "near-duplicates")), ["doc_id", "text_hash"], "left_anti")
+    repeated = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "text_hash")
+    repeated = small(written(repeated, "repeated-rows"))
+    order = F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64(*COLUMNS)))
+    one = kept.join(repeated, ["doc_id", "text_hash"], "left_semi").withColumn("place", order).where("place = 1").select(*COLUMNS)
+    return kept.join(repeated, ["doc_id", "text_hash"], "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
