@@ -124,12 +124,13 @@ def test_conversion_is_idempotent(spark, news_csv, tmp_path):
     target = str(tmp_path / "out.parquet")
     assert files.csv_to_parquet(spark, news_csv, target)
     assert not files.csv_to_parquet(spark, news_csv, target)
-    for name in os.listdir(target):
-        if name.endswith(".parquet"):
-            with open(os.path.join(target, name), "wb") as broken:
-                broken.write(b"junk")
-        elif name.endswith(".crc"):
-            os.remove(os.path.join(target, name))
+    for folder, _, names in os.walk(target):
+        for name in names:
+            if name.endswith(".parquet"):
+                with open(os.path.join(folder, name), "wb") as broken:
+                    broken.write(b"junk")
+            elif name.endswith(".crc"):
+                os.remove(os.path.join(folder, name))
     assert files.csv_to_parquet(spark, news_csv, target)
     converted = news.read_news(spark, target)
     assert converted.count() == 5

@@ -118,7 +118,7 @@ def separable(spark):
 PARAMS = {
     "LR": {"C": 1.0, "l1_ratio": 0.5, "class_weight": "balanced"},
     "RF": {"n_estimators": 20, "max_depth": 6, "min_samples_leaf": 2},
-    "MLP": {"hidden_size": 8, "max_iter": 50},
+    "MLP": {"hidden_size": 8, "max_epochs": 50, "learning_rate": 0.01, "dropout": 0.0},
 }
 
 
@@ -300,7 +300,7 @@ def test_nested_sweep(spark):
         study.add_embedding_components(vectors, size)
         return study
 
-    configs = [{"name": "narrow", "hidden_size": 4, "max_iter": 5}, {"name": "wide", "hidden_size": 8, "max_iter": 5}]
+    configs = [{"name": "narrow", "hidden_size": 4, "max_epochs": 3}, {"name": "wide", "hidden_size": 8, "max_epochs": 3}]
     board = nested_sweep(make, [2, 3], ["finbert_emb"], configs, length=3).collect()
     assert {r["run"] for r in board} == {f"{n} | finbert_emb | {c}" for n in (2, 3) for c in ("narrow", "wide")}
     assert [r["test_accuracy"] for r in board] == sorted((r["test_accuracy"] for r in board), reverse=True)

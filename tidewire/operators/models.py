@@ -6,16 +6,13 @@ A factory takes the parameter names and values of a grid and the training frame
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import (
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.operators.epochs import EpochPerceptron
 from tidewire.operators.scaling import PopulationScaler
 
 # Default grids of the searches.
@@ -105,30 +102,67 @@ def forest(params: dict, train: DataFrame) -> Pipeline:
 
 
 def perceptron(params: dict, train: DataFrame) -> Pipeline:
-    """Layers d, h, h/2 and two classes on scaled features."""
-    first = train.select(F.size(vector_to_array("features"))).first()
+    """Hidden layers of h, h/2, ... cells (``num_layers`` of them, two by default) on scaled features, trained by epochs.
+
+    With a column ``held_out`` in ``train`` its rows choose the best epoch.
+    """
     hidden = params.get("hidden_size", 64)
-    model = MultilayerPerceptronClassifier(
+    model = EpochPerceptron(
         featuresCol="scaled",
-        layers=[first[0], hidden, max(hidden // 2, 1), 2],
-        maxIter=params.get("max_iter", 100),
-        blockSize=params.get("batch_size", 128),
-        stepSize=params.get("learning_rate", 0.03),
-        tol=params.get("tol", 1e-6),
-        seed=42,
+        weightCol="weight",
+        validationIndicatorCol="held_out" if "held_out" in train.columns else None,
+        hiddenSizes=[max(hidden >> i, 1) for i in range(params.get("num_layers", 2))],
+        learningRate=params.get("learning_rate", 1e-3),
+        dropout=params.get("dropout", 0.2),
+        weightDecay=params.get("weight_decay", 1e-4),
+        batchSize=params.get("batch_size", 64),
+        maxEpochs=params.get("max_epochs", 100),
+        patience=params.get("patience", 10),
+        seed=params.get("seed", 42),
     )
     return Pipeline(stages=[PopulationScaler(inputCol="features", outputCol="scaled"), model])
 
 
 FACTORIES = {"LR": logistic, "RF": forest, "MLP": perceptron}
 
+#: Parameters each family reads; ``min_samples_split`` is known to forests but has no effect there.
+PARAMETERS = {
+    "LR": {"C", "l1_ratio", "class_weight", "tol", "max_iter"},
+    "RF": {"n_estimators", "max_depth", "max_features", "min_samples_leaf", "min_samples_split", "bootstrap", "class_weight"},
+    "MLP": {"hidden_size", "num_layers", "learning_rate", "dropout", "weight_decay", "batch_size", "max_epochs", "patience", "seed", "class_weight"},
+}
+
+
+def effective(kind: str, params: dict) -> dict:
+    """The parameters that decide the fit: points that are equal here give the same model."""
+    unknown = set(params) - PARAMETERS[kind]
+    if unknown:
+        raise ValueError(f"{kind} has no parameters {sorted(unknown)}")
+    out = {k: v for k, v in params.items() if k != "min_samples_split"}
+    if kind == "RF" and "max_depth" in out and out["max_depth"] is None:
+        out["max_depth"] = DEEPEST_TREE
+    return out
+
 
 def fit(kind: str, params: dict, train: DataFrame):
-    """Fit one model; class weights come from the training rows."""
+    """Fit one model; class weights come from the training rows. Unknown parameters are refused."""
+    params = effective(kind, params)
     weights = class_weights(train) if params.get("class_weight") == "balanced" else None
     return FACTORIES[kind](params, train).fit(with_class_weights(train, weights))
 
 
+def fit_with_validation(kind: str, params: dict, train: DataFrame, val: DataFrame):
+    """``fit`` on ``train``; a perceptron's best epoch is that of the lowest loss on ``val``."""
+    if kind != "MLP":
+        return fit(kind, params, train)
+    both = train.withColumn("held_out", F.lit(False)).unionByName(val.withColumn("held_out", F.lit(True)))
+    params = effective(kind, params)
+    weights = class_weights(train) if params.get("class_weight") == "balanced" else None
+    scaler, net = FACTORIES[kind](params, both).getStages()
+    fitted = scaler.fit(train)
+    return PipelineModel(stages=[fitted, net.fit(fitted.transform(with_class_weights(both, weights)))])
+
+
 def predict(model, df: DataFrame) -> DataFrame:
     """``label``, ``prediction`` and the probability of class 1, with the keys kept."""
     scored = model.transform(with_class_weights(df, None))

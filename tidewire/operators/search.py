@@ -10,11 +10,10 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.operators import metrics, models
+from tidewire.operators import metrics, models, trials
 from tidewire.operators.splits import fold_blocks
 
 
@@ -24,9 +23,11 @@ def grid_points(grid: dict) -> list[dict]:
     return [dict(zip(names, values)) for values in itertools.product(*(grid[n] for n in names))]
 
 
-def sample_points(grid: dict, n: int, seed: int = 42) -> list[dict]:
-    """A seeded sample of the grid without repeats."""
+def sample_points(grid: dict, n: int, seed: int = 42, kind: str | None = None) -> list[dict]:
+    """A seeded sample of the grid without repeats; with ``kind``, without points that are the same fit."""
     points = grid_points(grid)
+    if kind is not None:
+        points = list({repr(sorted(models.effective(kind, p).items(), key=str)): p for p in reversed(points)}.values())[::-1]
     return random.Random(seed).sample(points, min(n, len(points)))
 
 
@@ -187,17 +188,9 @@ def draw(space: dict, number: int, seed: int = 42) -> dict:
     return params
 
 
-TRIAL_SCHEMA = (
-    "number int, state string, value double, val_auc double, val_loss double, params map<string,string>"
-)
-
-
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
     """The trial table; empty if there is none yet."""
-    try:
-        return spark.read.schema(TRIAL_SCHEMA).parquet(path)
-    except PySparkException:
-        return spark.createDataFrame([], TRIAL_SCHEMA)
+    return trials.TrialLedger(spark, path).table()
 
 
 def random_sweep(
@@ -207,22 +200,12 @@ def random_sweep(
     objective: Callable[[dict], DataFrame],
     path: str,
     seed: int = 42,
+    parallelism: int = 1,
 ) -> DataFrame:
-    """Seeded random search with a trial table; trials already in it are not run again.
+    """Seeded random search over the queue of ``trials``; trials that are finished are not run again.
 
     ``objective`` maps parameters to the predictions on the validation slice; its
     accuracy is the value, AUC and loss are stored with it.
     """
-    numbers = spark.range(n_trials).select(F.col("id").cast("int").alias("number"))
-    missing = numbers.join(read_trials(spark, path).select("number"), "number", "left_anti")
-    for number in sorted(r["number"] for r in missing.collect()):  # at most n_trials numbers
-        params = draw(space, number, seed)
-        predictions = objective(params)
-        p = F.greatest(F.least("probability", F.lit(1 - 1e-12)), F.lit(1e-12))
-        row = predictions.withColumn("z", F.log(p / (1 - p))).agg(
-            F.avg((F.col("label") == F.col("prediction")).cast("double")), F.avg(metrics.logit_loss("label", "z"))
-        ).first()
-        texts = {k: str(v) for k, v in params.items()}
-        done = (number, "COMPLETE", row[0], metrics.auc_or_half(predictions), row[1], texts)
-        spark.createDataFrame([done], TRIAL_SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    return read_trials(spark, path)
+    points = [draw(space, number, seed) for number in range(n_trials)]
+    return trials.run_trials(spark, path, points, lambda params: trials.validation_scores(objective(params)), parallelism)

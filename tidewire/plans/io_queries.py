@@ -144,7 +144,11 @@ def batch_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("file_hashes")
+@register(
+    "file_hashes",
+    """SELECT regexp_extract(filename, '[^/]+$') AS file_name, size::BIGINT AS length, sha256(content) AS sha256
+FROM read_blob('/root/testdata/sf0.01/*.parquet')""",
+)
 def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.file_hashes(spark, sf_dir, "*.parquet")
 

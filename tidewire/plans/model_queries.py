@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.numeric import rounded, sigmoid
-from tidewire.operators import daily, master, metrics, models, reduction, search, sequences, splits
+from tidewire.operators import daily, master, metrics, models, reduction, search, sequences, splits, trials
 from tidewire.operators.prices import PRICE_FEATURES, up_down_days
 from tidewire.operators.sessions import SESSION
 from tidewire.plans import standins
@@ -194,9 +194,9 @@ def study(spark: SparkSession, sf_dir: str, max_features: int) -> SignalStudy:
 
 @register("study_hybrid_tfidf")
 def study_hybrid_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News to terms to vectors to a searched model, evaluated on the untouched tail."""
-    made = study(spark, sf_dir, 500)
-    found, test = made.train("LR", "hybrid_tfidf", {"C": [0.01], "max_iter": [20]}, k=2)
+    """News to terms to vectors to a searched model, evaluated on the untouched tail; one point of the grid."""
+    made = study(spark, sf_dir, 5000)
+    found, test = made.train("LR", "hybrid_tfidf", {"C": [0.01]})
     frames = made.evaluate("hybrid_tfidf", found.model, test)
     return frames["metrics"]
 
@@ -205,11 +205,11 @@ def study_hybrid_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def study_embedding_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = standins.session_scores(spark, sf_dir)
     made = SignalStudy(standins.prices(spark, sf_dir))
-    made.add_embedding_components(daily.daily_embedding(scores), 4)
-    rows = materialise(made.sequence_rows("finbert_emb_hybrid", 3), "sequences")
-    rows = splits.tail_split(rows, "trading_date", "ticker", eager=True)
-    model = models.fit("LR", {"C": 0.1, "max_iter": 20}, rows.where("split = 'train'").drop("split"))
-    return metrics.evaluate(models.predict(model, rows.where("split = 'test'").drop("split")))
+    made.add_embedding_components(daily.daily_embedding(scores), 60)
+    rows = materialise(made.sequence_rows("finbert_emb_hybrid"), "sequences")
+    rows = splits.three_way_split(rows, "trading_date", "ticker", eager=True)
+    train, val, test = (rows.where(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
+    return metrics.evaluate(models.predict(models.fit_with_validation("MLP", {"max_epochs": 20}, train, val), test))
 
 
 @register("nested_sweep")
@@ -222,8 +222,8 @@ def nested_sweep_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         made.add_embedding_components(embedding, size)
         return made
 
-    configs = [{"name": "narrow", "hidden_size": 4, "max_iter": 10}, {"name": "wide", "hidden_size": 8, "max_iter": 10}]
-    return nested_sweep(make, [4], ["finbert_emb", "finbert_emb_hybrid"], configs)
+    configs = [{"name": "small", "hidden_size": 32, "max_epochs": 5}, {"name": "deep", "hidden_size": 32, "num_layers": 3, "max_epochs": 5}]
+    return nested_sweep(make, [30, 60], ["finbert_emb_hybrid"], configs)
 
 
 def _price_train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +249,7 @@ def lr_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("rf_fit")
 def rf_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _price_train_test(spark, sf_dir)
-    model = models.fit("RF", {"n_estimators": 20, "max_depth": 6, "min_samples_leaf": 5}, train)
+    model = models.fit("RF", {"n_estimators": 200, "max_depth": 6, "min_samples_leaf": 5}, train)
     return metrics.evaluate(models.predict(model, test))
 
 
@@ -261,7 +261,7 @@ def rf_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(master.assemble(days, names, label="up_down"), "bars")
     fold = splits.last_fold(rows, "trading_date", "ticker", eager=True)
     train = fold.where("role = 'train'").drop("fold", "role")
-    params = {"n_estimators": 20, "max_depth": 10, "min_samples_split": 20, "min_samples_leaf": 10, "max_features": 1.0}
+    params = {"n_estimators": 100, "max_depth": 10, "min_samples_split": 20, "min_samples_leaf": 10, "max_features": 1.0}
     model = models.fit("RF", params, train)
     scores = metrics.evaluate(models.predict(model, fold.where("role = 'test'").drop("fold", "role")))
     weights = models.feature_weights(model, names, len(names))
@@ -270,11 +270,16 @@ def rf_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _three_parts(rows: DataFrame) -> tuple[DataFrame, ...]:
+    rows = splits.three_way_split(materialise(rows, "three-parts"), "trading_date", "ticker", 0.6, 0.15, eager=True)
+    return tuple(rows.where(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
+
+
 @register("mlp_fit")
 def mlp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _price_train_test(spark, sf_dir)
-    model = models.fit("MLP", {"hidden_size": 16, "max_iter": 20}, train)
-    return metrics.evaluate(models.predict(model, test))
+    """A perceptron on all price features; the validation part chooses the epoch."""
+    train, val, test = _three_parts(master_rows(spark, sf_dir))
+    return metrics.evaluate(models.predict(models.fit_with_validation("MLP", {"max_epochs": 30}, train, val), test))
 
 
 def sequence_rows(spark: SparkSession, sf_dir: str, length: int = 5) -> DataFrame:
@@ -283,10 +288,10 @@ def sequence_rows(spark: SparkSession, sf_dir: str, length: int = 5) -> DataFram
 
 @register("sequence_fit")
 def sequence_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialise(sequence_rows(spark, sf_dir), "sequences")
-    rows = splits.three_way_split(rows, "trading_date", "ticker", 0.6, 0.15, eager=True)
-    model = models.fit("MLP", {"hidden_size": 16, "max_iter": 20}, rows.where("split = 'train'").drop("split"))
-    return metrics.evaluate(models.predict(model, rows.where("split = 'test'").drop("split")))
+    """Windows of five days, three hidden layers."""
+    train, val, test = _three_parts(sequence_rows(spark, sf_dir))
+    model = models.fit_with_validation("MLP", {"num_layers": 3, "max_epochs": 30}, train, val)
+    return metrics.evaluate(models.predict(model, test))
 
 
 @register("grid_search")
@@ -298,8 +303,7 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("randomized_search")
 def randomized_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = {"n_estimators": [5, 10], "max_depth": [4, 6], "min_samples_leaf": [10, 20], "max_features": ["sqrt", 1.0]}
-    found, frames = tuned_bar_forest(bars(spark, sf_dir), grid=grid, draws=2, k=3)
+    found, frames = tuned_bar_forest(bars(spark, sf_dir), draws=1)
     importances = frames["importances"].select(
         F.concat(F.lit("importance_"), "feature").alias("metric"), F.col("importance").alias("value")
     )
@@ -308,15 +312,38 @@ def randomized_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("random_sweep")
 def random_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialise(master_rows(spark, sf_dir), "sweep")
-    rows = splits.three_way_split(rows, "trading_date", "ticker", 0.6, 0.15, eager=True)
-    train, val = (rows.where(F.col("split") == s).drop("split") for s in ("train", "val"))
+    """Four trials over parameters and feature modes, worked through by two driver threads."""
+    scores = standins.session_scores(spark, sf_dir)
+    made = SignalStudy(standins.prices(spark, sf_dir))
+    made.add_sentiment(daily.daily_sentiment(scores))
+    made.add_embedding_components(daily.daily_embedding(scores), 60)
+    space = {**search.PERCEPTRON_SPACE, "mode": ("choice", [m for m in search.MODES if "tfidf" not in m]), "max_epochs": ("choice", [10])}
+    return made.sweep(space, 4, scratch_path(spark, "trials"), parallelism=2)
+
 
-    def objective(params: dict) -> DataFrame:
-        return models.predict(models.fit("MLP", {**params, "max_iter": 10}, train), val)
+_TRIAL_POINTS = [{"threshold": t} for t in (0.2, 0.35, 0.5, 0.65, 0.8)] + [{"threshold": None}]
 
-    space = {**search.PERCEPTRON_SPACE, "mode": ("choice", ["price"]), "hidden_size": ("choice", [8, 16])}
-    return search.random_sweep(spark, space, 2, objective, scratch_path(spark, "trials"))
+
+@register(
+    "trial_queue",
+    with_views("predictions", body=f"""SELECT n::INTEGER AS number, CASE WHEN t IS NULL THEN 'FAIL' ELSE 'COMPLETE' END AS state,
+{r6('avg(CASE WHEN t IS NULL THEN NULL WHEN (probability > t)::INTEGER = label THEN 1.0 ELSE 0.0 END)', 'value')},
+coalesce(t::VARCHAR, 'None') AS threshold, CASE WHEN t IS NULL THEN 2 ELSE 1 END AS attempt
+FROM predictions, (VALUES (0, 0.2), (1, 0.35), (2, 0.5), (3, 0.65), (4, 0.8), (5, NULL)) AS p(n, t) GROUP BY n, t"""),
+)
+def trial_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds on all predictions as trials, one of which always fails and is tried twice, by two drivers' queues."""
+    predictions = materialise(standins.predictions(spark, sf_dir), "predictions")
+
+    def objective(params: dict) -> float:
+        cut = float(params["threshold"])
+        hit = F.avg(((F.col("probability") > cut).cast("int") == F.col("label")).cast("double"))
+        return predictions.agg(hit).first()[0]
+
+    path = scratch_path(spark, "trials")
+    trials.run_trials(spark, path, _TRIAL_POINTS[:3], objective, parallelism=2, owner="first")
+    found = trials.run_trials(spark, path, _TRIAL_POINTS, objective, parallelism=3, attempts=2, owner="second")
+    return found.select("number", "state", rounded("value").alias("value"), F.col("params")["threshold"].alias("threshold"), "attempt")
 
 
 def master_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators import backtest, daily, master, metrics, models, reduction, search, sequences, splits, tfidf
+from tidewire.operators import backtest, daily, master, metrics, models, reduction, search, sequences, splits, tfidf, trials
 from tidewire.operators.prices import PRICE_FEATURES, price_timeline, up_down_days
 from tidewire.operators.scoring import Scorer, score_articles
 from tidewire.operators.sessions import SESSION, assign_sessions
@@ -133,6 +133,29 @@ class SignalStudy:
             )
         return found, test
 
+    def sweep(
+        self, space: dict, n_trials: int, path: str, kind: str = "MLP", length: int | None = None, seed: int = 42, parallelism: int = 4
+    ) -> DataFrame:
+        """Random trials over parameters and feature modes; the table of trials.
+
+        The first 60 % train, the next 15 % choose the epoch and give the value. Each mode's rows are made once,
+        whichever trial asks first; ``length`` makes them windows of days.
+        """
+
+        def make(mode: str) -> tuple[DataFrame, DataFrame]:
+            made = self.flat_rows(mode) if length is None else self.sequence_rows(mode, length)
+            rows = splits.three_way_split(materialise(made, f"sweep-{mode}"), "trading_date", "ticker", 0.6, 0.15, eager=True)
+            return tuple(rows.where(F.col("split") == s).drop("split") for s in ("train", "val"))
+
+        frames = trials.frames_by_mode(make)
+
+        def objective(params: dict) -> DataFrame:
+            train, val = frames(params["mode"])
+            settings = {k: v for k, v in params.items() if k != "mode"}
+            return models.predict(models.fit_with_validation(kind, settings, train, val), val)
+
+        return search.random_sweep(self.master.sparkSession, space, n_trials, objective, path, seed, parallelism)
+
     def replay(self, runs: DataFrame) -> DataFrame:
         """Refit and test the selected entries of the experiment log, each in its own mode.
 
@@ -196,7 +219,7 @@ def tuned_bar_forest(
     rows = bars if n_rows is None else first_days(bars, n_rows, "trading_date")
     labelled = master.assemble(up_down_days(rows), BAR_FEATURES, KEYS, "up_down")
     labelled = materialise(labelled, "bars")
-    points = search.sample_points(models.BAR_FOREST_GRID if grid is None else grid, draws)
+    points = search.sample_points(models.BAR_FOREST_GRID if grid is None else grid, draws, kind="RF")
     found = search.time_series_search(labelled, "RF", points, k)
     fold = splits.last_fold(labelled, "trading_date", "ticker", k, eager=True)
     train, test = (fold.where(F.col("role") == r).drop("fold", "role") for r in ("train", "test"))
@@ -233,7 +256,7 @@ def nested_sweep(
             part = {s: windows.where(F.col("split") == s).drop("split") for s in ("train", "val", "test")}
             for config in configs:
                 params = {k: v for k, v in config.items() if k != "name"}
-                model = models.fit(kind, params, part["train"])
+                model = models.fit_with_validation(kind, params, part["train"], part["val"])
                 val_accuracy, _ = _scores(models.predict(model, part["val"]))
                 scores = _scores(models.predict(model, part["test"]))
                 rows.append((f"{size} | {mode} | {config['name']}", *scores, val_accuracy))

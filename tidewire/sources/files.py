@@ -11,17 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.functions.naming import chunk_number, file_name
+from tidewire.functions.naming import chunk_number
 from tidewire.functions.timefn import format_utc, parse_utc
+from tidewire.sources import blocks, commit
 from tidewire.sources.news import RAW_NEWS, read_csv
 
 
 def readable_parquet(spark: SparkSession, path: str) -> bool:
-    """True if the target exists and all its files have a Parquet footer; the footers are read in one parallel job."""
+    """True if all files of an existing Parquet folder have a footer; the footers are read in one parallel job.
+
+    Only a missing folder and a file that is not Parquet are an answer; any other error, denied access for one, is raised.
+    """
+    if not commit.Store(spark, path).names(path):
+        return False
     try:
         return len(spark.read.option("mergeSchema", True).parquet(path).columns) > 0
-    except (PySparkException, Py4JJavaError):  # missing, or a file that is not Parquet
-        return False
+    except (PySparkException, Py4JJavaError) as error:
+        if commit._is_format_error(error):
+            return False
+        raise
+
+
+def conversion_state(spark: SparkSession, target: str) -> str:
+    """The state of a published target. A folder without manifests is complete if its writer left ``_SUCCESS`` and all
+    footers are whole, else unfinished."""
+    found = commit.state(spark, target)
+    if found == commit.UNFINISHED and any(n == "_SUCCESS" for n, _ in commit.Store(spark, target).names(target)):
+        return commit.COMPLETE if readable_parquet(spark, target) else commit.BROKEN
+    return found
 
 
 def csv_to_parquet(
@@ -32,14 +49,15 @@ def csv_to_parquet(
     date_col: str = "Date",
     multi_line: bool = True,
 ) -> bool:
-    """Convert once: a valid target is kept (False), a broken one is rebuilt (True).
+    """Convert once: a complete target is kept (False); a missing, unfinished or broken one is made anew (True).
 
-    Parquet statistics stay on, since they drive row-group skipping.
+    The new version is switched to when it is whole, so readers never see half of one, and an error while the target
+    is looked at stops the job. Parquet statistics stay on, since they drive row-group skipping.
     """
-    if readable_parquet(spark, target):
+    if conversion_state(spark, target) == commit.COMPLETE:
         return False
     rows = read_csv(spark, source, schema, multi_line)
-    rows.withColumn(date_col, parse_utc(date_col)).write.mode("overwrite").parquet(target)
+    commit.publish(rows.withColumn(date_col, parse_utc(date_col)), target)
     return True
 
 
@@ -89,10 +107,5 @@ def map_batches(
 
 
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 of each file below ``path``, spread over the cluster (files up to 2 GB)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option(
-        "recursiveFileLookup", True
-    ).load(path)
-    return files.select(
-        file_name("path").alias("file_name"), "length", F.sha2("content", 256).alias("sha256")
-    )
+    """SHA-256 of each file below ``path``; see ``blocks``."""
+    return blocks.file_digests(spark, path, pattern)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from tidewire.functions.naming import file_name
 from tidewire.functions.text import without_script
 from tidewire.functions.timefn import attach_utc, parse_utc, to_zone
+from tidewire.sources import commit
 from tidewire.sources.records import parse_records, quote_ranges, records
 
 RAW_NEWS = T.StructType(
@@ -81,12 +83,15 @@ def read_news(
     schema: T.StructType = RAW_NEWS,
     multi_line: bool = True,
 ) -> DataFrame:
-    """News from CSV or Parquet with ``date_est`` first and the date as ``date_utc``."""
+    """News from CSV, Parquet or published tables with ``date_est`` first and the date as ``date_utc``."""
     first = path if isinstance(path, str) else path[0]
     if first.lower().rstrip("/").endswith(".csv"):
         return _with_dates(read_csv(spark, path, schema, multi_line), date_col, from_text=True)
     paths = [path] if isinstance(path, str) else list(path)
-    raw = spark.read.parquet(*paths)
+    published = [commit.manifest(spark, p) is not None for p in paths]
+    parts = [commit.read_published(spark, p) for p, done in zip(paths, published) if done]
+    plain = [p for p, done in zip(paths, published) if not done]
+    raw = functools.reduce(DataFrame.unionByName, parts + ([spark.read.parquet(*plain)] if plain else []))
     return _with_dates(raw, date_col, from_text=isinstance(raw.schema[date_col].dataType, T.StringType))
 
 
