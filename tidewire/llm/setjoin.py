@@ -184,12 +184,13 @@ def verified(pairs: DataFrame, docs: DataFrame, handles: DataFrame) -> DataFrame
 
 
 def link_components(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (``doc_id``, ``text``): ``doc_id``, ``text_hash``, ``n_shingles``, ``component_id``.
+    """One row per row of ``docs`` (``doc_id``, ``text``): ``doc_id``, ``text_hash``, ``n_shingles``, ``component_id``, ``component``.
 
     Documents link if their sets of distinct five-word shingles reach the threshold; the component is the smallest
     ``doc_id`` reachable. A text with fewer words is one shingle; null, empty and word-free texts have no shingle and
     are components of their own. A null ``doc_id`` links with nothing and has a null component. Rows that repeat a
-    ``doc_id`` stay rows, each in its own text's component. Other columns are not read. An empty table gives no rows.
+    ``doc_id`` stay rows, each in its own text's component; ``component``, a hash, tells components apart where one id has
+    several (null without shingles or id). Other columns are not read. An empty table gives no rows.
     """
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(coalesce(text, '')) text_hash", "text")
     signs = signatures(rows, frequent_shingles(rows))
@@ -208,7 +209,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     rooted = members.join(small(found), "node", "left").withColumn("root", F.expr(f"if({named}, coalesce(component, node), null)"))
     lows = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).where("rows > 1")
     joined = rooted.join(small(written(lows.select("root", "low"), "lowest-ids")), "root", "left")
-    return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
+    return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"), F.col("root").alias("component"))
 
 
 def index_lists(heads: DataFrame) -> DataFrame:
