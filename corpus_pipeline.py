@@ -38,9 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS)
     found = setjoin.link_components(docs).where("doc_id is not null")
     place = F.struct("doc_id", "text_hash")
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    first = small(written(first.select("component_id", "first"), "first-of-component"))
-    gone = found.join(first, "component_id").where(place != F.col("first")).select("doc_id", "text_hash").distinct()
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    first = small(written(first.select("component", "first"), "first-of-component"))
+    gone = found.join(first, "component").where(place != F.col("first")).select("doc_id", "text_hash").distinct()
     keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = keyed.join(small(written(gone, "near-duplicates")), ["doc_id", "text_hash"], "left_anti")
     repeated = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "text_hash")
