@@ -33,7 +33,7 @@ def test_divided_lists_lose_no_link(spark, monkeypatch):
     rng = random.Random(1)
     texts = edited_groups(rng) + [" ".join(f"w{rng.randrange(3000)}" for _ in range(30)) for _ in range(10)]
     rng.shuffle(texts)
-    monkeypatch.setattr(setjoin, "SHORT_LIST", 3)
+    monkeypatch.setattr(setjoin, "LIST_PAIRS", 6)
     monkeypatch.setattr(setjoin, "MOST_ROUNDS", 1)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.component_id for r in setjoin.link_components(docs).collect()}

@@ -35,6 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, f"llm-{name}")
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of written tables that nothing will read any more."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def short_batches(spark: SparkSession) -> None:
     """Sets the session's Arrow batches to ``SLICE`` rows at most: they lie in the memory of the executor and of the Python
     worker at once."""

@@ -20,6 +20,7 @@ Sets are known by a hash of their shingles, so rows may repeat a ``doc_id`` with
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import words
 from tidewire.llm.components import components
-from tidewire.llm.frames import arrow_map, small, text_chunks, written
+from tidewire.llm.frames import arrow_map, discard, small, text_chunks, written
 
 TABLE = words.byte_table(words.SPACES, lower=True)
 SHINGLE = 5
@@ -46,9 +47,10 @@ LOW = (1 << 32) - 1
 CUTS = 32
 #: Rounds of leaders, at most. What is open then is compared by differences, so this only steers the work.
 MOST_ROUNDS = 3
-#: Sets of a list that are compared pair by pair, a longer list is divided first; how often lists are divided at most (what
-#: is then left is compared pair by pair); and about how many sets of a region are asked for its core. All three only steer the work.
-SHORT_LIST, DIVISIONS, VOTERS = 16, 6, 64
+#: Pairs that a list may hold, by size and position, to be compared pair by pair: a list of more is divided first. How often
+#: lists are divided at most (what is then left is compared pair by pair); and about how many sets of a region are asked for
+#: its core. All three only steer the work.
+LIST_PAIRS, DIVISIONS, VOTERS = 200, 6, 64
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -160,7 +162,8 @@ def _can_link(n1: str, p1: str, n2: str, p2: str) -> str:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, handles: DataFrame) -> DataFrame:
-    """``pairs`` (``a``, ``b``) whose sets reach the threshold; the sets are made again from the texts they need.
+    """``pairs`` (``a``, ``b``) whose sets reach the threshold, as a written table; the sets are made again from the texts they
+    need.
 
     Bits in which two bitmaps of one width differ are no more than the shingles in which the sets differ, so pairs that
     differ in too many are dropped before whole sets are joined.
@@ -180,7 +183,9 @@ def verified(pairs: DataFrame, docs: DataFrame, handles: DataFrame) -> DataFrame
     kept = written(marked.where(close).where((TO - OF) * (F.col("n_a") + F.col("n_b")) >= (OF + TO) * differ).select("a", "b").distinct(), "verify-pairs")
     both = kept.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return both.where((OF + TO) * common >= OF * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b").distinct()
+    found = written(both.where((OF + TO) * common >= OF * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b").distinct(), "verified-links")
+    discard(ids, sets, kept)
+    return found
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -264,10 +269,13 @@ def components_of(index: DataFrame, rows: DataFrame, handles: DataFrame) -> Data
     found = index.sparkSession.createDataFrame([], "node bigint, component bigint")
     live, first = index, 0
     for turn in range(MOST_ROUNDS):
-        live = written(mixed_lists(live, found), "live-lists") if links is not None else live.withColumn("component", F.col("node"))
+        if turn:
+            live = _next(live, found)
+        else:
+            live = live.withColumn("component", F.col("node"))
         asked = leader_pairs(live, turn)
         asked = written(asked if tried is None else asked.join(tried, ["a", "b"], "left_anti"), "leader-pairs")
-        new = written(verified(asked, rows, handles), "leader-links")
+        new = verified(asked, rows, handles)
         tried = asked if tried is None else tried.unionByName(asked)
         count = new.count()
         first = first or count
@@ -277,24 +285,47 @@ def components_of(index: DataFrame, rows: DataFrame, handles: DataFrame) -> Data
         if 10 * count < first or not count:
             break
     # what the leaders leave open
-    live = written(mixed_lists(live, found), "live-lists")
+    live = _next(live, found)
     for turn in range(DIVISIONS + 1):
         if not live.limit(1).count():
             break
-        counts = live.groupBy("token").agg(F.count("*").alias("members"))
-        long = counts.where((F.col("members") > SHORT_LIST) & F.lit(turn < DIVISIONS)).select("token")
-        pairs = written(all_pairs_between(live.join(long, "token", "left_anti")).join(tried, ["a", "b"], "left_anti"), "open-pairs")
+        long = written(long_lists(live).where(F.lit(turn < DIVISIONS)), "long-list-tokens")
+        pairs = written(all_pairs_between(live.join(small(long), "token", "left_anti")).join(tried, ["a", "b"], "left_anti"), "open-pairs")
         tried = tried.unionByName(pairs)
         new = verified(pairs, rows, handles)
-        divided, more = divided_lists(written(live.join(long, "token", "left_semi"), "long-lists"), rows, handles)
-        new = written(new.unionByName(more).distinct(), "open-links")
+        divide = long.limit(1).count() > 0
+        if divide:
+            divided, more = divided_lists(live.join(small(long), "token", "left_semi"), rows, handles)
+            new = written(new.unionByName(more).distinct(), "open-links")
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             found = components(links)
-        live = written(mixed_lists(divided, found), "live-lists")
+        discard(live)
+        if not divide:
+            break
+        live = _next(divided, found)
     return found
 
 
+def _next(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The lists that are still mixed, as a written table; the table before is not needed any more."""
+    left = written(mixed_lists(lists, found), "live-lists")
+    discard(lists)
+    return left
+
+
+def long_lists(live: DataFrame) -> DataFrame:
+    """``token`` of lists with more than ``LIST_PAIRS`` pairs that sizes and positions allow, at most.
+
+    Of two sets that may link the smaller one has the shingle within the first seventh of its places, and the other is
+    at most a third larger.
+    """
+    may = f"cast(({OF + TO}) * pos <= ({TO - OF}) * n as int)"
+    near = W.partitionBy("token").orderBy("scale").rangeBetween(-math.ceil(math.log(TO / OF) * 1e6) - 1, 0)
+    counted = live.withColumn("scale", F.floor(F.log("n") * 1e6)).withColumn("smaller", F.sum(F.expr(may)).over(near))
+    return counted.groupBy("token").agg(F.sum("smaller").alias("pairs")).where(F.col("pairs") > LIST_PAIRS).select("token")
+
+
 def divided_lists(lists: DataFrame, rows: DataFrame, handles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Shorter lists that hold every open pair of the long ``lists``, and links that connect all other pairs that link.
 
@@ -309,7 +340,7 @@ def divided_lists(lists: DataFrame, rows: DataFrame, handles: DataFrame) -> tupl
     leads = written(lists.groupBy("token").agg(F.min(order).alias("lead")).select("token", F.col("lead.node").alias("to")), "list-leads")
     asked = written(lists.join(small(leads), "token").select("to", "node", "n").distinct(), "regions")
     ids = written(asked.select("node").distinct(), "divide-ids")
-    sets = written(sets_of(rows, ids, handles).select("node", F.col("shingles").alias("own")).dropDuplicates(["node"]), "divide-sets")
+    sets = written(sets_of(rows, ids, handles).select("node", F.col("shingles").alias("own")), "divide-sets")
     # the core of each region, from some of its sets: any core gives the same links
     sizes = small(written(asked.groupBy("to").agg(F.count("*").alias("members")), "region-sizes"))
     voters = written(asked.join(sizes, "to").where(f"pmod(xxhash64(node, 7), greatest(1, members div {VOTERS})) = 0").select("to", "node"), "voters")
@@ -321,16 +352,19 @@ def divided_lists(lists: DataFrame, rows: DataFrame, handles: DataFrame) -> tupl
         "to", "node", "n", F.size("core").alias("c"),
         F.sort_array(F.array_except("own", "core")).alias("beyond"), F.sort_array(F.array_except("core", "own")).alias("lacking"),
     )
-    known = written(known.withColumn("f", F.expr(f"{OF} * n + {OF + TO} * size(lacking)")), "differences")
-    least = written(known.groupBy("to").agg(F.min(F.struct("f", "node")).alias("least")), "nearest-to-core")
-    known = known.join(small(least), "to")
+    differences = written(known.withColumn("f", F.expr(f"{OF} * n + {OF + TO} * size(lacking)")), "differences")
+    least = written(differences.groupBy("to").agg(F.min(F.struct("f", "node")).alias("least")), "nearest-to-core")
+    known = differences.join(small(least), "to")
     links = known.where(f"node <> least.node and f + least.f <= {OF + TO} * c").select(F.greatest("node", "least.node").alias("a"), F.least("node", "least.node").alias("b"))
     # no set that links has fewer than OF / TO of the shingles
     lowest = f"greatest(least.f, cast(ceil({OF} * ({OF} * n / {TO})) as bigint))"
     need = f"greatest(1, cast(ceil((f + {lowest}) / {OF + TO}) as bigint) - c)"
     first = F.expr(f"slice(concat(beyond, lacking), 1, cast(greatest(0, size(beyond) + size(lacking) - {need} + 1) as int))")
     places = known.select("to", "node", "n", F.explode(first).alias("shingle"))
-    return places.select(F.xxhash64("to", "shingle").alias("token"), F.lit(0).alias("cut"), "node", "n", F.lit(0).cast("bigint").alias("pos")), links
+    made = places.select(F.xxhash64("to", "shingle").alias("token"), F.lit(0).alias("cut"), "node", "n", F.lit(0).cast("bigint").alias("pos"))
+    found = written(made.distinct(), "divided-lists"), written(links.distinct(), "near-core-links")
+    discard(asked, ids, sets, voters, cores, differences)
+    return found
 
 
 def mixed_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
