@@ -78,7 +78,7 @@ class PieceEncoder:
         if len(self.memory) + len(new) > MEMORY:
             self.memory = {"": b""}
             new = [p for p in dict.fromkeys(parts) if p]
-        for piece, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):  # no offsets
             self.memory[piece] = np.array(found.ids, self.width).tobytes()
         return b"".join(map(self.memory.__getitem__, parts))
 
