@@ -15,10 +15,10 @@ from tidewire.plans import standins
 from tidewire.plans.news_queries import _means_sql, _round_means
 from tidewire.plans.registry import register
 from tidewire.plans.sqlviews import news_time, with_views
-from tidewire.session import scratch_path
-from tidewire.sources import files, news
+from tidewire.session import materialise, scratch_path
+from tidewire.sources import files, layout, news
 from tidewire.sources.prices import read_prices
-from tidewire.streaming import incremental, ingest
+from tidewire.streaming import finished, incremental, ingest, rows
 
 
 def _news_csv(spark: SparkSession, sf_dir: str) -> str:
@@ -197,3 +197,62 @@ def stream_daily_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch_path(spark, "partials")
     incremental.update_daily_sentiment(stream, standins.calendar(spark), target, scratch_path(spark, "cp"))
     return _round_means(incremental.current_daily_sentiment(spark, target))
+
+
+@register(
+    "stream_finished_sessions",
+    with_views("daily_sentiment", body=f"SELECT trading_session_date_utc, {_means_sql()}, daily_article_count "
+               "FROM daily_sentiment"),
+)
+def stream_finished_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles arriving in time order, four files one after another: sessions that are over, and the open ones."""
+    folder, source = scratch_path(spark, "sessions"), scratch_path(spark, "arrivals")
+    scored = materialise(standins.scored_articles(spark, sf_dir).drop("finbert_embedding"), "scored")
+    low, high = scored.agg(F.min("date_utc"), F.max("date_utc")).first()
+    cuts = [low + (high - low) * i / 4 for i in range(4)]
+    for begin, end in zip(cuts, [*cuts[1:], None]):
+        news.in_range(scored, "date_utc", begin, end, closed="left").coalesce(1).write.mode("append").parquet(source)
+    stream = ingest.article_stream(spark, source, scored.schema, files_per_batch=1)
+    finished.run_sessions(stream, standins.calendar(spark), folder)
+    return _round_means(finished.session_rows(spark, folder).drop("finished"))
+
+
+@register(
+    "row_source",
+    """SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS id_sum, min(ts) AS first_ts, max(ts) AS last_ts
+FROM events GROUP BY 1""",
+)
+def row_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events handed out by position; the first stream is stopped after two batches, the second does the rest."""
+    path, schema = f"{sf_dir}/events.parquet", standins.table(spark, sf_dir, "events").schema
+    total = standins.table(spark, sf_dir, "events").count()
+    target, checkpoint = scratch_path(spark, "served"), scratch_path(spark, "served-checkpoint")
+    for batches in (2, None):
+        rows.run_rows(rows.row_stream(spark, path, schema, batch_rows=max(total // 5, 1)), target, checkpoint, batches)
+    served = spark.read.parquet(target)
+    return served.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+
+
+@register(
+    "row_source_filtered",
+    "SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'",
+)
+def row_source_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = standins.table(spark, sf_dir, "events").schema
+    found = rows.article_rows(spark, f"{sf_dir}/events.parquet", schema)
+    return found.where("event_type = 'click'").select("event_id", "user_id", "ts")
+
+
+@register(
+    "articles_by_month",
+    with_views("session_articles", body="""SELECT trading_session_date_utc, count(*) AS n, sum(length(Article_title))::BIGINT AS chars
+FROM session_articles WHERE trading_session_date_utc BETWEEN DATE '1996-02-10' AND DATE '1997-03-05' GROUP BY 1"""),
+)
+def articles_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All articles laid out by session month; a range of sessions read back."""
+    target = scratch_path(spark, "months")
+    layout.publish_by_month(standins.session_articles(spark, sf_dir), target)
+    found = layout.read_months(spark, target, "1996-02-10", "1997-03-05")
+    return found.groupBy(SESSION).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("Article_title")).alias("chars"))

@@ -328,7 +328,7 @@ _TRIAL_POINTS = [{"threshold": t} for t in (0.2, 0.35, 0.5, 0.65, 0.8)] + [{"thr
     "trial_queue",
     with_views("predictions", body=f"""SELECT n::INTEGER AS number, CASE WHEN t IS NULL THEN 'FAIL' ELSE 'COMPLETE' END AS state,
 {r6('avg(CASE WHEN t IS NULL THEN NULL WHEN (probability > t)::INTEGER = label THEN 1.0 ELSE 0.0 END)', 'value')},
-coalesce(t::VARCHAR, 'None') AS threshold, CASE WHEN t IS NULL THEN 2 ELSE 1 END AS attempt
+coalesce(t::DOUBLE::VARCHAR, 'None') AS threshold, CASE WHEN t IS NULL THEN 2 ELSE 1 END AS attempt
 FROM predictions, (VALUES (0, 0.2), (1, 0.35), (2, 0.5), (3, 0.65), (4, 0.8), (5, NULL)) AS p(n, t) GROUP BY n, t"""),
 )
 def trial_queue(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ from tidewire.operators.sessions import SESSION
 from tidewire.plans import standins
 from tidewire.plans.registry import register
 from tidewire.plans.sqlviews import r6, with_views
+from tidewire.session import scratch_path
+from tidewire.sources import layout
 from tidewire.sources.prices import first_days
 
 SENTIMENT = ["avg_pos", "avg_neg", "avg_neu", "daily_article_count"]
@@ -50,6 +52,17 @@ def price_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows.select("ticker", "trading_date", "close", "return_lag0"), ["return_lag0"])
 
 
+@register(
+    "price_returns_bucketed",
+    with_views("returns", body=f"SELECT ticker, trading_date, close, {r6('return_lag0')} FROM returns"),
+)
+def price_returns_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from bars that lie in buckets by ticker, so the window needs no exchange."""
+    table = layout.bucket_prices(bars(spark, sf_dir), scratch_path(spark, "buckets"), buckets=8)
+    rows = prices.with_returns(table)
+    return _rounded(rows.select("ticker", "trading_date", "close", "return_lag0"), ["return_lag0"])
+
+
 @register(
     "next_day_label",
     with_views("lagged", body="SELECT ticker, trading_date, target_next_day::TINYINT AS target_next_day FROM lagged"),
