@@ -88,3 +88,15 @@ def test_hot_title(spark):
     diff = quality.title_difference(a, b, ("a", "b"), keep=["id"])
     assert {(r["source"], r["count"]) for r in diff.groupBy("source").count().collect()} == {("a", 600), ("b", 600)}
     assert quality.title_overlap(a, b).first()[0] == 300
+
+
+def test_words_are_stemmed_once(spark):
+    rows = spark.createDataFrame([(date(2020, 1, 1), "running runs the ran")], "trading_session_date_utc date, Article_title string")
+    plan = tfidf.daily_tokens(rows, stemmed=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_small_sessions_are_one_aggregation(spark):
+    rows = spark.createDataFrame([(date(2020, 1, 1), datetime(2020, 1, 1), i, "a") for i in range(5)], "trading_session_date_utc date, date_utc timestamp_ntz, article_id long, Article_title string")
+    plan = daily.session_text(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan

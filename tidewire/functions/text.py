@@ -51,13 +51,16 @@ def clean(c: Column | str, stop: Sequence[str] = ENGLISH) -> Column:
     return F.coalesce(F.array_join(words(normalise(c), stop), " "), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def stem_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stem a column that holds one word per row."""
+def _stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(porter.stem, na_action="ignore")
 
 
+#: Stem a column that holds one word per row.  Marked as not deterministic, though it is, so that a filter on the stems is
+#: not moved below it, which would stem every word twice.
+stem_words = F.pandas_udf(_stems, T.StringType()).asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def stem_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stem every word of a blank-separated text.

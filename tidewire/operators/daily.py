@@ -25,13 +25,34 @@ def session_text(
 
     A session is cut in time order: part ``k`` has the titles before which the session has
     ``k`` times ``max_chars`` characters or more, so its parts in order are its text at any
-    size, and no row holds more than ``max_chars`` and one title besides blanks.  Articles are
-    range-partitioned by session and order, so no task holds a whole hot session.  Nothing is
+    size, and no row holds more than ``max_chars`` and one title besides blanks.  Nothing is
     left out.
+
+    Characters are added up per session first.  Sessions of one part are gathered in one
+    aggregation; larger ones are range-partitioned by session and order, so no task holds
+    a whole one.
     """
-    spark = articles.sparkSession
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = articles.select(session, *order, text, F.coalesce(F.length(text), F.lit(0)).cast("long").alias("_chars"))
+    sizes = rows.groupBy(F.col(session).alias("_s")).agg(F.sum("_chars").alias("_sum"))
+    large = materialise(sizes.where(F.col("_sum") > max_chars).select("_s"), "large-sessions")  # dates only
+    if not large.limit(1).count():
+        return _joined(rows.withColumn("part", F.lit(0)), session, text, order)
+    same = F.col(session).eqNullSafe(F.col("_s"))
+    plain = rows.join(F.broadcast(large), same, "left_anti").withColumn("part", F.lit(0))
+    cut = _with_parts(rows.join(F.broadcast(large), same, "left_semi"), session, order, max_chars)
+    return _joined(plain, session, text, order).unionByName(_joined(cut, session, text, order))
+
+
+def _joined(rows: DataFrame, session: str, text: str, order: tuple[str, str]) -> DataFrame:
+    entry = F.when(F.col(text).isNotNull(), F.struct(*order, text))
+    listed = F.array_sort(F.collect_list(entry))
+    grouped = rows.groupBy(session, "part").agg(listed.alias("_titles"))
+    return grouped.select(session, "part", F.array_join(F.col(f"_titles.{text}"), " ").alias("daily_text"))
+
+
+def _with_parts(rows: DataFrame, session: str, order: tuple[str, str], max_chars: int) -> DataFrame:
+    """``rows`` with ``part``, by running sums over slices of the time line of large sessions."""
+    slices = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     # written once: sums and rows must come from the same slices
     rows = materialise(rows.repartitionByRange(slices, session, *order).withColumn("_slice", F.spark_partition_id()), "session-text")
     # one row per slice and session
@@ -41,12 +62,7 @@ def session_text(
     before = Window.partitionBy("_slice", session).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_before", F.coalesce(F.sum("_chars").over(before), F.lit(0)))
     placed = placed.join(F.broadcast(starts), (F.col("_slice") == F.col("_of")) & F.col(session).eqNullSafe(F.col("_s")))
-    part = F.floor((F.col("_start") + F.col("_before")) / F.lit(max_chars)).cast("int")
-    entry = F.when(F.col(text).isNotNull(), F.struct(*order, text))
-    listed = F.array_sort(F.collect_list(entry))
-    grouped = placed.groupBy(session, part.alias("part")).agg(listed.alias("_titles"))
-    joined = F.array_join(F.col(f"_titles.{text}"), " ")
-    return grouped.select(session, "part", joined.alias("daily_text"))
+    return placed.withColumn("part", F.floor((F.col("_start") + F.col("_before")) / F.lit(max_chars)).cast("int"))
 
 
 def daily_sentiment(df: DataFrame, by: str = SESSION) -> DataFrame:
