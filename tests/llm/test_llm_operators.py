@@ -460,6 +460,39 @@ def test_longest_matches(spark):
     assert got[1, 0] == (6, 6, 5) and got[1, 1][0] == 5 and got[2, 0] == (2, 5, 6)
 
 
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 60])
+def test_longest_matches_equal_brute_force(spark, monkeypatch, block):
+    """Short matches, matches shorter than any window, and equal ones in several rows and shards."""
+    monkeypatch.setattr(decontam.blocks, "__defaults__", (decontam.WINDOW, block))
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(9)] + ["Rare", "x"]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 2, 5, 14, 30])))) for i in range(9)] + [(9, "nowhere seen"), (10, None), (11, "--")]
+    texts = [None, ""] + ["; ".join(rng.choice(vocab[:9]) for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    texts += [items[3][1], "q " + items[3][1], items[6][1] + " " + items[4][1]]
+    ids = [*range(100, 100 - len(texts), -1)]
+    own = {i: TERM.findall((t or "").translate(LOWER)) for i, t in zip(ids, texts)}
+    want = {}
+    for item_id, text in items:
+        words_ = TERM.findall((text or "").translate(LOWER))
+        for k in range(len(words_)):
+            found = []
+            for i, w in own.items():
+                for at in range(len(w)):
+                    n = 0
+                    while k + n < len(words_) and at + n < len(w) and words_[k + n] == w[at + n]:
+                        n += 1
+                    if n:
+                        found.append((-n, i, at))
+            if found:
+                want[item_id, k] = min(found)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = frame(spark, texts, ids).repartition(3)
+    got = {(r.item_id, r.item_word): (-r.n_words, r.doc_id, r.doc_word) for r in decontam.matches(docs, bench).collect()}
+    assert got == want
+    best = {r.item_id: (-r.n_words, r.item_word, r.doc_id, r.doc_word) for r in decontam.longest_per_item(docs, bench).collect()}
+    assert best == {i: min((v[0], k, *v[1:]) for (j, k), v in want.items() if j == i) for i in {j for j, _ in want}}
+
+
 def test_decontamination_without_items(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert all(r.n_hit == 0 and not r.contaminated for r in decontam.judge(frame(spark, EDGE, EDGE_IDS), bench).collect())

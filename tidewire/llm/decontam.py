@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import words
 from tidewire.llm.files import new_folder, open_file, write_file
-from tidewire.llm.frames import arrow_map, text_chunks
+from tidewire.llm.frames import arrow_map, short_batches, text_chunks, written
 
 #: Words of a window.
 WINDOW = 13
@@ -155,7 +155,8 @@ class Shard:
     index: SuffixArray
 
 
-def make_shard(data: np.ndarray, offsets: np.ndarray, block: Block) -> Shard:
+def make_shard(data: np.ndarray, offsets: np.ndarray, block: Block, shortest: int | None = None) -> Shard:
+    """``shortest``: words a stretch must have to be kept; those of the shortest window if it is not given."""
     found = words.scan(data, offsets, TABLE)
     numbers = np.zeros(len(found.hashes), np.int64)
     if len(block.known):
@@ -173,7 +174,7 @@ def make_shard(data: np.ndarray, offsets: np.ndarray, block: Block) -> Shard:
         return Shard(found.firsts, suffix_array(np.zeros(0, np.int64), np.zeros(0, np.int64), block.longest))
     number_of = np.cumsum(begin) - 1
     lengths = np.bincount(number_of[inside], minlength=len(begins))
-    long_ = lengths >= block.shortest
+    long_ = lengths >= (block.shortest if shortest is None else shortest)
     begins, lengths = begins[long_], lengths[long_]
     # copied one after another with a 0 behind each
     ends = np.cumsum(lengths + 1)
@@ -201,20 +202,45 @@ def window_hits(shard: Shard, block: Block) -> tuple[np.ndarray, np.ndarray, np.
     return at, block.widths[query], block.owners[query]
 
 
-def longest_matches(shard: Shard, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every suffix of every item (place in ``block.text``): the most words of it found verbatim, and one place."""
+def range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least value of each range; no range is empty. Tables of ranges of 1, 2, 4, ... places, two for each answer."""
+    out = np.empty(len(low), values.dtype)
+    level = np.int64(np.floor(np.log2(np.maximum(high - low, 1))))
+    table, k = values, 0
+    while len(low):
+        own = np.flatnonzero(level == k)
+        out[own] = np.minimum(table[low[own]], table[high[own] - (1 << k)])
+        if k >= level.max(initial=0):
+            break
+        table, k = np.minimum(table[: -(1 << k)], table[1 << k :]), k + 1
+    return out
+
+
+def longest_matches(shard: Shard, block: Block, row_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every suffix of every item (place in ``block.text``): the most words of it found verbatim, and the place of the
+    first such match by the rows' ``row_rank``, then by word."""
     suffixes = np.flatnonzero(block.text != 0)
-    if not len(suffixes) or not len(shard.index.order):
-        return suffixes, np.zeros(len(suffixes), np.int64), np.full(len(suffixes), -1, np.int64)
+    best = np.zeros(len(suffixes), np.int64)
+    index = shard.index
+    if not len(suffixes) or not len(index.order):
+        return suffixes, best, np.full(len(suffixes), -1, np.int64)
     widths = block.left[suffixes]
-    low = bisect(shard.index, block, suffixes, widths, False)
-    best, where = np.zeros(len(suffixes), np.int64), np.full(len(suffixes), -1, np.int64)
-    for neighbour in (low - 1, low):
-        ok = (neighbour >= 0) & (neighbour < len(shard.index.order))
-        at = shard.index.order[np.clip(neighbour, 0, len(shard.index.order) - 1)]
-        _, same = _compare(shard.index, at, block, suffixes, widths)
-        better = ok & (same > best)
-        best[better], where[better] = same[better], shard.index.places[at[better]]
+    low = bisect(index, block, suffixes, widths, False)
+    for neighbour in (low - 1, low):  # the longest match stands beside the suffix's own place
+        ok = (neighbour >= 0) & (neighbour < len(index.order))
+        _, same = _compare(index, index.order[np.clip(neighbour, 0, len(index.order) - 1)], block, suffixes, widths)
+        best = np.where(ok, np.maximum(best, same), best)
+    where = np.full(len(suffixes), -1, np.int64)
+    some = np.flatnonzero(best > 0)
+    low = bisect(index, block, suffixes[some], best[some], False)
+    high = bisect(index, block, suffixes[some], best[some], True)
+    # all suffixes that begin with the match, the first of them by row and word
+    places = index.places[index.order]
+    rows = np.searchsorted(shard.firsts, places, "right") - 1
+    keys = (row_rank[rows].astype(np.int64) << 32) + (places - shard.firsts[rows])
+    by_rank = np.argsort(row_rank)
+    least = range_least(keys, low, high)
+    where[some] = shard.firsts[by_rank[least >> 32]] + (least & 0xFFFFFFFF)
     return suffixes, best, where
 
 
@@ -223,9 +249,9 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_BYTES)
     """Files with the benchmark's blocks, below the shared folder.
 
     Items are dealt to blocks by a hash, into twice as many until none has more than ``most`` bytes (or is a single
-    item). The driver holds one block at a time.
+    item). A task builds a block and writes its file; the driver sees the files' names only.
     """
-    items = benchmark.selectExpr("cast(item_id as bigint) item_id", "text").where("text is not null and text <> ''")
+    items = benchmark.selectExpr("cast(item_id as bigint) item_id", "text").where("text is not null and text <> ''").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)), F.count("*")).first()
     count = max(1, -(-size[0] // most))
     mark = F.xxhash64("item_id", "text")
@@ -235,11 +261,16 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_BYTES)
             break
         count *= 2
     folder = new_folder(benchmark.sparkSession, "benchmark")
-    out = []
-    for b in range(count):
-        rows = items.where(F.pmod(mark, F.lit(count)) == b).distinct().orderBy("item_id", "text").collect()
-        out.append(write_file(folder, f"block-{b:05d}.pickle", pickle.dumps(make_block([(r[0], r[1]) for r in rows], window))))
-    return out
+    if not size[1]:
+        return [write_file(folder, "block-none.pickle", pickle.dumps(make_block([], window)))]
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        number = table.column("block")[0].as_py()
+        return pa.table({"block": [number], "uri": [write_file(folder, f"block-{number:05d}.pickle", pickle.dumps(make_block(rows, window)))]})
+
+    made = items.withColumn("block", F.pmod(mark, F.lit(count))).groupBy("block").applyInArrow(build, "block bigint, uri string")
+    return [r["uri"] for r in written(made, "benchmark-blocks").orderBy("block").collect()]
 
 
 _held: dict[str, Block] = {}
@@ -317,21 +348,28 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """For every suffix of every item its longest verbatim match in all documents: ``item_id``, ``item_word``,
-    ``n_words``, ``doc_id``, ``doc_word`` (of equally long ones the smallest ``doc_id`` and place). Suffixes whose first
-    word no long enough stretch has are left out. Each shard sends one row per suffix found; maxima are combined
-    within tasks."""
+    ``n_words``, ``doc_id``, ``doc_word`` (of equally long ones the smallest ``doc_id``, null last, and place).
+
+    Suffixes whose first word no document has are left out, as are null and empty items and texts; repeated items count
+    once, rows that repeat a ``doc_id`` are told apart by their words only. Each shard sends one row per suffix found; maxima
+    are combined within tasks."""
     files = blocks(benchmark, window)
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     names = ["item_id", "item_word", "n_words", "doc_id", "doc_word"]
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, _, data, offsets in text_chunks(batch.column(1), SHARD_BYTES):
+            for first, end, data, offsets in text_chunks(batch.column(1), SHARD_BYTES):
+                own = ids[first:end]
+                order = sorted(range(len(own)), key=lambda i: (own[i] is None, own[i] or 0, i))
+                rank = np.empty(len(own), np.int64)
+                rank[order] = np.arange(len(own))
                 for uri in files:
                     block = load_block(uri)
-                    shard = make_shard(data, offsets, block)
-                    suffix, length, at = longest_matches(shard, block)
+                    shard = make_shard(data, offsets, block, 1)
+                    suffix, length, at = longest_matches(shard, block, rank)
                     ok = length > 0
                     suffix, length, at = suffix[ok], length[ok], at[ok]
                     if not len(suffix):
@@ -344,12 +382,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
                             pa.array([int(i) if h else None for i, h in zip(block.item_ids[item], block.has_id[item])], pa.int64()),
                             pa.array(suffix - begins, pa.int64()),
                             pa.array(length, pa.int64()),
-                            pa.array([ids[first + int(d)] for d in doc], pa.int64()),
+                            pa.array([own[int(d)] for d in doc], pa.int64()),
                             pa.array(at - shard.firsts[doc], pa.int64()),
                         ],
                         names,
                     )
 
     found = rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
-    top = F.min(F.struct((-F.col("n_words")).alias("less"), "doc_id", "doc_word")).alias("top")
-    return found.groupBy("item_id", "item_word").agg(top).select("item_id", "item_word", (-F.col("top.less")).alias("n_words"), "top.doc_id", "top.doc_word")
+    best = F.struct((-F.col("n_words")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_word")
+    top = found.groupBy("item_id", "item_word").agg(F.min(best).alias("top"))
+    return top.select("item_id", "item_word", (-F.col("top.less")).alias("n_words"), "top.doc_id", "top.doc_word")
+
+
+def longest_per_item(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per item with a word in some document: the longest verbatim match of any of its suffixes, and where it is in the
+    item and in the documents (the first of equally long ones by item word, ``doc_id`` and place)."""
+    found = matches(docs, benchmark)
+    best = F.struct((-F.col("n_words")).alias("less"), "item_word", F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_word")
+    top = found.groupBy("item_id").agg(F.min(best).alias("top"))
+    return top.select("item_id", "top.item_word", (-F.col("top.less")).alias("n_words"), "top.doc_id", "top.doc_word")

@@ -82,6 +82,11 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def benchmark_longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest passage of every benchmark item that stands in a document, and where."""
+    return decontam.longest_per_item(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers over every document."""
     return align.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
@@ -166,6 +171,7 @@ QUERIES = {
         op8_label_propagation,
         op9_unigram_counts,
         op10_suffix_decontamination,
+        benchmark_longest_matches,
         op11_token_alignment,
         op12_word_runs,
         op13_chat_format,
