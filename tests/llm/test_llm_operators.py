@@ -185,6 +185,21 @@ def test_arc_versions(version):
         list(warc.read_arc(data + b"http://h/ 1 2\n"))
 
 
+def test_legacy_arc_lines_and_errors(spark):
+    """Urls in Latin-1 and with blanks; a wrong length and junk between records cost one record each."""
+    head = warc.arc_header(1, "n.arc", "20000101000000")
+    good = [("http://h/caf\u00e9 au lait".encode("latin-1"), b"one"), (b"http://h/2", b"two\n\nlines"), ("http://h/\u65e5".encode(), b"three")]
+    parts = [url + b" 1.2.3.4 20240229 text/html " + str(len(body)).encode() + b"\n" + body + b"\n" for url, body in good]
+    data = head + parts[0] + b"http://bad/ 1.2.3.4 20240229 text/html 99999\nshort\n" + parts[1] + b"no record line\n" + parts[2] + b"cut off"
+    errors = []
+    got = list(warc.read_arc(data, errors))
+    assert [(r.url, r.body) for r in got] == [("http://h/caf\u00e9 au lait", b"one"), ("http://h/2", b"two\n\nlines"), ("http://h/\u65e5", b"three")]
+    assert len(errors) == 3
+    table = spark.createDataFrame([("a", data), ("b", gzip.compress(head + parts[1])), ("c", None), ("d", b"")], "name string, content binary")
+    assert sorted((r.uri, r.payload_bytes) for r in warc.arc_records(table).collect()) == sorted([("http://h/caf\u00e9 au lait", 3), ("http://h/2", 10), ("http://h/\u65e5", 5), ("http://h/2", 10)])
+    assert {(r.name, r.offset) for r in warc.arc_errors(table).collect()} == {("a", e[0]) for e in errors}
+
+
 def test_warc_dates_and_records():
     assert warc.warc_date("20240229") == "2024-02-29T00:00:00Z"
     assert warc.warc_date("2024022912") == "2024-02-29T12:00:00Z"

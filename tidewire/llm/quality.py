@@ -22,6 +22,8 @@ from tidewire.llm.frames import arrow_map
 SAMPLE = 2000
 #: Labelled texts with more characters are not fitted on (they are scored in full like any other).
 SAMPLE_CHARS = 65_536
+#: Bytes of all texts that are fitted on, at most; of more, those with the smallest hash are taken.
+SAMPLE_BYTES = 64 << 20
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
 THRESHOLD = 0.3
@@ -117,8 +119,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Compression
         known.where("quality = 0").orderBy("turn", "doc_id").limit(sample)
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality", "turn").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (r.turn, r.doc_id))
+    sample_rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality", "turn").agg(F.min("text").alias("text"))
+    sizes = sample_rows.select("turn", "doc_id", F.octet_length("text").alias("size")).collect()  # numbers only
+    sizes.sort(key=lambda r: (r.turn, r.doc_id))
+    total = np.cumsum([r["size"] for r in sizes]) if sizes else np.zeros(0)
+    if len(total) and total[-1] > SAMPLE_BYTES:
+        last = sizes[max(int(np.searchsorted(total, SAMPLE_BYTES, "right")) - 1, 0)]
+        sample_rows = sample_rows.where((F.col("turn") < last.turn) | ((F.col("turn") == last.turn) & (F.col("doc_id") <= last.doc_id)))
+    rows = sorted(sample_rows.collect(), key=lambda r: (r.turn, r.doc_id))
     parts: dict[tuple[int, int], list[bytes]] = {(q, h): [] for q in (0, 1) for h in (0, 1)}
     for r in rows:
         side = parts[r.quality, 0], parts[r.quality, 1]

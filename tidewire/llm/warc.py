@@ -67,11 +67,44 @@ def arc_record(version: int, name: str, offset: int, url: str, date: str, status
     return f"{line} {len(body)}\n".encode() + body + b"\n"
 
 
-def read_arc(data: bytes) -> Iterator[ArcRecord]:
+def _arc_line(line: bytes, names: list[str]) -> dict[str, str] | None:
+    """The fields of a record line, or None if it is none.
+
+    Legacy archives hold urls in any 8-bit encoding and with blanks: bytes that are no UTF-8 are read as Latin-1, and
+    what is too many belongs to the url, which comes first.
+    """
+    line = line.rstrip(b"\r")
+    try:
+        values = line.decode("utf-8").split(" ")
+    except UnicodeDecodeError:
+        values = line.decode("latin-1").split(" ")
+    more = len(values) - len(names)
+    if more < 0:
+        return None
+    row = dict(zip(names, [" ".join(values[: more + 1]), *values[more + 1 :]]))
+    return row if row["Archive-length"].isdigit() and row["URL"] else None
+
+
+def _next_record(data: bytes, at: int, names: list[str]) -> int:
+    """Where the next record line behind ``at`` is whose date and declared length hold; the end if there is none."""
+    while (at := data.find(b"\n", at) + 1) > 0:
+        stop = data.find(b"\n", at)
+        if stop < 0:
+            break
+        row = _arc_line(data[at:stop], names) if stop - at < 65_536 else None
+        if row and re.fullmatch(r"\d{8,14}", row["Archive-date"]):
+            end = stop + 1 + int(row["Archive-length"])
+            if end == len(data) or data[end : end + 1] in (b"\n", b"\r"):
+                return at
+    return len(data)
+
+
+def read_arc(data: bytes, errors: list[tuple[int, str]] | None = None) -> Iterator[ArcRecord]:
     """Records of one ARC file, version block left out.
 
-    The version block's third line names the fields; a record line with another number of fields, or a length
-    beyond the file, is an error, since nothing after it could be trusted. Blank lines between records are allowed.
+    The version block's second line names the fields; a record line with too few fields or without a length, or a length
+    beyond the file, is an error. It is raised, or, with a list in ``errors``, noted there with its byte, and reading goes on
+    at the next record whose date and declared length hold. Blank lines between records are allowed.
     """
     at, fields = 0, FIELDS[1].split()
     while at < len(data):
@@ -79,21 +112,26 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
             at += 1
             continue
         stop = data.find(b"\n", at)
-        if stop < 0:
-            raise ValueError(f"record line without an end at byte {at}")
         offset = at
-        values = data[at:stop].decode("utf-8").rstrip("\r").split(" ")
-        first = values[0].startswith("filedesc:") and at == 0
-        if first:
-            length = int(values[-1])
+        line = data[at : stop if stop >= 0 else len(data)]
+        first = at == 0 and line.startswith(b"filedesc:")
+        values = line.rstrip(b"\r").split(b" ")
+        row = {"Archive-length": values[-1].decode("latin-1")} if first else _arc_line(line, fields)
+        if stop < 0:
+            wrong = "record line without an end"
+        elif row is None or not row["Archive-length"].isdigit():
+            wrong = f"{len(values)} fields instead of {len(fields)}, or no length"
         else:
-            if len(values) != len(fields):
-                raise ValueError(f"{len(values)} fields instead of {len(fields)} at byte {at}")
-            length = int(values[fields.index("Archive-length")])
-        body = data[stop + 1 : stop + 1 + length]
-        if len(body) != length:
-            raise ValueError(f"declared {length} bytes, {len(body)} are left at byte {at}")
-        at = stop + 1 + length
+            body = data[stop + 1 : stop + 1 + int(row["Archive-length"])]
+            left = int(row["Archive-length"]) - len(body)
+            wrong = f"declared length is {left} bytes beyond the end" if left else ""
+        if wrong:
+            if errors is None:
+                raise ValueError(f"{wrong}, at byte {offset}")
+            errors.append((offset, wrong))
+            at = _next_record(data, offset, fields)
+            continue
+        at = stop + 1 + len(body)
         if first:
             lines = body.decode("utf-8", "replace").splitlines()
             if len(lines) >= 2 and "Archive-length" in lines[1].split(" "):
@@ -101,7 +139,6 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
             elif lines and lines[0].split(" ")[0] in ("1", "2"):
                 fields = FIELDS[int(lines[0].split(" ")[0])].split()
             continue
-        row = dict(zip(fields, values))
         yield ArcRecord(row["URL"], row["IP-address"], row["Archive-date"], row["Content-type"], row.get("Result-code"), body, offset)
 
 
@@ -225,11 +262,11 @@ def arc_records(arcs: DataFrame) -> DataFrame:
                 if content[:2] == b"\x1f\x8b":
                     content = gzip.decompress(content)
                 rows, held = [], 0
-                for r in read_arc(content):
+                for r in read_arc(content, []):  # what cannot be read is in ``arc_errors``
                     head, payload = split_http(r.body)
                     digest = hashlib.sha256(payload).hexdigest()
                     row, date = head_field(head, "X-Row"), warc_date(r.date)
-                    rows.append((r.url, date, r.content_type, head, payload, len(payload), digest, int(row) if row else None, record_id(r.url, date, row or f"{name}@{r.offset}", digest)))
+                    rows.append((r.url, date, r.content_type, head, payload, len(payload), digest, int(row) if row and re.fullmatch(r"-?\d{1,18}", row) else None, record_id(r.url, date, row or f"{name}@{r.offset}", digest)))
                     held += len(payload)
                     if held >= ARC_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema.names)
@@ -240,6 +277,24 @@ def arc_records(arcs: DataFrame) -> DataFrame:
     return arcs.select("name", "content").mapInArrow(run, RECORD)
 
 
+def arc_errors(arcs: DataFrame) -> DataFrame:
+    """``name``, ``offset``, ``reason`` of every place of the archives where no record could be read."""
+    schema = pa.schema([("name", pa.string()), ("offset", pa.int64()), ("reason", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                errors: list[tuple[int, str]] = []
+                content = content or b""
+                for _ in read_arc(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content, errors):
+                    pass
+                rows += [{"name": name, "offset": at, "reason": why} for at, why in errors]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return arcs.select("name", "content").mapInArrow(run, "name string, offset bigint, reason string")
+
+
 def originals(records: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     """For each payload of at least ``least`` bytes that several records have: the smallest ``row_key``, with its
     record's id, uri and date. Combined within tasks first, so a hot payload costs one row per task."""
