@@ -50,7 +50,9 @@ MOST_ROUNDS = 3
 #: Pairs that a list may hold, by size and position, to be compared pair by pair: a list of more is divided first. How often
 #: lists are divided at most (what is then left is compared pair by pair); and about how many sets of a region are asked for
 #: its core. All three only steer the work.
-LIST_PAIRS, DIVISIONS, VOTERS = 200, 6, 64
+LIST_PAIRS, DIVISIONS, VOTERS = 2000, 6, 64
+#: Rows that a division may make for each row it divides; if it would make more, its lists are compared pair by pair.
+MOST_GROWTH = 4
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -290,18 +292,25 @@ def components_of(index: DataFrame, rows: DataFrame, handles: DataFrame) -> Data
         if not live.limit(1).count():
             break
         long = written(long_lists(live).where(F.lit(turn < DIVISIONS)), "long-list-tokens")
-        pairs = written(all_pairs_between(live.join(small(long), "token", "left_anti")).join(tried, ["a", "b"], "left_anti"), "open-pairs")
+        short, divided = live, None
+        if long.limit(1).count():
+            lists = written(live.join(small(long), "token", "left_semi"), "long-lists")
+            divided, more = divided_lists(lists, rows, handles)
+            if divided.count() <= MOST_GROWTH * lists.count():
+                short = live.join(small(long), "token", "left_anti")
+            else:
+                discard(divided)
+                divided = None
+        pairs = written(all_pairs_between(short).join(tried, ["a", "b"], "left_anti"), "open-pairs")
         tried = tried.unionByName(pairs)
         new = verified(pairs, rows, handles)
-        divide = long.limit(1).count() > 0
-        if divide:
-            divided, more = divided_lists(live.join(small(long), "token", "left_semi"), rows, handles)
+        if divided is not None:
             new = written(new.unionByName(more).distinct(), "open-links")
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             found = components(links)
         discard(live)
-        if not divide:
+        if divided is None:
             break
         live = _next(divided, found)
     return found
@@ -315,15 +324,20 @@ def _next(lists: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def long_lists(live: DataFrame) -> DataFrame:
-    """``token`` of lists with more than ``LIST_PAIRS`` pairs that sizes and positions allow, at most.
+    """``token`` of lists with more than ``LIST_PAIRS`` pairs between components that sizes and positions allow, at most.
 
     Of two sets that may link the smaller one has the shingle within the first seventh of its places, and the other is
     at most a third larger.
     """
-    may = f"cast(({OF + TO}) * pos <= ({TO - OF}) * n as int)"
-    near = W.partitionBy("token").orderBy("scale").rangeBetween(-math.ceil(math.log(TO / OF) * 1e6) - 1, 0)
-    counted = live.withColumn("scale", F.floor(F.log("n") * 1e6)).withColumn("smaller", F.sum(F.expr(may)).over(near))
-    return counted.groupBy("token").agg(F.sum("smaller").alias("pairs")).where(F.col("pairs") > LIST_PAIRS).select("token")
+    may = F.expr(f"cast(({OF + TO}) * pos <= ({TO - OF}) * n as int)")
+    scaled = live.withColumn("scale", F.floor(F.log("n") * 1e6)).withColumn("may", may)
+    reach = -math.ceil(math.log(TO / OF) * 1e6) - 1
+
+    def met(*keys: str) -> Column:
+        return F.sum("may").over(W.partitionBy(*keys).orderBy("scale").rangeBetween(reach, 0))
+
+    counted = scaled.withColumn("others", met("token") - met("token", "component"))
+    return counted.groupBy("token").agg(F.sum("others").alias("pairs")).where(F.col("pairs") > LIST_PAIRS).select("token")
 
 
 def divided_lists(lists: DataFrame, rows: DataFrame, handles: DataFrame) -> tuple[DataFrame, DataFrame]:
