@@ -148,7 +148,7 @@ def typed(params: dict) -> dict:
         return v
 
     # names of the log may carry the pipeline step in front
-    return {name.split("__")[-1]: value(v) for name, v in params.items()}
+    return {name.split("__")[-1]: value(v) for name, v in params.items() if name != "saved_model"}
 
 
 # Ranges of the sweeps, as (kind, arguments).

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.numeric import rounded, sigmoid
-from tidewire.operators import daily, master, metrics, models, reduction, search, sequences, splits, trials
+from tidewire.operators import daily, master, metrics, models, reduction, search, sequences, splits, stages, trials
 from tidewire.operators.prices import PRICE_FEATURES, up_down_days
 from tidewire.operators.sessions import SESSION
 from tidewire.plans import standins
@@ -365,6 +366,38 @@ def replay_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.leaderboard(search.replay(train, test, "LR", params), "test_accuracy", "number")
 
 
+@register(
+    "replay_saved",
+    with_views("placed", body="""SELECT run AS number, count(*) AS rows, count(*) AS same_predictions, true AS same_scores
+FROM placed, (VALUES (1), (2)) AS r(run) WHERE pos >= n - ceil(n * 0.3::DOUBLE) GROUP BY run"""),
+)
+def replay_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs are fitted, saved and logged; from the log their models are loaded, and predict and score as before."""
+    train, test = _price_train_test(spark, sf_dir)
+    path, folder = scratch_path(spark, "runs"), scratch_path(spark, "models")
+    before = {}
+    for number, c in enumerate((0.1, 10.0), start=1):
+        model = models.fit("LR", {"C": c, "max_iter": 50}, train)
+        where = stages.save_run(model, folder, f"run-{number}")
+        entry = {"model_type": "LR", "mode": "price", "hyperparameters": {"logr__C": c, "saved_model": where}}
+        experiments.log_run(spark, path, {**entry, "timestamp": f"2026-03-10 21:30:0{number}"})
+        before[number] = materialise(models.predict(model, test), f"predicted-{number}")
+    runs = experiments.select_runs(experiments.read_log(spark, path), "LR", "2026-03-10 21:00:00", "2026-03-10 23:59:59")
+    replayed = stages.replay_saved(runs, test)
+    found = None
+    for number, first in before.items():
+        again = models.predict(PipelineModel.load(f"{folder}/run-{number}"), test)
+        keys = ["trading_date", "ticker"]
+        both = first.join(again.select(*keys, F.col("prediction").alias("p"), F.col("probability").alias("q")), keys)
+        same = F.count_if((F.col("p") == F.col("prediction")) & (F.abs(F.col("q") - F.col("probability")) < 1e-12))
+        counted = both.agg(F.lit(number).alias("number"), F.count("*").alias("rows"), same.alias("same_predictions"))
+        score = metrics.accuracy(first).select(F.lit(number).alias("number"), "accuracy")
+        counted = counted.join(score, "number")
+        found = counted if found is None else found.unionByName(counted)
+    joined = found.join(replayed.select("number", "test_accuracy"), "number")
+    return joined.select("number", "rows", "same_predictions", (F.abs(F.col("accuracy") - F.col("test_accuracy")) < 1e-12).alias("same_scores"))
+
+
 @register("pca_embeddings")
 def pca_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = daily.daily_embedding(standins.session_scores(spark, sf_dir))
