@@ -27,6 +27,8 @@ from tidewire.session import materialise
 
 #: Rows of a slot: one slot is one task's work in an epoch.
 SLOT_ROWS = 50_000
+#: Bytes of all slots' states up to which the driver takes them at once; more come one partition after another.
+STATES_BYTES = 256 << 20
 
 
 # -- the network, for a batch of rows ----------------------------------------------------------------------------
@@ -131,7 +133,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _epoch(slots: DataFrame, settings: Settings, state: np.ndarray, steps: int, epoch: int) -> tuple[np.ndarray, int]:
+def _epoch(slots: DataFrame, count: int, settings: Settings, state: np.ndarray, steps: int, epoch: int) -> tuple[np.ndarray, int]:
     """The mean of all slots' states after one epoch, and the steps of the longest; sums are added up by Spark."""
     held = slots.sparkSession.sparkContext.broadcast((settings, state, steps))
 
@@ -144,7 +146,8 @@ def _epoch(slots: DataFrame, settings: Settings, state: np.ndarray, steps: int,
         return pa.table({"rows": [len(x)], "steps": [adam.steps], "state": [adam.state.ravel().tobytes()]})
 
     sums, rows, longest = np.zeros_like(state), 0, steps
-    for r in slots.groupBy("slot").applyInArrow(run, "rows bigint, steps bigint, state binary").toLocalIterator():  # one state at a time
+    made = slots.groupBy("slot").applyInArrow(run, "rows bigint, steps bigint, state binary")
+    for r in made.collect() if count * state.nbytes <= STATES_BYTES else made.toLocalIterator():
         sums += r["rows"] * np.frombuffer(r["state"]).reshape(state.shape)
         rows, longest = rows + r["rows"], max(longest, r["steps"])
     held.unpersist()
@@ -221,7 +224,7 @@ class EpochPerceptron(Estimator, _Perceptron, DefaultParamsReadable, DefaultPara
         state, steps = np.stack((weights, np.zeros_like(weights), np.zeros_like(weights))), 0
         best, history = (float("inf"), -1, weights), []
         for epoch in range(get(self.maxEpochs)):
-            state, steps = _epoch(train, settings, state, steps, epoch)
+            state, steps = _epoch(train, slots, settings, state, steps, epoch)
             loss = _loss(judged, state[0], shapes)
             history.append(loss)
             if loss < best[0]:

@@ -210,7 +210,7 @@ def study_embedding_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(made.sequence_rows("finbert_emb_hybrid"), "sequences")
     rows = splits.three_way_split(rows, "trading_date", "ticker", eager=True)
     train, val, test = (rows.where(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
-    return metrics.evaluate(models.predict(models.fit_with_validation("MLP", {"max_epochs": 20}, train, val), test))
+    return metrics.evaluate(models.predict(models.fit_with_validation("MLP", {"max_epochs": 10}, train, val), test))
 
 
 @register("nested_sweep")
@@ -223,7 +223,7 @@ def nested_sweep_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         made.add_embedding_components(embedding, size)
         return made
 
-    configs = [{"name": "small", "hidden_size": 32, "max_epochs": 5}, {"name": "deep", "hidden_size": 32, "num_layers": 3, "max_epochs": 5}]
+    configs = [{"name": "small", "hidden_size": 32, "max_epochs": 4}, {"name": "deep", "hidden_size": 32, "num_layers": 3, "max_epochs": 4}]
     return nested_sweep(make, [30, 60], ["finbert_emb_hybrid"], configs)
 
 
@@ -280,7 +280,7 @@ def _three_parts(rows: DataFrame) -> tuple[DataFrame, ...]:
 def mlp_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A perceptron on all price features; the validation part chooses the epoch."""
     train, val, test = _three_parts(master_rows(spark, sf_dir))
-    return metrics.evaluate(models.predict(models.fit_with_validation("MLP", {"max_epochs": 30}, train, val), test))
+    return metrics.evaluate(models.predict(models.fit_with_validation("MLP", {"max_epochs": 10}, train, val), test))
 
 
 def sequence_rows(spark: SparkSession, sf_dir: str, length: int = 5) -> DataFrame:
@@ -291,7 +291,7 @@ def sequence_rows(spark: SparkSession, sf_dir: str, length: int = 5) -> DataFram
 def sequence_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of five days, three hidden layers."""
     train, val, test = _three_parts(sequence_rows(spark, sf_dir))
-    model = models.fit_with_validation("MLP", {"num_layers": 3, "max_epochs": 30}, train, val)
+    model = models.fit_with_validation("MLP", {"num_layers": 3, "max_epochs": 10}, train, val)
     return metrics.evaluate(models.predict(model, test))
 
 
@@ -318,7 +318,7 @@ def random_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = SignalStudy(standins.prices(spark, sf_dir))
     made.add_sentiment(daily.daily_sentiment(scores))
     made.add_embedding_components(daily.daily_embedding(scores), 60)
-    space = {**search.PERCEPTRON_SPACE, "mode": ("choice", [m for m in search.MODES if "tfidf" not in m]), "max_epochs": ("choice", [10])}
+    space = {**search.PERCEPTRON_SPACE, "mode": ("choice", [m for m in search.MODES if "tfidf" not in m]), "max_epochs": ("choice", [5])}
     return made.sweep(space, 4, scratch_path(spark, "trials"), parallelism=2)
 
 
