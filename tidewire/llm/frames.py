@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,6 +55,16 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(most, str(SLICE))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on, and what it holds counts against the next task."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own books
+        pass
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
     """``mapInArrow`` with a function built once per task by ``make``; it gets up to ``SLICE`` rows. ``done`` ends a task.
 
@@ -67,7 +79,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
                 yield step(batch.slice(at, SLICE))
         if done:
             done()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
