@@ -223,7 +223,7 @@ def nested_sweep_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         made.add_embedding_components(embedding, size)
         return made
 
-    configs = [{"name": "small", "hidden_size": 32, "max_epochs": 4}, {"name": "deep", "hidden_size": 32, "num_layers": 3, "max_epochs": 4}]
+    configs = [{"name": "small", "hidden_size": 32, "max_epochs": 3}, {"name": "deep", "hidden_size": 32, "num_layers": 3, "max_epochs": 3}]
     return nested_sweep(make, [30, 60], ["finbert_emb_hybrid"], configs)
 
 
@@ -304,7 +304,8 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("randomized_search")
 def randomized_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, frames = tuned_bar_forest(bars(spark, sf_dir), draws=1)
+    grid = {**models.BAR_FOREST_GRID, "n_estimators": [100], "max_depth": [10], "max_features": ["sqrt"]}
+    found, frames = tuned_bar_forest(bars(spark, sf_dir), grid=grid, draws=1)
     importances = frames["importances"].select(
         F.concat(F.lit("importance_"), "feature").alias("metric"), F.col("importance").alias("value")
     )
