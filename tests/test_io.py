@@ -166,6 +166,15 @@ def test_hashes(spark, news_csv, tmp_path):
     assert row["sha256"] == hashlib.sha256(NEWS.encode()).hexdigest() and row["file_name"] == "news.csv"
 
 
+def test_hashes_of_empty_and_oddly_named_files(spark, tmp_path):
+    content = {"a.csv": b"abc", "empty.csv": b"", "sp ace.csv": b"x", "h#q.csv": b"z", "p%41+.csv": b"y"}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    rows = files.file_hashes(spark, str(tmp_path)).collect()
+    assert {(r["file_name"], r["length"], r["sha256"]) for r in rows} == {(n, len(d), hashlib.sha256(d).hexdigest()) for n, d in content.items()}
+    assert len(rows) == len(content)
+
+
 def test_batches_are_bounded(spark):
     df = spark.range(1000).repartition(2)
     sizes = files.map_batches(df, lambda b: pd.DataFrame({"n": [len(b)]}), "n long", 100)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from urllib.parse import urlparse
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -20,8 +20,18 @@ OPENED = ("", "file", "hdfs", "s3", "s3a", "gs")
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``path`` and ``length`` of the files below a folder that are not empty; no content is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length")
+    return _found(spark, path, pattern).select("path", "length")
+
+
+def _found(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+
+
+def empty_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``path`` and ``length`` of the empty files below a folder, which Spark lists and does not read."""
+    names = [unquote(uri).replace(":///", ":/", 1) for uri in _found(spark, path, pattern).inputFiles()]
+    every = spark.createDataFrame([(n,) for n in names], "path string")
+    return every.join(list_files(spark, path, pattern), "path", "left_anti").withColumn("length", F.lit(0).cast("bigint"))
 
 
 def dealt_by_size(files: DataFrame, tasks: int) -> DataFrame:
@@ -33,11 +43,12 @@ def dealt_by_size(files: DataFrame, tasks: int) -> DataFrame:
     return placed.repartitionByRange(tasks, "_task").drop("_task")
 
 
-def _open(uri: str):
-    parts = urlparse(uri)
-    if parts.scheme == "s3a":
-        uri = "s3" + uri[3:]
-    system, path = fs.FileSystem.from_uri(uri) if parts.scheme else (fs.LocalFileSystem(), uri)
+def _open(name: str):
+    """The stream of a file by its name as Spark gives it, in which nothing is escaped."""
+    scheme, path = ("", name) if name.startswith("/") else name.split(":", 1)
+    if scheme in ("", "file"):
+        return fs.LocalFileSystem().open_input_stream("/" + path.lstrip("/"))
+    system, path = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}:{quote(path, safe='/:@')}")
     return system.open_input_stream(path)
 
 
@@ -64,6 +75,6 @@ def file_digests(spark: SparkSession, path: str, pattern: str = "*", tasks: int
                 yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([size]), pa.array([sha])], ["path", "length", "sha256"])
 
     read = own.select("path").mapInArrow(run, "path string, length bigint, sha256 string")
-    whole = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    whole = whole.where(~scheme.isin(*OPENED)).select("path", "length", F.sha2("content", 256).alias("sha256"))
-    return read.unionByName(whole).select(file_name("path").alias("file_name"), "length", "sha256")
+    whole = _found(spark, path, pattern).where(~scheme.isin(*OPENED)).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    empty = empty_files(spark, path, pattern).withColumn("sha256", F.lit(hashlib.sha256().hexdigest()))
+    return read.unionByName(whole).unionByName(empty).select(file_name("path").alias("file_name"), "length", "sha256")
