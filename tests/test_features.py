@@ -474,3 +474,14 @@ def test_daily_checks(spark):
     axis = daily.count_axis_top(daily.article_counts(sentiment_rows(spark), "date_utc")).first()[0]
     assert axis == pytest.approx(5.5)
     assert daily.duplicate_sessions(days.unionByName(days), "date_utc").count() == 2
+
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def test_stemmed_texts_go_to_workers_in_short_batches(spark):
+    spark.conf.set(BATCH, "10000")
+    df = spark.range(3000).selectExpr("id", "concat('running dogs ', id) text").coalesce(1)
+    got = df.select("id", text.clean_and_stem("text").alias("stems")).collect()
+    assert int(spark.conf.get(BATCH)) <= 1000
+    assert len(got) == 3000 and {r["stems"] for r in got} == {"run dog num"}
