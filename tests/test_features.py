@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import numeric, porter, text
 from tidewire.functions.stopwords import ENGLISH, FURTHER, VECTORISER
-from tidewire.operators import daily, master, prices, quality, reduction, scaling, sequences, splits, tfidf
+from tidewire.operators import daily, master, prices, quality, reduction, scaling, scoring, sequences, splits, tfidf
 from tidewire.operators.calendar import trading_calendar
 from tidewire.operators.sessions import SESSION, assign_sessions
 
@@ -485,3 +485,14 @@ def test_stemmed_texts_go_to_workers_in_short_batches(spark):
     got = df.select("id", text.clean_and_stem("text").alias("stems")).collect()
     assert int(spark.conf.get(BATCH)) <= 1000
     assert len(got) == 3000 and {r["stems"] for r in got} == {"run dog num"}
+
+
+def test_scorer_gets_short_batches(spark):
+    spark.conf.set(BATCH, "10000")
+
+    def scorer():
+        return lambda texts: (np.full((len(texts), 1), len(texts)), np.zeros((len(texts), 3)))
+
+    df = spark.range(3000).selectExpr("id", "cast(id as string) Article_title").coalesce(1)
+    got = scoring.score_articles(df, scorer, batch_size=100_000).collect()
+    assert len(got) == 3000 and max(r["finbert_embedding"][0] for r in got) <= 1000

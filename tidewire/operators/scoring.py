@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewire.session import give_back, short_batches
+
 # A scorer turns a list of texts into (embeddings, logits), one row per text.
 Scorer = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -36,10 +38,11 @@ def score_articles(
     """Add embedding and class probabilities (positive, negative, neutral) to each article.
 
     ``scorer_factory`` is called once per task, where it loads the model; texts go
-    to it whole, ``batch_size`` at a time.  A row without a text is not scored and has
+    to it whole, ``batch_size`` at a time, and a worker holds a short batch of rows at once.  A row without a text is not scored and has
     null results.  A row stays with its result, so nothing
     depends on row offsets.  Prune columns before, or name those to ``keep``.
     """
+    short_batches(articles.sparkSession)
     rows = articles if keep is None else articles.select(*keep)
     schema = T.StructType(list(rows.schema.fields) + SCORE_FIELDS)
 
@@ -60,5 +63,6 @@ def score_articles(
                 for i, name in enumerate(("sent_pos", "sent_neg", "sent_neu")):
                     part[name] = probabilities[:, i]
                 yield part
+        give_back()
 
     return rows.mapInPandas(run, schema)
