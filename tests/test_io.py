@@ -208,6 +208,12 @@ def test_shared_folder(spark, tmp_path):
     assert spread(wide, "id") is wide
 
 
+def test_spread_bounds_the_input_of_a_task(spark):
+    df = spark.range(1000).coalesce(2)  # 8 bytes a row
+    assert spread(df, "id", most=100).rdd.getNumPartitions() == 80
+    assert spread(df, "id", most=1 << 20).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 # Streams
 
 

@@ -17,7 +17,7 @@ from tidewire.session import materialise
 
 def term_counts(spark: SparkSession, sf_dir: str, stemmed: bool = False, written: bool = True) -> DataFrame:
     """Term counts of all sessions, written once if several later steps read them."""
-    counts = tfidf.daily_tokens(standins.session_articles(spark, sf_dir, heavy=True), stemmed=stemmed)
+    counts = tfidf.daily_tokens(standins.session_articles(spark, sf_dir, gathered=True), stemmed=stemmed)
     return materialise(counts, "daily-tokens") if written else counts
 
 
@@ -80,12 +80,12 @@ def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views("token_counts", body="SELECT trading_session_date_utc, term, tf FROM token_counts"),
 )
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.daily_tokens(standins.session_articles(spark, sf_dir, heavy=True))
+    return tfidf.daily_tokens(standins.session_articles(spark, sf_dir, gathered=True))
 
 
 @register("token_counts_stemmed")
 def token_counts_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.daily_tokens(standins.session_articles(spark, sf_dir, heavy=True), stemmed=True)
+    return tfidf.daily_tokens(standins.session_articles(spark, sf_dir, gathered=True), stemmed=True)
 
 
 @register("vocab_topk", with_views("vocab", body=f"SELECT term, cf, df, {r6('idf')} FROM vocab"))
