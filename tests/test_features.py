@@ -496,3 +496,23 @@ def test_scorer_gets_short_batches(spark):
     df = spark.range(3000).selectExpr("id", "cast(id as string) Article_title").coalesce(1)
     got = scoring.score_articles(df, scorer, batch_size=100_000).collect()
     assert len(got) == 3000 and max(r["finbert_embedding"][0] for r in got) <= 1000
+
+
+def test_each_word_is_stemmed_once(spark, monkeypatch):
+    plain, asked = text.stem_vocabulary, []
+
+    def seen(df, word="word"):
+        asked.append(plain(df, word).count())
+        return plain(df, word)
+
+    monkeypatch.setattr(tfidf, "stem_vocabulary", seen)
+    rows = spark.createDataFrame([(d, "dogs dog running dogs") for d in (1, 2, 3)], f"{SESSION} int, Article_title string")
+    got = {tuple(r) for r in tfidf.daily_tokens(rows, stemmed=True).collect()}
+    assert asked == [3] and got == {(d, t, n) for d in (1, 2, 3) for t, n in (("dog", 3), ("run", 1))}
+
+
+def test_vectors_know_their_length(spark):
+    counts = spark.createDataFrame([(1, "a", 2), (2, "b", 1)], f"{SESSION} int, term string, tf long")
+    model = tfidf.TfidfVectorizer(10).fit(counts, counts)
+    found = model.to_vectors(counts, counts)
+    assert found.schema["tfidf"].metadata["ml_attr"]["num_attrs"] == 2 and found.count() == 2
