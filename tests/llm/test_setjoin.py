@@ -65,6 +65,41 @@ def test_pairs_grow_with_the_group_not_with_its_square(spark, monkeypatch):
     assert sum(asked) < size * (size - 1) / 2 / 2
 
 
+def test_blocks_lose_no_link(spark, monkeypatch):
+    """A group over several blocks, inside its largest component and outside it."""
+    rng = random.Random(3)
+    texts = edited_groups(rng, 3, 24)
+    for name, value in (("LIST_PAIRS", 6), ("BLOCK_SETS", 5), ("MOST_ROUNDS", 1)):
+        monkeypatch.setattr(setjoin, name, value)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in setjoin.link_components(docs).collect()}
+    want = brute_components(brute_sets(dict(enumerate(texts))))
+    assert got == want and 3 < len(set(want.values())) < len(texts)
+
+
+def test_far_copies_are_no_rows_of_pairs(spark, monkeypatch):
+    """Copies edited so much that few of them link share long lists; their pairs are compared in blocks."""
+    rng = random.Random(8)
+    body, size, asked, texts = [f"w{i}" for i in range(120)], 150, [], []
+    real = setjoin.verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(setjoin, "verified", counted)
+    for _ in range(size):
+        copy = list(body)
+        for at in rng.sample(range(60), rng.randint(1, 9)):
+            copy[at] = f"q{rng.randrange(40)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in setjoin.link_components(docs).collect()}
+    want = brute_components(brute_sets(dict(enumerate(texts))))
+    assert got == want and 1 < len(set(want.values())) < size
+    assert sum(asked) < 4 * size
+
+
 def test_exactly_at_the_threshold(spark):
     """Sets of 8 shingles: 6 of 8 shared is 75 of 100, 5 of 8 is not."""
     base = [f"w{i}" for i in range(12)]  # 8 shingles
