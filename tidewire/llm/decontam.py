@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import words
 from tidewire.llm.files import new_folder, open_file, write_file
-from tidewire.llm.frames import arrow_map, short_batches, text_chunks, written
+from tidewire.llm.frames import CHUNK_BYTES, arrow_map, runs, short_batches, text_chunks, written
 
 #: Words of a window.
 WINDOW = 13
@@ -156,22 +156,29 @@ class Shard:
 
 
 def make_shard(data: np.ndarray, offsets: np.ndarray, block: Block, shortest: int | None = None) -> Shard:
-    """``shortest``: words a stretch must have to be kept; those of the shortest window if it is not given."""
-    found = words.scan(data, offsets, TABLE)
-    numbers = np.zeros(len(found.hashes), np.int64)
-    if len(block.known):
-        place = np.minimum(np.searchsorted(block.known, found.hashes), len(block.known) - 1)
-        hit = block.known[place] == found.hashes
-        numbers[hit] = place[hit] + 1
+    """``shortest``: words a stretch must have to be kept; those of the shortest window if it is not given.
+
+    Words are read a short run of rows at a time: that takes far more memory than their numbers, which are kept."""
+    parts, heads = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    for rows in runs(offsets, CHUNK_BYTES):
+        found = words.scan(data[rows[0] : rows[-1]], rows - rows[0], TABLE)
+        own = np.zeros(len(found.hashes), np.int64)
+        if len(block.known):
+            place = np.minimum(np.searchsorted(block.known, found.hashes), len(block.known) - 1)
+            hit = block.known[place] == found.hashes
+            own[hit] = place[hit] + 1
+        parts.append(own)
+        heads.append(found.firsts[1:] + heads[-1][-1])
+    numbers, firsts = np.concatenate(parts), np.concatenate(heads)
     # stretches of benchmark words inside one document, at least as long as the shortest window
     inside = numbers != 0
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
-    heads = found.firsts[:-1][found.firsts[:-1] < len(numbers)]
+    heads = firsts[:-1][firsts[:-1] < len(numbers)]
     begin[heads] = inside[heads]
     begins = np.flatnonzero(begin)
     if not len(begins):
-        return Shard(found.firsts, suffix_array(np.zeros(0, np.int64), np.zeros(0, np.int64), block.longest))
+        return Shard(firsts, suffix_array(np.zeros(0, np.int64), np.zeros(0, np.int64), block.longest))
     number_of = np.cumsum(begin) - 1
     lengths = np.bincount(number_of[inside], minlength=len(begins))
     long_ = lengths >= (block.shortest if shortest is None else shortest)
@@ -185,7 +192,7 @@ def make_shard(data: np.ndarray, offsets: np.ndarray, block: Block, shortest: in
     body = np.ones(size, bool)
     body[ends - 1] = False
     kept[body] = numbers[places[body]]
-    return Shard(found.firsts, suffix_array(kept, places, block.longest))
+    return Shard(firsts, suffix_array(kept, places, block.longest))
 
 
 def window_hits(shard: Shard, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
