@@ -2,7 +2,7 @@
 
 A sequence of tokens is the one that merging gives exactly if every two neighbours are *compatible*: merging
 the bytes of both together gives those two tokens again. The encoder takes the longest vocabulary match at each
-place (an Aho-Corasick automaton gives all matches that end at a place), steps back to the next shorter match
+place (from the longest that begins with the two bytes there, downwards), steps back to the next shorter match
 when the pair is not compatible, and never tries a place twice, so time is linear in the length.
 """
 
@@ -11,9 +11,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
+from array import array
 from collections.abc import Callable
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -24,9 +25,9 @@ from tidewire.llm.frames import arrow_map
 # The published split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Texts between spaces whose ids a task remembers, pieces of those that hold several, and pairs of tokens: together
-#: about 110 MB at most.
-MEMORY, PIECES, PAIRS = 400_000, 50_000, 400_000
+#: Texts between spaces whose ids a task remembers and pieces of those that hold several (all are forgotten when there are
+#: more), and places for pairs of tokens, a power of two: together about 75 MB at most.
+MEMORY, PIECES, PAIRS = 400_000, 1 << 14, 1 << 19
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,67 +51,77 @@ class BacktrackingBpe:
         if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or model["type"] != "BPE":
             raise ValueError(f"{path}: not a plain byte-level BPE file")
         letters = byte_letters()
-        self.bytes_of = {i: bytes(letters[c] for c in token) for token, i in model["vocab"].items()}
-        self.id_of = {b: i for i, b in self.bytes_of.items()}
-        self.single = {b[0]: i for b, i in self.id_of.items() if len(b) == 1}
-        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        # merge rank of each pair, and for each token the pair that makes it
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.made_at: dict[int, int] = {i: -1 for i in self.single.values()}
         vocab = model["vocab"]
+        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.size = max([*vocab.values(), *self.specials.values()]) + 1
+        # tables by id are lists: every Python worker of an executor holds its own
+        self.bytes_of: list[bytes] = [b""] * self.size
+        for token, i in vocab.items():
+            self.bytes_of[i] = bytes(letters[c] for c in token)
+        self.id_of = {self.bytes_of[i]: i for i in vocab.values()}
+        self.single = {b[0]: i for b, i in self.id_of.items() if len(b) == 1}
+        # merge rank of each pair (left * size + right), and for each token the pair that makes it
+        self.rank: dict[int, int] = {}
+        self.left: list[int | None] = [None] * self.size
+        self.right: list[int | None] = [None] * self.size
+        self.made_at = [-1] * self.size
+        made: list[int] = []
         for at, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             a, b, ab = vocab[left], vocab[right], vocab[left + right]
-            self.rank[a, b] = (at, ab)
-            if ab not in self.parts:
-                self.parts[ab], self.made_at[ab] = (a, b), at
+            self.rank[a * self.size + b] = at
+            made.append(ab)
+            if self.left[ab] is None:
+                self.left[ab], self.right[ab], self.made_at[ab] = a, b, at
         # a token the merges never leave as one piece cannot be in an encoding
-        self.whole = {i for i, b in self.bytes_of.items() if self._merged(b) == [i]}
+        self.whole = bytearray(self.size)
+        for b, i in self.id_of.items():
+            self.whole[i] = self._merged(b, made) == [i]
         # longest proper prefix that is a token: the next match to try after stepping back
-        self.shorter: dict[int, int] = {}
-        # The automaton finds matches by their end; over reversed bytes that is by their start.
-        self.automaton = ahocorasick.Automaton()
-        for i in self.whole:
-            b = self.bytes_of[i]
-            self.automaton.add_word(b[::-1].decode("latin-1"), (len(b), i))
+        self.shorter: list[int | None] = [None] * self.size
+        # length of the longest token that begins with two bytes
+        self.reach = array("H", [1]) * (1 << 16)
+        for b, i in self.id_of.items():
+            if not self.whole[i]:
+                continue
+            if len(b) > 1:
+                head = b[0] << 8 | b[1]
+                self.reach[head] = max(self.reach[head], len(b))
             for n in range(len(b) - 1, 0, -1):
-                if (p := self.id_of.get(b[:n])) in self.whole:
+                if (p := self.id_of.get(b[:n])) is not None and self.whole[p]:
                     self.shorter[i] = p
                     break
-        self.automaton.make_automaton()
+        self.id_of = {b: i for b, i in self.id_of.items() if self.whole[i]}
         self.split = regex.compile(SPLIT)
         self.special_cut = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.cut = re.compile(r" (?=\S)")
         self.odd_space = re.compile(r" (?:\s|$)")
-        self.compatible_memo: dict[tuple[int, int], bool] = {}
+        # a place holds the last pair of those that share it, and its answer in the lowest bit
+        self.pairs = array("q", [-1]) * PAIRS
         self.memory: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         # decoding: all tokens' bytes after one another, and where each begins
-        top = max([*self.bytes_of, *self.specials.values()]) + 1
-        texts = [b""] * top
-        for i, b in self.bytes_of.items():
-            texts[i] = b
+        texts = list(self.bytes_of)
         for s, i in self.specials.items():
             texts[i] = s.encode()
         self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         self.blob = np.frombuffer(b"".join(texts), np.uint8)
 
     def forget(self) -> None:
-        """Gives back what was remembered; the tables stay."""
+        """Gives back what was remembered of texts; the tables and the places for pairs stay."""
         self.memory.clear()
         self.pieces.clear()
-        self.compatible_memo.clear()
 
-    def _merged(self, piece: bytes) -> list[int]:
-        """Plain merging, for single vocabulary entries when the tables are built."""
+    def _merged(self, piece: bytes, made: list[int]) -> list[int]:
+        """Plain merging, for single vocabulary entries when the tables are built; ``made`` is the token of each rank."""
         ids = [self.single[b] for b in piece]
         while len(ids) > 1:
-            found = min(((self.rank[p][0], at) for at, p in enumerate(zip(ids, ids[1:])) if p in self.rank), default=None)
+            pairs = (a * self.size + b for a, b in zip(ids, ids[1:]))
+            found = min(((self.rank[p], at) for at, p in enumerate(pairs) if p in self.rank), default=None)
             if found is None:
                 break
-            at = found[1]
-            ids[at : at + 2] = [self.rank[ids[at], ids[at + 1]][1]]
+            rank, at = found
+            ids[at : at + 2] = [made[rank]]
         return ids
 
     def compatible(self, left: int, right: int) -> bool:
@@ -119,54 +130,57 @@ class BacktrackingBpe:
         Undo both tokens merge by merge, latest first; if at any state the two pieces that touch would have been
         merged before the merge just undone, the pair cannot stand.
         """
-        key = (left, right)
-        known = self.compatible_memo.get(key)
-        if known is not None:
-            return known
+        size, rank, made_at = self.size, self.rank, self.made_at
+        key = left * size + right
+        known = self.pairs[key & (PAIRS - 1)]
+        if known >> 1 == key:
+            return bool(known & 1)
         limit, a, b, answer = 1 << 62, left, right, True
         while True:
-            found = self.rank.get((a, b))
-            if found is not None and found[0] < limit:
+            found = rank.get(a * size + b)
+            if found is not None and found < limit:
                 answer = False
                 break
-            rank_a, rank_b = self.made_at[a], self.made_at[b]
+            rank_a, rank_b = made_at[a], made_at[b]
             if rank_a < 0 and rank_b < 0:
                 break
             # of equal ranks the left one is merged first, so the right one is undone first
             if rank_a > rank_b:
-                limit, a = rank_a, self.parts[a][1]
+                limit, a = rank_a, self.right[a]
                 # the pair met left of this merge's place: equal rank would merge the left one first
             else:
-                limit, b = rank_b + 1, self.parts[b][0]
-        if len(self.compatible_memo) < PAIRS:
-            self.compatible_memo[key] = answer
+                limit, b = rank_b + 1, self.left[b]
+        self.pairs[key & (PAIRS - 1)] = key << 1 | answer
         return answer
 
+    def _longest(self, piece: bytes, at: int) -> int:
+        """The longest match that begins at a place."""
+        known = self.id_of
+        if at + 1 < len(piece):
+            for end in range(min(len(piece), at + self.reach[piece[at] << 8 | piece[at + 1]]), at + 1, -1):
+                token = known.get(piece[at:end])
+                if token is not None:
+                    return token
+        return self.single[piece[at]]
+
     def piece_ids(self, piece: bytes) -> list[int]:
         """Ids of one piece of the split."""
         whole = self.id_of.get(piece)
-        if whole in self.whole:
+        if whole is not None:
             return [whole]
         size = len(piece)
-        # longest match that begins at each place, from the automaton over the reversed piece
-        longest = [0] * size
-        best = [0] * size
-        for end, (n, i) in self.automaton.iter(piece[::-1].decode("latin-1")):
-            at = size - 1 - end
-            if n > best[at]:
-                best[at], longest[at] = n, i
         open_places = bytearray(b"\x01") * (size + 1)
         ids: list[int] = []
-        at, token = 0, longest[0]
+        at, token = 0, self._longest(piece, 0)
         while True:
             end = at + len(self.bytes_of[token])
             if open_places[end] and (not ids or self.compatible(ids[-1], token)):
                 ids.append(token)
                 if end == size:
                     return ids
-                at, token = end, longest[end]
+                at, token = end, self._longest(piece, end)
                 continue
-            nxt = self.shorter.get(token)
+            nxt = self.shorter[token]
             if nxt is not None:
                 token = nxt
                 continue
@@ -176,15 +190,19 @@ class BacktrackingBpe:
             at -= len(self.bytes_of[token])
             # the same token again: its end is closed now, so the next shorter one is tried
 
+    def _packed(self, piece: str) -> bytes:
+        ids = self.piece_ids(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _chunk(self, text: str) -> bytes:
         pieces, out = self.pieces, []
         found = self.split.findall(text)
         if len(found) == 1:  # the caller remembers it
-            return np.array(self.piece_ids(found[0].encode()), "<u4").tobytes()
+            return self._packed(found[0])
         for piece in found:
             ids = pieces.get(piece)
             if ids is None:
-                ids = np.array(self.piece_ids(piece.encode()), "<u4").tobytes()
+                ids = self._packed(piece)
                 if len(piece) <= 100:
                     if len(pieces) >= PIECES:
                         pieces.clear()
