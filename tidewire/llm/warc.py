@@ -14,6 +14,7 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.files import Sink, new_folder, open_file
-from tidewire.llm.frames import small, written
+from tidewire.llm.frames import short_batches, small, written
+from tidewire.session import SLICE, give_back
 
 # The record lines of both ARC versions and the WARC revisit profile.
 FIELDS = {
@@ -38,6 +40,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 LEAST_PAYLOAD = 100
 #: Bytes after which a page archive is closed.
 ARC_BYTES = 4 << 20
+#: Archives that a task converts.
+TASK_ARCS = 4
+#: Rows of a batch that are Python objects at once.
+ROWS = 100
 
 
 # -- ARC ---------------------------------------------------------------------------------------------------------
@@ -202,45 +208,82 @@ def read_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 # -- Spark jobs --------------------------------------------------------------------------------------------------
-def pages_to_arc(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Legacy archives of a page table: ``name``, ``version``, ``content``, about ``ARC_BYTES`` each.
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
+
+def pages_to_arc(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None) -> DataFrame:
+    """Legacy archives of a page table, written as gzip files: ``name``, ``version``, ``file``, about ``ARC_BYTES`` unpacked.
+
+    The files are streamed to the store by the tasks: as cells of a table, hundreds would be in an executor's memory at once.
     Each page is an HTTP answer whose header ``X-Row`` has the page's key. Versions 1 and 2 alternate. Null html is
     an empty payload; in urls, blanks and control characters are percent-encoded and a null url is ``about:blank``.
     Rows are taken as they are partitioned, without a shuffle.
     """
+    short_batches(pages.sparkSession)
+    folder = folder or new_folder(pages.sparkSession, "arc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        out, size, name, version = [], 0, "", 1
+        sink, packer, size, name, version = None, None, 0, "", 1
 
         def begin() -> None:
-            nonlocal out, size, name, version, number
+            nonlocal sink, packer, size, name, version, number
             name, version = f"pages-{part:06d}-{number:04d}.arc", 1 + (part + number) % 2
-            out = [arc_header(version, name, "20000101000000")]
-            size, number = len(out[0]), number + 1
+            sink, packer = Sink(folder, f"{name}.gz"), zlib.compressobj(1, wbits=31)
+            size, number = 0, number + 1
+            put(arc_header(version, name, "20000101000000"))
+
+        def put(data: bytes) -> None:
+            nonlocal size
+            sink.write(packer.compress(data))
+            size += len(data)
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([version], pa.int32()), pa.array([b"".join(out)], pa.binary())], ["name", "version", "content"])
+            sink.write(packer.flush())
+            sink.close()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([version], pa.int32()), pa.array([sink.uri])], ["name", "version", "file"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             for row_key, address, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if not out:
+                if sink is None:
                     begin()
                 payload = (text or "").encode()
                 shown = quote(address, safe="%/:?#[]@!$&'()*+,;=~-._") if address else "about:blank"
                 row = "" if row_key is None else f"X-Row: {row_key}\r\n"
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{row}Content-Length: {len(payload)}\r\n\r\n"
                 day = datetime(2000, 1, 1) + timedelta(seconds=(row_key or 0) % 3_000_000_000)
-                out.append(arc_record(version, name, size, shown, day.strftime("%Y%m%d%H%M%S"), 200, head.encode() + payload))
-                size += len(out[-1])
+                put(arc_record(version, name, size, shown, day.strftime("%Y%m%d%H%M%S"), 200, head.encode() + payload))
                 if size >= ARC_BYTES:
                     yield close()
-                    out = []
-        if out:
+                    sink = None
+        if sink is not None:
             yield close()
+        batch = None
+        give_back()
+
+    return pages.select(F.col(key).cast("bigint"), url, html).mapInArrow(run, "name string, version int, file string")
+
 
-    return pages.select(F.col(key).cast("bigint"), url, html).mapInArrow(run, "name string, version int, content binary")
+def dealt_archives(arcs: DataFrame) -> DataFrame:
+    """Written archives dealt to tasks by name, ``TASK_ARCS`` each, fewer if there are idle cores."""
+    count = max(1, arcs.count())
+    cores = arcs.sparkSession.sparkContext.defaultParallelism
+    return arcs.repartitionByRange(min(count, max(cores, -(-count // TASK_ARCS))), "name")
+
+
+def _archives(batches: Iterator[pa.RecordBatch], is_file: bool) -> Iterator[tuple[str, bytes]]:
+    """Name and unpacked content of one archive after the other."""
+    for batch in batches:
+        for name, held in zip(*batch.columns):
+            if is_file:
+                with open_file(held.as_py()) as file:
+                    content = file.read()
+            else:
+                content = held.as_py() or b""
+            yield name.as_py(), gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
 #: What the converter knows of each ARC record before it is written.
@@ -248,51 +291,49 @@ RECORD = "uri string, date string, content_type string, http_head binary, payloa
 
 
 def arc_records(arcs: DataFrame) -> DataFrame:
-    """The records of ARC files (``name``, ``content``; for instance Spark's ``binaryFile`` reader with ``path as name``),
+    """The records of ARC files (``name``, ``file``; or ``content``, for instance of Spark's ``binaryFile`` reader with ``path as name``),
     with synthesised identifier, date, type of content and digest. Null or empty content gives no record; gzip members are
     unpacked first."""
 
     kinds = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64()}
     schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in RECORD.split(", ")])
 
+    held_in = "file" if "file" in arcs.columns else "content"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
-                content = content or b""
-                if content[:2] == b"\x1f\x8b":
-                    content = gzip.decompress(content)
-                rows, held = [], 0
-                for r in read_arc(content, []):  # what cannot be read is in ``arc_errors``
-                    head, payload = split_http(r.body)
-                    digest = hashlib.sha256(payload).hexdigest()
-                    row, date = head_field(head, "X-Row"), warc_date(r.date)
-                    rows.append((r.url, date, r.content_type, head, payload, len(payload), digest, int(row) if row and re.fullmatch(r"-?\d{1,18}", row) else None, record_id(r.url, date, row or f"{name}@{r.offset}", digest)))
-                    held += len(payload)
-                    if held >= ARC_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema.names)
-                        rows, held = [], 0
-                if rows:
+        for name, content in _archives(batches, held_in == "file"):
+            rows, held = [], 0
+            for r in read_arc(content, []):  # what cannot be read is in ``arc_errors``
+                head, payload = split_http(r.body)
+                digest = hashlib.sha256(payload).hexdigest()
+                row, date = head_field(head, "X-Row"), warc_date(r.date)
+                rows.append((r.url, date, r.content_type, head, payload, len(payload), digest, int(row) if row and re.fullmatch(r"-?\d{1,18}", row) else None, record_id(r.url, date, row or f"{name}@{r.offset}", digest)))
+                held += len(r.body)
+                if held >= ARC_BYTES or len(rows) >= SLICE:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema.names)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema.names)
+        rows = content = r = head = payload = None
+        give_back()
 
-    return arcs.select("name", "content").mapInArrow(run, RECORD)
+    return arcs.select("name", held_in).mapInArrow(run, RECORD)
 
 
 def arc_errors(arcs: DataFrame) -> DataFrame:
     """``name``, ``offset``, ``reason`` of every place of the archives where no record could be read."""
     schema = pa.schema([("name", pa.string()), ("offset", pa.int64()), ("reason", pa.string())])
 
+    held_in = "file" if "file" in arcs.columns else "content"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
-                errors: list[tuple[int, str]] = []
-                content = content or b""
-                for _ in read_arc(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content, errors):
-                    pass
-                rows += [{"name": name, "offset": at, "reason": why} for at, why in errors]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+        for name, content in _archives(batches, held_in == "file"):
+            errors: list[tuple[int, str]] = []
+            for _ in read_arc(content, errors):
+                pass
+            yield pa.RecordBatch.from_pylist([{"name": name, "offset": at, "reason": why} for at, why in errors], schema)
 
-    return arcs.select("name", "content").mapInArrow(run, "name string, offset bigint, reason string")
+    return arcs.select("name", held_in).mapInArrow(run, "name string, offset bigint, reason string")
 
 
 def originals(records: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
@@ -316,6 +357,7 @@ def write_warc(records: DataFrame, folder: str | None = None, least: int = LEAST
     rows) and records without a key are responses.
     """
     spark = records.sparkSession
+    short_batches(spark)
     folder = folder or new_folder(spark, "warc")
     firsts = written(originals(records, least), "warc-originals")
     joined = records.join(small(firsts), "payload_digest", "left")
@@ -325,7 +367,7 @@ def write_warc(records: DataFrame, folder: str | None = None, least: int = LEAST
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, count = None, 0
         part = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in _slices(batches):
             for row in batch.to_pylist():
                 if sink is None:
                     sink = Sink(folder, f"pages-{part:06d}.warc.gz")
@@ -357,6 +399,8 @@ def write_warc(records: DataFrame, folder: str | None = None, least: int = LEAST
         if sink is not None:
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([sink.uri]), pa.array([count], pa.int64())], ["file", "n_records"])
+        batch = row = None
+        give_back()
 
     return written(joined.mapInArrow(run, "file string, n_records bigint"), "warc-files")
 
@@ -387,6 +431,9 @@ def read_archives(files: DataFrame) -> DataFrame:
                             if hashlib.sha256(payload).hexdigest() != digest:
                                 raise ValueError(f"{uri}: payload of {fields['warc-record-id']} does not match its digest")
                         rows.append((_int(fields.get("x-row")), length, digest, kind, _int(fields.get("x-refers-to-row")), fields["warc-record-id"], unquote(fields["warc-target-uri"]), fields["warc-date"]))
+                        if len(rows) >= SLICE:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                            rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -402,4 +449,4 @@ def _int(value: str | None) -> int | None:
 def convert_pages(pages: DataFrame) -> DataFrame:
     """Pages to ARC files, ARC to WARC files, and the WARC records read back: one row per page."""
     arcs = written(pages_to_arc(pages), "arc")
-    return read_archives(write_warc(arc_records(arcs)))
+    return read_archives(write_warc(arc_records(dealt_archives(arcs))))
