@@ -15,7 +15,7 @@ from tidewire.operators import daily, quality
 from tidewire.operators.calendar import trading_calendar
 from tidewire.operators.sessions import SESSION, assign_sessions
 from tidewire.session import materialise, scratch_path, shared_dir, spread
-from tidewire.sources import files, news
+from tidewire.sources import blocks, files, news
 from tidewire.sources.prices import first_days, read_prices
 from tidewire.streaming import incremental, ingest
 
@@ -175,6 +175,33 @@ def test_hashes_of_empty_and_oddly_named_files(spark, tmp_path):
     assert len(rows) == len(content)
 
 
+@pytest.fixture
+def short_cells(spark):
+    """No file of more than 100 bytes can be a cell, as on any input none of more than 2 GB can."""
+    most = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(most, "100")
+    yield
+    spark.conf.unset(most)
+
+
+def test_files_that_tasks_open_are_never_read_whole(spark, tmp_path, short_cells):
+    content = {"long.csv": b"0123456789" * 1000, "short.csv": b"x", "empty.csv": b""}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    found = files.file_hashes(spark, str(tmp_path), "*.csv")
+    assert sorted(map(tuple, found.collect())) == sorted((n, len(d), hashlib.sha256(d).hexdigest()) for n, d in content.items())
+
+
+def test_long_files_of_a_store_that_only_spark_opens(spark, tmp_path, short_cells, monkeypatch):
+    monkeypatch.setattr(blocks, "WHOLE", 50)
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.hashes.link./in", f"file://{tmp_path}")
+    content = {"long.csv": b"0123456789" * 1000, "h#q p%41.csv": b"y" * 51, "edge.csv": b"z" * 50, "short.csv": b"x", "empty.csv": b""}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    found = files.file_hashes(spark, "viewfs://hashes/in", "*.csv")
+    assert sorted(map(tuple, found.collect())) == sorted((n, len(d), hashlib.sha256(d).hexdigest()) for n, d in content.items())
+
+
 def test_batches_are_bounded(spark):
     df = spark.range(1000).repartition(2)
     sizes = files.map_batches(df, lambda b: pd.DataFrame({"n": [len(b)]}), "n long", 100)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -14,8 +15,11 @@ from pyspark.sql import functions as F
 from tidewire.functions.naming import file_name
 
 BLOCK = 8 << 20
-#: Stores that a task can open by itself; files of any other are read by Spark, whole, up to 2 GB each.
+#: Stores that a task can open by itself.
 OPENED = ("", "file", "hdfs", "s3", "s3a", "gs")
+SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
+#: Bytes up to which Spark reads a file of any other store as one cell of a task; longer ones pass the driver as a stream.
+WHOLE = 64 << 20
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -62,9 +66,12 @@ def digest_of(stream, block: int = BLOCK) -> tuple[str, int]:
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*", tasks: int | None = None, block: int = BLOCK) -> DataFrame:
-    """``file_name``, ``length``, ``sha256`` of each file below ``path``, in tasks that hold one block at a time."""
+    """``file_name``, ``length``, ``sha256`` of each file below ``path``, in tasks that hold one block at a time.
+
+    A store that only Spark opens is read by Spark: files of up to ``WHOLE`` bytes in tasks, longer ones by the driver.
+    """
     files = list_files(spark, path, pattern)
-    scheme = F.regexp_extract("path", r"^([a-z0-9]*):", 1)
+    scheme = F.regexp_extract("path", SCHEME, 1)
     own = dealt_by_size(files.where(scheme.isin(*OPENED)), tasks or spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +82,23 @@ def file_digests(spark: SparkSession, path: str, pattern: str = "*", tasks: int
                 yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([size]), pa.array([sha])], ["path", "length", "sha256"])
 
     read = own.select("path").mapInArrow(run, "path string, length bigint, sha256 string")
-    whole = _found(spark, path, pattern).where(~scheme.isin(*OPENED)).select("path", "length", F.sha2("content", 256).alias("sha256"))
     empty = empty_files(spark, path, pattern).withColumn("sha256", F.lit(hashlib.sha256().hexdigest()))
-    return read.unionByName(whole).unionByName(empty).select(file_name("path").alias("file_name"), "length", "sha256")
+    digests = read.unionByName(empty)
+    # a scan for content reads each file of these lengths, whatever its path
+    if any((re.findall(SCHEME, uri) or [""])[0] not in OPENED for uri in _found(spark, path, pattern).inputFiles()):
+        other, small = ~scheme.isin(*OPENED), F.col("length") <= WHOLE
+        whole = _found(spark, path, pattern).where(small).where(other)
+        digests = digests.unionByName(whole.select("path", "length", F.sha2("content", 256).alias("sha256")))
+        large = [(r.path, r.length, _streamed(spark, r.path)) for r in files.where(other & ~small).collect()]
+        digests = digests.unionByName(spark.createDataFrame(large, "path string, length bigint, sha256 string"))
+    return digests.select(file_name("path").alias("file_name"), "length", "sha256")
+
+
+def _streamed(spark: SparkSession, name: str) -> str:
+    """SHA-256 of a file that the driver's JVM reads as a stream."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(name)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
